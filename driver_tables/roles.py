@@ -224,7 +224,7 @@ def doc_state_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.when(i % 2 == 0, F.concat(F.lit("  Line "), number, F.lit(" State "))).otherwise(
             F.concat(F.lit("Line "), number)
         )
-        words = F.transform(F.split(line, " "), lambda w: F.struct(w.alias("name")))
+        words = F.arrays_zip(F.split(line, " ")).cast("array<struct<name:string>>")
         return F.struct(name.alias("name"), words.alias("cities"))
 
     number = F.col("doc_id").cast("string")

@@ -19,7 +19,7 @@ def merge_lists(first: Column, second: Column) -> Column:
 
 def city_names(cities: Column) -> Column:
     """``array<struct<name>>`` to ``array<string>``; null becomes empty."""
-    return F.coalesce(F.transform(cities, lambda c: c["name"]), empty_strings())
+    return F.coalesce(cities["name"], empty_strings())
 
 
 def flatten_cities(states: Column) -> Column:
@@ -27,7 +27,7 @@ def flatten_cities(states: Column) -> Column:
 
     Null inner lists count as empty (``flatten`` alone would return null).
     """
-    return F.flatten(F.transform(states, lambda s: city_names(s["cities"])))
+    return city_names(F.flatten(F.filter(states["cities"], lambda c: c.isNotNull())))
 
 
 def first_where(items: Column, test) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.text import norm_key
@@ -22,6 +22,20 @@ def first_by(
     return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), pos).alias(into))
 
 
+def match_key(tag: str | Column, *values: Column) -> Column:
+    """``tag:value`` as the one text column to join first matches on; null if a value is.
+
+    Both sides of a join build it after their last aggregate.  The join then has
+    a shuffle of its own on each side, and only between two such shuffles does
+    Spark split a key that most of the left rows share.  (A join that reuses the
+    aggregate's partitioning would leave that key to one task.)
+    """
+    parts = [F.lit(tag) if isinstance(tag, str) else tag]
+    for value in values:
+        parts += [F.lit(":"), value.cast("string")]
+    return F.concat(*parts)
+
+
 def enrich_first(
     left: DataFrame,
     right: DataFrame,
@@ -42,13 +56,13 @@ def enrich_first(
     if not missing:
         return left
     keyed = right.select(
-        norm_key(F.col(right_key), mode).alias("_key"),
+        norm_key(F.col(right_key), mode).alias("_value"),
         F.col(pos).alias("_first"),
         *[F.col(old).alias(new) for new, old in missing.items()],
-    ).where(F.col("_key").isNotNull())
-    matches = first_by(keyed, ["_key"], list(missing), into="_match", pos="_first")
+    ).where(F.col("_value").isNotNull())
+    matches = first_by(keyed, ["_value"], list(missing), into="_match", pos="_first")
     return (
-        left.withColumn("_key", norm_key(F.col(left_key), mode))
-        .join(matches, "_key", "left")
+        left.withColumn("_key", match_key(left_key, norm_key(F.col(left_key), mode)))
+        .join(matches.select(match_key(left_key, F.col("_value")).alias("_key"), "_match"), "_key", "left")
         .select(*[F.col(c) for c in left.columns], *[F.col(f"_match.{c}").alias(c) for c in missing])
     )

@@ -11,7 +11,7 @@ from terralog import names as N
 from terralog.functions.lists import city_names, first_where
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
-from terralog.operators.first_match import first_by
+from terralog.operators.first_match import first_by, match_key
 
 
 def _answer(country_found: Column, state_found: Column) -> tuple[Column, Column]:
@@ -38,7 +38,7 @@ def _asked(requests: DataFrame, keep: Sequence[str]) -> DataFrame:
     return requests.select(
         *keep,
         F.struct("country", "state").alias("request"),
-        F.lower("country").alias("_country"),
+        match_key("country", F.lower("country")).alias("_country"),
         F.lower("state").alias("_state"),
     )
 
@@ -54,8 +54,9 @@ def cities_in_state(
     keyed = F.transform(
         "states", lambda s: F.struct(norm_key(s["name"], "state").alias("key"), city_names(s["cities"]).alias("cities"))
     )
-    dim = state_cities.select(pos, F.lower("name").alias("_country"), keyed.alias("states"))
-    countries = first_by(dim.where(F.col("_country").isNotNull()), ["_country"], ["states"], into="_found")
+    dim = state_cities.select(F.col(pos).alias("_at"), F.lower("name").alias("_name"), keyed.alias("states"))
+    firsts = first_by(dim.where(F.col("_name").isNotNull()), ["_name"], ["states"], into="_found", pos="_at")
+    countries = firsts.select(match_key("country", F.col("_name")).alias("_country"), "_found")
     state = first_where(F.col("_found.states"), lambda s: s["key"] == F.col("_state"))
     joined = _asked(requests, keep).join(countries, "_country", "left").withColumn("_hit", state)
     status, msg = _answer(F.col("_found").isNotNull(), F.col("_hit").isNotNull())
@@ -71,19 +72,19 @@ def resolve_state(
     country_id, name``.
     """
     by_name = first_by(
-        countries.select(pos, "country_id", F.lower("name").alias("_country")).where("_country is not null"),
-        ["_country"], ["country_id"], into="_in", pos=pos,
-    )
+        countries.select(pos, "country_id", F.lower("name").alias("_name")).where("_name is not null"),
+        ["_name"], ["country_id"], into="_in", pos=pos,
+    ).select(match_key("country", F.col("_name")).alias("_country"), "_in")
     by_state = first_by(
-        states.select(pos, "state_id", "country_id", norm_key(F.col("name"), "state").alias("_state"))
-        .where("_state is not null and country_id is not null"),
-        ["country_id", "_state"], ["state_id"], into="_hit", pos=pos,
-    )
+        states.select(pos, "state_id", "country_id", norm_key(F.col("name"), "state").alias("_name"))
+        .where("_name is not null and country_id is not null"),
+        ["country_id", "_name"], ["state_id"], into="_hit", pos=pos,
+    ).select(match_key("state", F.col("country_id"), F.col("_name")).alias("_place"), "_hit")
     joined = (
         _asked(requests, keep)
         .join(by_name, "_country", "left")
-        .withColumn("country_id", F.col("_in.country_id"))
-        .join(by_state, ["country_id", "_state"], "left")
+        .withColumn("_place", match_key("state", F.col("_in.country_id"), F.col("_state")))
+        .join(by_state, "_place", "left")
     )
     status, msg = _answer(F.col("_in").isNotNull(), F.col("_hit").isNotNull())
     return joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_hit.state_id")).alias("state_id"))
@@ -105,7 +106,11 @@ def cities_in_state_long(
     """
     resolved = resolve_state(requests, countries, states, keep, pos)
     filled = cities.groupBy("state_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = resolved.join(filled, "state_id", "left")
-    bare = sized.where(F.col("_n").isNull()).select(*keep, "status", "msg")
+    filled = filled.select(match_key("state", F.col("state_id")).alias("_place"))
+    bare = (
+        resolved.withColumn("_place", match_key("state", F.col("state_id")))
+        .join(filled, "_place", "left_anti")
+        .select(*keep, "status", "msg")
+    )
     listed = resolved.join(cities, "state_id").select(*keep, "status", "msg", pos, "city")
     return listed.unionByName(bare, allowMissingColumns=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terralog import names as N
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
-from terralog.operators.first_match import first_by
+from terralog.operators.first_match import first_by, match_key
 
 
 @dataclass(frozen=True)
@@ -28,28 +28,31 @@ class Key:
     mode: str = "trim_lower"
 
 
-def _tagged(key: Key, value: Column) -> Column:
-    return F.concat(F.lit(f"{key.param}:"), norm_key(value, key.mode))
-
-
 def request_key(keys: Sequence[Key]) -> Column:
     """The one key a request is looked up by: the last given one of ``keys``.
 
     A later key wins even when it matches nothing and an earlier one would.
     That makes several keys a single equi-join instead of one join per key.
     """
-    choices = [F.when(given(F.col(k.param)), _tagged(k, F.col(k.param))) for k in reversed(keys)]
+    choices = [
+        F.when(given(F.col(k.param)), match_key(k.param, norm_key(F.col(k.param), k.mode))) for k in reversed(keys)
+    ]
     return F.coalesce(*choices)
 
 
+def keyed_rows(dim: DataFrame, keys: Sequence[Key], columns: Sequence[str], pos: str = POS) -> DataFrame:
+    """``_by, _value``, ``pos`` and ``columns``: each row once per key it answers to."""
+    values = [F.struct(F.lit(k.param).alias("_by"), norm_key(F.col(k.column), k.mode).alias("_value")) for k in keys]
+    rows = dim.select(F.explode(F.array(*values)).alias("_k"), pos, *[c for c in columns if c != pos])
+    return rows.where(F.col("_k._value").isNotNull()).select("_k.*", *rows.columns[1:])
+
+
 def first_answers(
     dim: DataFrame, keys: Sequence[Key], columns: Sequence[str], into: str = "answer", pos: str = POS
 ) -> DataFrame:
     """``_key`` and the first row's ``columns``, for every value of every key."""
-    tagged = [_tagged(k, F.col(k.column)) for k in keys]
-    key = tagged[0] if len(tagged) == 1 else F.explode(F.array(*tagged))
-    keyed = dim.select(F.col(pos), *dict.fromkeys(c for c in columns if c != pos), key.alias("_key"))
-    return first_by(keyed.where(F.col("_key").isNotNull()), ["_key"], columns, into, pos)
+    firsts = first_by(keyed_rows(dim, keys, columns, pos), ["_by", "_value"], columns, into, pos)
+    return firsts.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), into)
 
 
 def ask(requests: DataFrame, keys: Sequence[Key], keep: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

@@ -110,12 +110,12 @@ def _number_parts(items: DataFrame, max_items: int) -> DataFrame:
     that many items.  Counting per block is a map-side combined aggregate; only
     the counts are put in order per entity, and whole blocks are packed.
     """
-    blocked = items.withColumn("_block", F.floor(F.col("_at") / F.lit(max_items)))
+    blocked = items.withColumn("_block", F.expr(f"_at div {int(max_items)}"))
     counts = blocked.groupBy("_name", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counts.select(
         "_name", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset")
-    ).withColumn("part", F.floor(F.col("offset") / F.lit(max_items)))
+    ).withColumn("part", F.expr(f"offset div {int(max_items)}"))
     return blocked.join(numbered, ["_name", "_block"]).select("_name", "_item", "part", "offset")
 
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog import names as N
 from terralog.functions.lists import empty_strings, flatten_cities, merge_lists
 from terralog.functions.text import message
 from terralog.names import POS
-from terralog.operators.lookup import Key, ask, first_answers
+from terralog.operators.first_match import match_key
+from terralog.operators.lookup import Key, ask, keyed_rows
 
+# Names and codes of both sources, under the request's field names.
+SOURCE_KEYS = (Key("country", "country", "lower"), Key("iso2", "iso2"))
 # Fixed value: countries, as written in the request, that only use the first source.
 FIRST_SOURCE_ONLY = ("Turkey",)
 
@@ -29,29 +32,55 @@ def cities_of(
 
     ``cities``: ``_pos, iso2, country, cities[]``; ``state_cities``: ``_pos,
     iso2, name, states[{name, cities[{name}]}]``.  Names compare untrimmed, iso2
-    codes trimmed.  Both sources are joined on the same request key, so requests
-    are shuffled at most once.  A country only the second source has is found.
+    codes trimmed.  A country only the second source has is found.
+
+    The sources are matched and merged once per key, then requests are joined
+    once.  In the merged list the first source's cities lead, so a request that
+    may not see the second source takes the head of the list.
     """
-    first_keys = [Key("country", "country", "lower"), Key("iso2", "iso2")]
-    second_keys = [Key("country", "name", "lower"), Key("iso2", "iso2")]
-    flat = state_cities.select(pos, "name", "iso2", flatten_cities(F.col("states")).alias("cities"))
-    joined = (
-        ask(requests, first_keys, keep)
-        .join(first_answers(cities, first_keys, ["country", "cities"], into="_one", pos=pos), "_key", "left")
-        .join(first_answers(flat, second_keys, ["name", "cities"], into="_two", pos=pos), "_key", "left")
-        .withColumn("answer", F.struct(F.coalesce("_one.country", "_two.name").alias("country")))
+    merged = _merged_sources(cities, state_cities, pos)
+    joined = ask(requests, SOURCE_KEYS, keep).join(merged, "_key", "left")
+    head_only = F.col("request.country").isin(*exclude_second_source) if exclude_second_source else F.lit(False)
+    listed = F.when(
+        F.coalesce(head_only, F.lit(False)), F.slice("answer.cities", F.lit(1), F.col("answer.n_first"))
+    ).otherwise(F.col("answer.cities"))
+    no_key, nothing = F.col("_key").isNull(), F.col("answer").isNull()
+    return joined.select(
+        *keep,
+        F.when(no_key, N.MISSING).when(nothing, N.NOT_FOUND).otherwise(N.OK).alias("status"),
+        F.when(no_key, N.MSG_NEED_COUNTRY_OR_ISO2)
+        .when(nothing, N.MSG_NO_COUNTRY)
+        .otherwise(message(N.MSG_CITIES))
+        .alias("msg"),
+        listed.alias("cities"),
     )
-    nothing = F.col("_one").isNull() & F.col("_two").isNull()
-    suppressed = F.col("request.country").isin(*exclude_second_source) if exclude_second_source else F.lit(False)
-    second = F.when(suppressed, empty_strings()).otherwise(F.col("_two.cities"))
 
-    def ladder(missing, unknown, found):
-        return F.when(F.col("_key").isNull(), missing).when(nothing, unknown).otherwise(found)
 
-    status = ladder(N.MISSING, N.NOT_FOUND, N.OK)
-    return joined.select(
-        *keep,
-        status.alias("status"),
-        ladder(N.MSG_NEED_COUNTRY_OR_ISO2, N.MSG_NO_COUNTRY, message(N.MSG_CITIES)).alias("msg"),
-        F.when(status == N.OK, merge_lists(F.col("_one.cities"), second)).alias("cities"),
+def _merged_sources(cities: DataFrame, state_cities: DataFrame, pos: str) -> DataFrame:
+    """Per key: the country's name, its merged cities, how many of them the first source has."""
+    flat = state_cities.select(
+        pos, F.col("name").alias("country"), "iso2", flatten_cities(F.col("states")).alias("cities")
+    )
+    columns = ["country", "cities"]
+
+    def tagged(df: DataFrame, source: int) -> DataFrame:
+        return keyed_rows(df, SOURCE_KEYS, columns, pos).select(
+            "_by", "_value", F.lit(source).alias("_source"), F.col(pos).alias("_at"), F.struct(*columns).alias("_row")
+        )
+
+    def first_of(source: int) -> Column:
+        return F.min_by("_row", F.when(F.col("_source") == source, F.col("_at")))
+
+    both = (
+        tagged(cities, 1)
+        .unionByName(tagged(flat, 2))
+        .groupBy("_by", "_value")
+        .agg(first_of(1).alias("_one"), first_of(2).alias("_two"))
+    )
+    first = F.array_distinct(F.coalesce("_one.cities", empty_strings()))
+    answer = F.struct(
+        F.coalesce("_one.country", "_two.country").alias("country"),
+        F.size(first).alias("n_first"),
+        merge_lists(F.col("_one.cities"), F.col("_two.cities")).alias("cities"),
     )
+    return both.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), answer.alias("answer"))
