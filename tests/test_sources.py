@@ -1,0 +1,82 @@
+import json
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from terralog.sources import schemas
+from terralog.sources.load import load_city_population, load_country_population, load_table, with_keys
+from terralog.sources.shared import shared_path
+from terralog.sources.write import write_facts, write_result
+
+
+def test_one_json_document_keeps_its_order(spark, tmp_path):
+    path = tmp_path / "codes.json"
+    path.write_text(
+        json.dumps([{"name": "B", "latitude": 33, "longitude": "0"}, {"name": "Á", "iso2": None, "latitude": 1.5}]),
+        encoding="utf-8",
+    )
+    df = load_table(spark, str(path), schemas.CODES)
+    assert rows(df.orderBy("_pos"), "_pos", "name", "iso2", "latitude", "longitude") == [
+        (0, "B", None, "33", "0"), (1, "Á", None, "1.5", None),
+    ]
+
+
+def test_malformed_input_raises(spark, tmp_path):
+    path = tmp_path / "bad.json"
+    path.write_text('[{"name": "B"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_table(spark, str(path), schemas.FLAGS).collect()
+
+
+def test_several_files_need_an_ordinal(spark, tmp_path, table):
+    df = table("name string, flag string, number string", [(f"n{i}", None, str(i)) for i in range(20)])
+    write_result(df.repartition(3), str(tmp_path / "many"))
+    with pytest.raises(ValueError, match="row order"):
+        load_table(spark, str(tmp_path / "many"), schemas.FLAGS, one_document=False)
+    back = load_table(spark, str(tmp_path / "many"), schemas.FLAGS, pos="_pos", one_document=False)
+    assert rows(back.orderBy("_pos")) == rows(df.orderBy("_pos"))
+
+
+def test_nulls_are_left_out_of_json(tmp_path, table):
+    write_result(table("name string, states array<string>", [("a", None), (None, [])]).coalesce(1), str(tmp_path / "o"))
+    text = "".join(p.read_text() for p in (tmp_path / "o").glob("part-*"))
+    assert text == '{"_pos":0,"name":"a"}\n{"_pos":1,"states":[]}\n'
+
+
+def test_parquet_and_nested_tables(spark, tmp_path, table):
+    df = table(
+        "name string, iso2 string, iso3 string, states array<struct<name:string,cities:array<struct<name:string>>>>",
+        [("A", "AA", None, [("s", [("c",)]), ("t", None)])],
+    )
+    write_result(df, str(tmp_path / "p"), fmt="parquet")
+    assert rows(load_table(spark, str(tmp_path / "p"), schemas.STATE_CITIES, fmt="parquet", pos="_pos")) == rows(df)
+
+
+def test_population_facts(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(
+        json.dumps(
+            [
+                {"Country Name": "A", "Country Code": "AAA", "Year": 2000, "Value": 1.5},
+                {"Country Name": "A", "Country Code": "AAA", "Year": "2001", "Value": "x"},
+            ]
+        )
+    )
+    assert rows(load_country_population(spark, str(path))) == [(0, "A", "AAA", 2000, 1.5), (1, "A", "AAA", 2001, None)]
+    path = tmp_path / "d.json"
+    path.write_text(
+        json.dumps([{"City": None, "Country or Area": "A", "Year": "2000", "Value": "7", "Sex": "Both", "Reliability": "r"}])
+    )
+    assert rows(load_city_population(spark, str(path))) == [(0, None, "A", 2000, 7.0, "Both", "r")]
+
+
+def test_facts_by_year_and_stored_keys(spark, tmp_path, table):
+    df = table("country string, code string, year int, value double", [(" A ", "x", 2000, 1.0), ("b", "y", 2001, 2.0)])
+    write_facts(with_keys(df, {"k": ("country", "trim_lower")}), str(tmp_path / "f"))
+    assert sorted(p.name for p in (tmp_path / "f").glob("year=*")) == ["year=2000", "year=2001"]
+    assert rows(spark.read.parquet(str(tmp_path / "f")).where(F.col("k") == "a"), "_pos", "year") == [(0, 2000)]
+
+
+def test_shared_path_comes_from_the_session(spark):
+    assert shared_path(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"
