@@ -188,7 +188,8 @@ def merged(suppressed: str = "") -> str:
   SELECT n_name AS country, c_mktsegment AS city, 1 AS source, c_custkey AS pos
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL
-  SELECT n_name, s_name, 2, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey {skip}),
+  SELECT n_name, CASE WHEN s_acctbal > 5000 THEN 'BUILDING' ELSE s_name END, 2, s_suppkey
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey {skip}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY country, city ORDER BY source, pos) AS rn FROM both_sources)
 SELECT country, city, source, pos FROM ranked WHERE rn = 1"""
 
@@ -420,7 +421,7 @@ SELECT pos, country, value, 'none' AS kind FROM ranked
 UNION ALL SELECT pos, country, value, 'fraction' FROM ranked WHERE place <= 2
 UNION ALL SELECT pos, country, value, 'blanks' FROM ranked WHERE place <= 3
 UNION ALL SELECT pos, country, value, 'hex' FROM ranked WHERE place <= 4""",
-    "merge_members": merged(),
+    "merge_lists": merged(),
     "suppress_source": merged("'NATION_3', 'nation_4'"),
     "filter_population": f"""WITH {NATION_FACTS} SELECT * FROM facts
 WHERE year = 1997 AND value > 0 AND value < 1000000000000 ORDER BY value DESC, pos LIMIT 10""",

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from driver_tables import roles as R
 from terralog.functions.args import bounds
-from terralog.functions.lists import flatten_cities, merge_lists
+from terralog.functions.lists import flatten_cities
+from terralog.functions.lists import merge_lists as merge_columns
 from terralog.names import MSG_DIAL_CODE, POS
 from terralog.operators import filters, hierarchy, lookup, merge, order, project, series
 from terralog.operators.first_match import enrich_first
@@ -336,7 +337,7 @@ def cities_of_two_sources(spark, sf):
 def merge_nested_lists(spark, sf):
     """Distinct union of two lists per row, first occurrences kept in order."""
     text = R.table(spark, sf, "conversations")
-    merged = merge_lists(F.split("text", " "), F.split(F.lower("text"), " "))
+    merged = merge_columns(F.split("text", " "), F.split(F.lower("text"), " "))
     return text.select("conv_id", "turn", F.size(merged).alias("n"), digest(merged).alias("merged_md5"))
 
 
@@ -470,7 +471,9 @@ def _members(spark, sf, exclude=()):
         F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("city"), F.col("c_custkey").alias(POS)
     )
     supplier = R.table(spark, sf, "supplier").select(
-        F.col("s_nationkey").alias("country"), F.col("s_name").alias("city"), F.col("s_suppkey").alias(POS)
+        F.col("s_nationkey").alias("country"),
+        F.when(F.col("s_acctbal") > 5000, "BUILDING").otherwise(F.col("s_name")).alias("city"),
+        F.col("s_suppkey").alias(POS),
     )
     names = R.table(spark, sf, "nation").select(F.col("n_nationkey").alias("country"), "n_name")
 
@@ -481,7 +484,7 @@ def _members(spark, sf, exclude=()):
 
 
 @query
-def merge_members(spark, sf):
+def merge_lists(spark, sf):
     return _members(spark, sf)
 
 

@@ -9,6 +9,7 @@ from terralog.functions.args import is_given, parse_limit
 from terralog.functions.numbers import number_arg
 from terralog.names import POS
 from terralog.operators.filters import drop_leading, name_contains, value_bounds
+from terralog.operators.first_match import match_key
 from terralog.operators.order import limit_rows, order_rows, sort_keys
 from terralog.operators.series import CITY_FIELDS, MAX_ITEMS, group_key, latest_year, nest_series
 
@@ -104,10 +105,10 @@ def filter_city_population(
     keys = sort_keys(heads, order, order_by, "city", "value")
     kept = name_contains(heads, "country", country).orderBy(*keys)
     top = limit_rows(drop_leading(kept, "city", "null").orderBy(*keys), n)
-    chosen = top.select(F.col("city").alias("_city"), F.col("value").alias("_first_value"))
+    chosen = top.select(match_key("city", F.col("city")).alias("_city"), F.col("value").alias("_first_value"))
     if n is not None and n <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    members = facts.join(chosen, group_key("city") == F.col("_city"))
+    members = facts.join(chosen, match_key("city", group_key("city")) == F.col("_city"))
     nested = nest_series(members, "city", ["country", "_first_value"], CITY_FIELDS, max_items=max_items)
     final = sort_keys(nested, order, order_by, "city", "_first_value")
     return nested.orderBy(*final, "part").drop("_first_value")

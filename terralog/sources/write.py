@@ -19,8 +19,12 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_facts(df: DataFrame, path: str) -> None:
-    """Write long facts as Parquet in one folder per year, so a year reads only its own."""
-    df.write.mode("overwrite").partitionBy("year").parquet(path)
+    """Write long facts as Parquet in one folder per year, so a year reads only its own.
+
+    Rows are first rebalanced by year: small years share a task, a large year is
+    split over several, and no task writes a file for every year.
+    """
+    df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def respond(answers: DataFrame, keep: Sequence[str] = ("req_id",)) -> DataFrame:
