@@ -12,6 +12,7 @@ from terralog.functions.lists import city_names, first_where
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
 from terralog.operators.first_match import first_by, match_key
+from terralog.operators.lookup import with_fields
 
 
 def _answer(country_found: Column, state_found: Column) -> tuple[Column, Column]:
@@ -35,7 +36,7 @@ def _answer(country_found: Column, state_found: Column) -> tuple[Column, Column]
 
 
 def _asked(requests: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return requests.select(
+    return with_fields(requests, ["country", "state"]).select(
         *keep,
         F.struct("country", "state").alias("request"),
         match_key("country", F.lower("country")).alias("_country"),

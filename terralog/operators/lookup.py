@@ -7,16 +7,17 @@ looked-up columns, which are null unless the status is 200.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralog import names as N
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
 from terralog.operators.first_match import first_by, match_key
+from terralog.sources.schemas import REQUESTS
 
 
 @dataclass(frozen=True)
@@ -55,44 +56,61 @@ def first_answers(
     return firsts.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), into)
 
 
-def ask(requests: DataFrame, keys: Sequence[Key], keep: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+def request(spark: SparkSession, **fields: str) -> DataFrame:
+    """A table of one request: ``request(spark, country="ambria")``."""
+    return spark.createDataFrame([{"req_id": 0, **fields}], REQUESTS)
+
+
+def with_fields(requests: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Requests with all ``fields``; one the table does not have is never given."""
+    absent = [f for f in fields if f not in requests.columns]
+    return requests.withColumns({f: F.lit(None).cast("string") for f in absent})
+
+
+def ask(requests: DataFrame, keys: Sequence[Key], keep: Sequence[str]) -> DataFrame:
     """Requests as: ``keep`` columns, struct ``request``, ``_key``."""
-    params = dict.fromkeys([*(k.param for k in keys), *extra])
-    return requests.select(*keep, F.struct(*params).alias("request"), request_key(keys).alias("_key"))
+    params = [k.param for k in keys]
+    return with_fields(requests, params).select(
+        *keep, F.struct(*params).alias("request"), request_key(keys).alias("_key")
+    )
 
 
-def lookup_first(
+def answer_with(
     requests: DataFrame,
-    dim: DataFrame,
+    answers: DataFrame,
     keys: Sequence[Key],
-    answer: Sequence[str],
     found: str,
     missing: str = N.MSG_NEED_COUNTRY_OR_ISO2,
     not_found: str = N.MSG_NO_COUNTRY,
     keep: Sequence[str] = ("req_id",),
-    pos: str = POS,
 ) -> DataFrame:
-    """Answer every request with the first matching row of ``dim``.
+    """Answer every request from a table made by ``first_answers`` with the same keys.
 
     ``found`` is a template over ``{answer.<column>}`` and ``{request.<param>}``.
     """
-    clash = set(keep) & {"status", "msg", *answer}
+    clash = set(keep) & {"status", "msg", *answers.schema["answer"].dataType.names}
     if clash:
         raise ValueError(f"kept request columns clash with answer columns: {sorted(clash)}")
-    joined = ask(requests, keys, keep).join(first_answers(dim, keys, answer, pos=pos), "_key", "left")
-    status = (
-        F.when(F.col("_key").isNull(), N.MISSING)
-        .when(F.col("answer").isNull(), N.NOT_FOUND)
-        .otherwise(N.OK)
-    )
-    msg = (
-        F.when(F.col("_key").isNull(), missing)
-        .when(F.col("answer").isNull(), not_found)
-        .otherwise(message(found))
-    )
+    joined = ask(requests, keys, keep).join(answers, "_key", "left")
+    no_key, no_match = F.col("_key").isNull(), F.col("answer").isNull()
+    status = F.when(no_key, N.MISSING).when(no_match, N.NOT_FOUND).otherwise(N.OK)
+    msg = F.when(no_key, missing).when(no_match, not_found).otherwise(message(found))
     return joined.select(*keep, status.alias("status"), msg.alias("msg"), "answer.*")
 
 
+def lookup_first(
+    requests: DataFrame,
+    dim: DataFrame,
+    keys: Sequence[Key],
+    answer: Sequence[str],
+    found: str,
+    pos: str = POS,
+    **options,
+) -> DataFrame:
+    """Answer every request with the ``answer`` columns of the first matching row of ``dim``."""
+    return answer_with(requests, first_answers(dim, keys, answer, pos=pos), keys, found, **options)
+
+
 def _by_name_or_iso2(name: str = "name", iso2: str = "iso2") -> list[Key]:
     return [Key("country", name), Key("iso2", iso2)]
 

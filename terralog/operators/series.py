@@ -28,7 +28,7 @@ CITY_FIELDS = {"year": "year", "value": "value", "sex": "sex", "reliabilty": "re
 
 def group_key(name: str) -> Column:
     """Entity names group as text, so an absent name is the entity 'null'."""
-    return F.coalesce(F.col(name), F.lit("null"))
+    return F.coalesce(F.col(name).cast("string"), F.lit("null"))
 
 
 def entities(facts: DataFrame, name: str, carry: Sequence[str], pos: str = POS) -> DataFrame:

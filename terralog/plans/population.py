@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.args import is_given, parse_limit
-from terralog.functions.numbers import number_arg
+from terralog.functions.numbers import number_arg, number_column
 from terralog.names import POS
 from terralog.operators.filters import drop_leading, name_contains, value_bounds
 from terralog.operators.first_match import match_key
@@ -42,13 +42,9 @@ def filter_population(
     where a country has one code and countries come in the same order each year.
     """
     n = parse_limit(limit)
-    if is_given(year):
-        number = number_arg(year)
-        wanted = F.lit(None if number is None else int(number)).cast("int")
-    else:
-        wanted = latest_year(facts).scalar()
+    wanted = _year(year) if is_given(year) else latest_year(facts).scalar()
     named = facts.select(POS, group_key("country").alias("country"), "code", "year", "value")
-    in_year = F.col("year") == wanted
+    in_year = number_column(named, "year") == wanted
     if prune_to_year:
         picked = (
             named.where(in_year)
@@ -67,11 +63,18 @@ def filter_population(
             .where(F.col("_fact").isNotNull())
             .select(POS, "country", "_first.code", "_fact.*")
         )
-    known = picked.where(~F.col("value").eqNullSafe(F.lit(NO_FIGURE)))
+    known = picked.where(~number_column(picked, "value").eqNullSafe(F.lit(NO_FIGURE)))
     bounded = value_bounds(known, "value", gt, lt)
     return limit_rows(order_rows(bounded, order, order_by), n)
 
 
+def _year(year: object) -> Column:
+    """The year as an integer; one that is no whole number equals no year."""
+    number = number_arg(year)
+    whole = number is not None and number.is_integer() and abs(number) < 2**31
+    return F.lit(int(number) if whole else None).cast("int")
+
+
 def as_population_counts(rows: DataFrame) -> DataFrame:
     """``year`` and ``value`` as one struct, for writing out."""
     return rows.select("country", "code", F.struct("year", "value").alias("populationCounts"))

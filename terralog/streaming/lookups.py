@@ -8,28 +8,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from terralog.names import POS
-from terralog.operators.lookup import Key, lookup_first
+from terralog.operators.lookup import Key, answer_with, first_answers
 from terralog.sources.shared import shared_path
 
 
+def stored_answers(
+    dim: DataFrame, keys: Sequence[Key], answer: Sequence[str], path: str | None = None, pos: str = POS
+) -> DataFrame:
+    """``first_answers`` worked out once and stored in the cluster's shared folder.
+
+    Streams, and batch jobs that ask the same table again, then join a table of
+    known size that needs no aggregate.
+    """
+    spark = dim.sparkSession
+    path = path or shared_path(spark, f"answers-{uuid.uuid4().hex}")
+    answers = first_answers(dim, keys, answer, pos=pos)
+    answers.write.mode("overwrite").parquet(path)
+    return spark.read.schema(answers.schema).parquet(path)
+
+
 def lookup_stream(
     requests: DataFrame,
     dim: DataFrame,
     keys: Sequence[Key],
     answer: Sequence[str],
     found: str,
-    keep: Sequence[str] = ("req_id",),
     pos: str = POS,
-    **texts: str,
+    **options,
 ) -> DataFrame:
     """``lookup_first`` on a streaming request table.
 
     A stateless stream-static left join, so append mode works and nothing is
-    kept between batches.  The table is read again for each micro-batch.
+    kept between batches.  The table's answers are stored when the stream is
+    defined; a micro-batch only joins them.
     """
     if not requests.isStreaming:
         raise ValueError("requests must be a streaming DataFrame")
-    return lookup_first(requests, dim, keys, answer, found, keep=keep, pos=pos, **texts)
+    return answer_with(requests, stored_answers(dim, keys, answer, pos=pos), keys, found, **options)
 
 
 def land(stream: DataFrame, path: str | None = None) -> DataFrame:

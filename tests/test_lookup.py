@@ -52,6 +52,13 @@ def test_status_message_and_first_match(table, codes):
     ]
 
 
+def test_one_request_and_fields_not_given(spark, table, codes):
+    assert rows(lookup.dial_code_of(lookup.request(spark, country="ambria"), codes), "status", "dial_code") == [(200, "+1")]
+    assert rows(lookup.dial_code_of(lookup.request(spark), codes), "status") == [(400,)]
+    only_name = table("req_id long, country string", [(1, "twin")], pos=False)
+    assert rows(lookup.dial_code_of(only_name, codes), "req_id", "dial_code") == [(1, "+2")]
+
+
 def test_a_key_of_one_kind_never_matches_the_other(table, codes):
     requests = ask(table, ("AM", None), (None, "Ambria"))
     assert [r[1] for r in rows(lookup.dial_code_of(requests, codes))] == [404, 404]

@@ -108,7 +108,14 @@ def test_filter_population_takes_the_first_fact_of_the_year(facts):
 def test_filter_population_drops_countries_without_a_figure(facts):
     assert population(facts, year=2001) == [("Beta", "BET", 2001, 11.0), ("Gamma", "GAM", 2001, 30.0)]
     assert population(facts, year="1900") == []
-    assert population(facts, year="abc") == []
+    for no_year in ("abc", "2000.5", "Infinity", "1e20"):
+        assert population(facts, year=no_year) == []
+
+
+def test_filter_population_reads_text_facts(facts):
+    text = facts.withColumns({"year": F.col("year").cast("string"), "value": F.col("value").cast("string")})
+    got = rows(filter_population(text, year="2001", gt="11"), "country", "year", "value")
+    assert got == [("Gamma", "2001", "30.0")]
 
 
 def test_filter_population_default_year(facts):
