@@ -128,7 +128,8 @@ def country_series(spark, sf):
 
 @query
 def country_series_totals(spark, sf):
-    nested = series.country_series(R.nation_facts(spark, sf))
+    # One fact per nation and year, so a series is never longer than the years.
+    nested = series.country_series(R.nation_facts(spark, sf), max_items=None)
     return series.unnest_series(nested).select("country", "code", "iso3", "idx", "year", "value")
 
 

@@ -32,23 +32,30 @@ def group_key(name: str) -> Column:
 
 
 def entities(facts: DataFrame, name: str, carry: Sequence[str], pos: str = POS) -> DataFrame:
-    """One row per entity: name, first row's ``carry`` columns, ``pos`` of the first row."""
+    """One row per entity: name, first row's ``carry``, ``pos`` of the first row, number of facts ``n``."""
     return (
         facts.select(pos, group_key(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"))
         .groupBy("_name")
-        .agg(F.min_by("_carry", pos).alias("_carry"), F.min(pos).alias(pos))
-        .select(F.col("_name").alias(name), *[f"_carry.{c}" for c in carry], pos)
+        .agg(F.min_by("_carry", pos).alias("_carry"), F.min(pos).alias(pos), F.count(F.lit(1)).alias("n"))
+        .select(F.col("_name").alias(name), *[f"_carry.{c}" for c in carry], pos, "n")
     )
 
 
+def row_count(df: DataFrame) -> Column:
+    """The number of rows, as a scalar; on Parquet it takes the file footers only."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def nest_series(
     facts: DataFrame,
     name: str,
     carry: Sequence[str],
     fields: Mapping[str, str],
     into: str = "populationCounts",
-    max_items: int = MAX_ITEMS,
+    max_items: int | None = MAX_ITEMS,
     pos: str = POS,
+    heads: DataFrame | None = None,
+    total: Column | None = None,
 ) -> DataFrame:
     """Group facts by ``name`` and nest ``fields`` in ``_pos`` order.
 
@@ -58,6 +65,12 @@ def nest_series(
     consecutive parts, whole and without overlap, each built by a task of its
     own, ``offset`` counting the items before it.  No task holds an unbounded
     list, whatever share of the facts one entity has.
+
+    Finding the long entities takes a pass over the names.  ``heads`` (made by
+    ``entities``) and ``total`` (at least their number of facts) save it where
+    the caller has them.  ``max_items=None`` saves it too and always gives one
+    part; use it only where the facts bound the length, such as totals grouped by
+    entity and year.
     """
     items = facts.select(
         group_key(name).alias("_name"),
@@ -65,35 +78,22 @@ def nest_series(
         F.struct(F.lit(1), *carry).alias("_carry"),
         F.struct(F.col(pos).alias("_at"), *[F.col(old).alias(new) for new, old in fields.items()]).alias("_item"),
     )
-    first = [F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first")]
-    # Long entities: above max_items and above 1/MAX_LONG_ENTITIES of all rows,
-    # so there are fewer than MAX_LONG_ENTITIES of them to broadcast.
-    total = facts.agg(F.count(F.lit(1))).scalar()
-    long_heads = (
-        items.groupBy("_name")
-        .agg(*first, F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > max_items) & (F.col("_n") * MAX_LONG_ENTITIES > total))
-        .drop("_n")
-    )
-    long_names = F.broadcast(long_heads.select("_name"))
-    in_order = F.sort_array(F.collect_list("_item")).alias("_items")
-    zero = F.lit(0).cast("long")
-
-    usual = (
-        items.join(long_names, "_name", "left_anti")
-        .groupBy("_name")
-        .agg(in_order, *first)
-        .select("_name", "_carry", "_first", zero.alias("part"), zero.alias("offset"), "_items")
-    )
-    parts = (
-        _number_parts(items.select("_name", "_at", "_item").join(long_names, "_name", "left_semi"), max_items)
-        .groupBy("_name", "part")
-        .agg(in_order, F.min("offset").alias("offset"))
-        .join(F.broadcast(long_heads), "_name")
-        .select("_name", "_carry", "_first", "part", "offset", "_items")
-    )
+    if max_items is None:
+        nested = _one_part(items)
+    else:
+        heads = entities(facts, name, carry, pos) if heads is None else heads
+        total = row_count(facts) if total is None else total
+        # Above max_items and above 1/MAX_LONG_ENTITIES of all facts: fewer than
+        # MAX_LONG_ENTITIES entities, so their heads are safe to broadcast.
+        long_heads = heads.where(
+            (F.col("n") > max_items) & (F.col("n") * MAX_LONG_ENTITIES > total)
+        ).select(group_key(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"), F.col(pos).alias("_first"))
+        long_names = F.broadcast(long_heads.select("_name"))
+        usual = _one_part(items.join(long_names, "_name", "left_anti"))
+        long_items = items.select("_name", "_at", "_item").join(long_names, "_name", "left_semi")
+        nested = usual.unionByName(_many_parts(long_items, max_items).join(F.broadcast(long_heads), "_name"))
     bare = F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
-    return usual.unionByName(parts).select(
+    return nested.select(
         F.col("_name").alias(name),
         *[f"_carry.{c}" for c in carry],
         F.col("_first").alias(pos),
@@ -103,8 +103,18 @@ def nest_series(
     )
 
 
-def _number_parts(items: DataFrame, max_items: int) -> DataFrame:
-    """Add ``part`` and ``offset``: consecutive runs of an entity's items, each below 2 * max_items.
+def _in_order() -> Column:
+    return F.sort_array(F.collect_list("_item")).alias("_items")
+
+
+def _one_part(items: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    first = [F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first")]
+    return items.groupBy("_name").agg(_in_order(), *first).withColumns({"part": zero, "offset": zero})
+
+
+def _many_parts(items: DataFrame, max_items: int) -> DataFrame:
+    """Consecutive runs of an entity's items, each below 2 * max_items long.
 
     Positions are unique, so a block of ``max_items`` positions holds at most
     that many items.  Counting per block is a map-side combined aggregate; only
@@ -116,16 +126,20 @@ def _number_parts(items: DataFrame, max_items: int) -> DataFrame:
     numbered = counts.select(
         "_name", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset")
     ).withColumn("part", F.expr(f"offset div {int(max_items)}"))
-    return blocked.join(numbered, ["_name", "_block"]).select("_name", "_item", "part", "offset")
+    return (
+        blocked.join(numbered, ["_name", "_block"])
+        .groupBy("_name", "part")
+        .agg(_in_order(), F.min("offset").alias("offset"))
+    )
 
 
-def country_series(facts: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def country_series(facts: DataFrame, max_items: int | None = MAX_ITEMS) -> DataFrame:
     """``country, code, iso3, populationCounts[{year, value}]`` per country."""
     nested = nest_series(facts, "country", ["code"], COUNTRY_FIELDS, max_items=max_items)
     return nested.withColumn("iso3", F.col("code"))
 
 
-def city_series(facts: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def city_series(facts: DataFrame, max_items: int | None = MAX_ITEMS) -> DataFrame:
     """``city, country, populationCounts[{year, value, sex, reliabilty}]`` per city name.
 
     Grouped by the name alone: same-named cities merge under the first's country.

@@ -11,7 +11,9 @@ from terralog.names import POS
 from terralog.operators.filters import drop_leading, name_contains, value_bounds
 from terralog.operators.first_match import match_key
 from terralog.operators.order import limit_rows, order_rows, sort_keys
-from terralog.operators.series import CITY_FIELDS, MAX_ITEMS, group_key, latest_year, nest_series
+from terralog.operators.series import (
+    CITY_FIELDS, MAX_ITEMS, entities, group_key, latest_year, nest_series, row_count,
+)
 
 # A city list cut to at most this many rows is small enough to broadcast.
 BROADCAST_ROWS = 100_000
@@ -99,19 +101,16 @@ def filter_city_population(
     combined aggregate, and only the surviving cities' facts are nested.
     """
     n = parse_limit(limit)
-    heads = (
-        facts.select(POS, group_key("city").alias("city"), "country", "value")
-        .groupBy("city")
-        .agg(F.min_by(F.struct("country", "value"), POS).alias("_first"), F.min(POS).alias(POS))
-        .select(POS, "city", "_first.*")
-    )
+    heads = entities(facts, "city", ["country", "value"])
     keys = sort_keys(heads, order, order_by, "city", "value")
     kept = name_contains(heads, "country", country).orderBy(*keys)
     top = limit_rows(drop_leading(kept, "city", "null").orderBy(*keys), n)
-    chosen = top.select(match_key("city", F.col("city")).alias("_city"), F.col("value").alias("_first_value"))
+    chosen = top.select(match_key("city", F.col("city")).alias("_city"), F.col("value").alias("_value"))
     if n is not None and n <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     members = facts.join(chosen, match_key("city", group_key("city")) == F.col("_city"))
-    nested = nest_series(members, "city", ["country", "_first_value"], CITY_FIELDS, max_items=max_items)
-    final = sort_keys(nested, order, order_by, "city", "_first_value")
-    return nested.orderBy(*final, "part").drop("_first_value")
+    nested = nest_series(
+        members, "city", ["country", "_value"], CITY_FIELDS, max_items=max_items,
+        heads=top.withColumnRenamed("value", "_value"), total=row_count(facts),
+    )
+    return nested.orderBy(*sort_keys(nested, order, order_by, "city", "_value"), "part").drop("_value")
