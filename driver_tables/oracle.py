@@ -146,20 +146,13 @@ DIAL_FOUND = "name || ' dial code retrieved'"
 def series_lookup(facts: str, name: str, other: str, fields: str, by_code: bool, missing: str, not_found: str,
                   found: str) -> str:
     asked = "coalesce(r.country, '') <> ''" + (" OR coalesce(r.iso3, '') <> ''" if by_code else "")
-    matches = f"{key('f.' + name)} = {key('r.country')} AND coalesce(r.country, '') <> ''"
+    by_name = f"{key('f.' + name)} = {key('r.country')}"
+    body = f"""SELECT r.req_id, f.* FROM requests r JOIN facts f ON {by_name}
+    WHERE coalesce(r.country, '') <> ''"""
     if by_code:
-        matches = (
-            f"CASE WHEN coalesce(r.iso3, '') <> '' THEN {key('f.code')} = {key('r.iso3')} ELSE {matches} END"
-        )
-        # A customer's name and code are one to one here; the two cases join apart.
         body = f"""SELECT r.req_id, f.* FROM requests r JOIN facts f ON {key('f.code')} = {key('r.iso3')}
     WHERE coalesce(r.iso3, '') <> ''
-    UNION ALL
-    SELECT r.req_id, f.* FROM requests r JOIN facts f ON {key('f.' + name)} = {key('r.country')}
-    WHERE coalesce(r.iso3, '') = '' AND coalesce(r.country, '') <> ''"""
-    else:
-        body = f"""SELECT r.req_id, f.* FROM requests r JOIN facts f ON {key('f.' + name)} = {key('r.country')}
-    WHERE coalesce(r.country, '') <> ''"""
+    UNION ALL {body} AND coalesce(r.iso3, '') = ''"""
     return f"""WITH {SERIES_REQUESTS}, {facts},
 heads AS (SELECT {name} AS entity, arg_min({other}, pos) AS first_other FROM facts GROUP BY {name}),
 hits AS ({body})
@@ -247,8 +240,6 @@ ENRICHED_PARTS = """WITH firsts AS (
   SELECT p_name, min(p_partkey) AS k, arg_min(p_brand, p_partkey) AS iso3 FROM part GROUP BY p_name)
 SELECT p.p_partkey, {iso2}{rest} FROM part p LEFT JOIN firsts f ON p.p_name = f.p_name"""
 
-SERIES = "SELECT {0}, row_number() OVER (PARTITION BY {1} ORDER BY pos) - 1 AS idx, {2} FROM facts"
-
 COUNTRY_SERIES = """SELECT country, first_value(code) OVER w AS code, first_value(code) OVER w AS iso3,
   row_number() OVER w - 1 AS idx, year, value FROM facts WINDOW w AS (PARTITION BY country ORDER BY pos)"""
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Spark's own mechanisms for skew and size: AQE picks broadcast joins from
-# measured sizes and splits skewed join partitions, also where that costs
-# another shuffle.
+# Spark's own mechanisms for skew and size: adaptive execution picks broadcast
+# joins from measured sizes, merges small shuffle partitions and splits skewed
+# ones, also where that costs another shuffle.  On a cluster, set
+# spark.sql.shuffle.partitions to about the largest shuffle's size / 128 MB.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    # A longer top-k sorts on disk instead of holding its rows in memory.
+    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",

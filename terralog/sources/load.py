@@ -43,6 +43,14 @@ def load_table(
     return df.select(F.monotonically_increasing_id().alias(POS), "*")
 
 
+def repeated_positions(df: DataFrame, pos: str = POS) -> DataFrame:
+    """Positions that are null or not unique, with their row counts; empty for a sound table.
+
+    First match and stable order mean nothing on a table where this is not empty.
+    """
+    return df.groupBy(pos).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(pos).isNull())
+
+
 def load_country_population(spark: SparkSession, path: str, **options) -> DataFrame:
     """Long facts ``_pos, country, code, year, value``."""
     raw = load_table(spark, path, schemas.COUNTRY_POPULATION, **options)

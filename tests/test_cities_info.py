@@ -70,6 +70,11 @@ def test_cities_of_with_other_exclusions(table, first, second):
     assert got[0] == (["a", "b", "B", "c", "d"],)
 
 
+def test_sources_are_merged_once_and_requests_joined_once(table, first, second):
+    plan = final_plan(cities_of(ask(table, ("Ambria", None)), first, second)).split("Initial Plan")[0]
+    assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 1
+
+
 def test_merge_members(table):
     one = table("country string, city string", [("A", "x"), ("A", "y"), ("A", "x"), ("B", "x")])
     two = table("country string, city string", [("A", "X"), ("A", "y"), ("A", "z"), ("B", "w"), (None, "n")])

@@ -138,30 +138,59 @@ def test_first_by_takes_the_lowest_position_not_the_first_read(table):
     assert sorted(rows(first_by(df, ["k"], ["v"]).select("k", "answer.v"))) == [("a", "x"), ("b", "y")]
 
 
-def test_hot_request_keys_are_split(spark, settings):
-    """One key holds a third of the requests and no side may be broadcast."""
+@pytest.fixture
+def no_broadcast(settings):
     settings(
         autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1",
         adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
         adaptive__skewJoin__skewedPartitionFactor="2", adaptive__advisoryPartitionSizeInBytes="20KB",
         adaptive__coalescePartitions__enabled="false", shuffle__partitions="8",
     )
-    requests = spark.range(0, 60000, numPartitions=8).select(
+
+
+@pytest.fixture
+def hot_requests(spark):
+    """A third of the requests ask for one key, and another third for none."""
+    kind = F.col("id") % 3
+    return spark.range(0, 90000, numPartitions=8).select(
         F.col("id").alias("req_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5000)).alias("country"),
-        F.lit(None).cast("string").alias("iso2"),
+        F.when(kind == 0, "hot").when(kind == 1, F.concat(F.lit("c"), F.col("id") % 5000)).alias("country"),
     )
+
+
+def test_hot_request_keys_are_split(spark, no_broadcast, hot_requests):
     dim = spark.range(5000).select(
         F.col("id").alias("_pos"),
         F.when(F.col("id") == 0, "HOT").otherwise(F.concat(F.lit("C"), "id")).alias("name"),
         F.col("id").cast("string").alias("code"),
         F.lit("+1").alias("dial_code"),
     )
-    answers = lookup.dial_code_of(requests, dim)
-    assert answers.where("status = 200").count() == requests.where("country <> 'c0'").count()
+    answers = lookup.dial_code_of(hot_requests, dim)
     assert "skew=true" in final_plan(answers)
-    left = requests.select(F.col("req_id").alias("_pos"), "country")
-    assert "skew=true" in final_plan(enrich_first(left, dim, "country", "name", {"code": "code"}))
+    counts = dict(rows(answers.groupBy("status").count()))
+    unknown = hot_requests.where("country = 'c0'").count()
+    assert counts == {200: 60000 - unknown, 400: 30000, **({404: unknown} if unknown else {})}
+    left = hot_requests.select(F.col("req_id").alias("_pos"), "country")
+    rich = enrich_first(left, dim, "country", "name", {"code": "code"})
+    assert "skew=true" in final_plan(rich)
+    assert rich.count() == 90000 and rich.where("code = '0'").count() == 30000
+
+
+def test_hot_states_are_split(spark, no_broadcast, hot_requests):
+    asked = hot_requests.withColumn("state", F.lit("s"))
+    nested = spark.range(5000).select(
+        F.col("id").alias("_pos"),
+        F.when(F.col("id") == 0, "HOT").otherwise(F.concat(F.lit("C"), "id")).alias("name"),
+        F.array(F.struct(F.lit("S").alias("name"), F.array(F.struct(F.lit("x").alias("name"))).alias("cities"))).alias("states"),
+    )
+    found = cities_in_state(asked, nested)
+    assert "skew=true" in final_plan(found)
+    assert found.where("cities = array('x')").count() == found.where("status = 200").count() > 50000
+    countries = nested.select("_pos", F.col("_pos").alias("country_id"), "name")
+    states = countries.select("_pos", F.col("_pos").alias("state_id"), "country_id", F.lit("s").alias("name"))
+    long = cities_in_state_long(asked, countries, states, states.select("_pos", "state_id", F.lit("x").alias("city")))
+    assert "skew=true" in final_plan(long)
+    assert long.count() == 90000 and long.where("city = 'x'").count() == found.where("status = 200").count()
 
 
 NESTED = "name string, iso2 string, states array<struct<name:string,cities:array<struct<name:string>>>>"

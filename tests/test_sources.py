@@ -5,7 +5,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from terralog.sources import schemas
-from terralog.sources.load import load_city_population, load_country_population, load_table, with_keys
+from terralog.sources.load import (
+    load_city_population, load_country_population, load_table, repeated_positions, with_keys,
+)
 from terralog.sources.shared import shared_path
 from terralog.sources.write import write_facts, write_result
 
@@ -78,5 +80,11 @@ def test_facts_by_year_and_stored_keys(spark, tmp_path, table):
     assert rows(spark.read.parquet(str(tmp_path / "f")).where(F.col("k") == "a"), "_pos", "year") == [(0, 2000)]
 
 
+def test_repeated_positions(table):
+    df = table("_pos long, v string", [(1, "a"), (2, "b"), (1, "c"), (None, "d")], pos=False)
+    assert sorted(rows(repeated_positions(df)), key=str) == [(1, 2), (None, 1)]
+    assert repeated_positions(df.where("_pos = 2")).isEmpty()
+
+
 def test_shared_path_comes_from_the_session(spark):
     assert shared_path(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"
