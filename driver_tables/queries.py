@@ -502,7 +502,8 @@ def filter_population(spark, sf):
     """Nations by their order total of one year, within bounds, highest first."""
     return plain(
         run_filter_population(
-            R.nation_facts(spark, sf), year="1997", gt="0", lt="1000000000000", order="dsc", limit="10", prune_to_year=True
+            R.nation_facts(spark, sf), year="1997", gt="0", lt="1000000000000", order="dsc", limit="10",
+            prune_to_year=True,
         )
     )
 

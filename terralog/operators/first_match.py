@@ -28,12 +28,14 @@ def match_key(tag: str | Column, *values: Column) -> Column:
     Both sides of a join build it after their last aggregate.  The join then has
     a shuffle of its own on each side, and only between two such shuffles does
     Spark split a key that most of the left rows share.  (A join that reuses the
-    aggregate's partitioning would leave that key to one task.)
+    aggregate's partitioning would leave that key to one task.)  Of several
+    values, all but the last carry their length, so no two lists look alike.
     """
     parts = [F.lit(tag) if isinstance(tag, str) else tag]
-    for value in values:
-        parts += [F.lit(":"), value.cast("string")]
-    return F.concat(*parts)
+    *leading, last = [value.cast("string") for value in values]
+    for value in leading:
+        parts += [F.lit(":"), F.length(value).cast("string"), F.lit(":"), value]
+    return F.concat(*parts, F.lit(":"), last)
 
 
 def enrich_first(

@@ -3,7 +3,7 @@ from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
 from terralog.operators import lookup, project
-from terralog.operators.first_match import enrich_first, first_by
+from terralog.operators.first_match import enrich_first, first_by, match_key
 from terralog.operators.hierarchy import cities_in_state, cities_in_state_long
 from terralog.operators.lookup import Key, lookup_first
 from terralog.sources.write import respond
@@ -133,6 +133,12 @@ def test_enrich_first(table):
     assert enrich_first(left, right, "country", "Name", {"iso3": "Iso3"}) is left
 
 
+def test_match_keys_do_not_collide(table):
+    df = table("a string, b string", [("x:y", "z"), ("x", "y:z"), ("x", None), (None, "z")])
+    keys = [r[0] for r in rows(df.select(match_key("t", F.col("a"), F.col("b"))))]
+    assert keys[0] != keys[1] and keys[2:] == [None, None]
+
+
 def test_first_by_takes_the_lowest_position_not_the_first_read(table):
     df = table("k string, v string", [("a", "x"), ("a", None), ("b", "y")]).orderBy(F.desc("_pos"))
     assert sorted(rows(first_by(df, ["k"], ["v"]).select("k", "answer.v"))) == [("a", "x"), ("b", "y")]
