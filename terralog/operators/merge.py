@@ -28,8 +28,18 @@ def merge_members(
     if exclude_second:
         second = second.where(~F.coalesce(F.col(entity).isin(*exclude_second), F.lit(False)))
 
-    def tagged(df: DataFrame, source: int) -> DataFrame:
-        return df.select(entity, item, F.struct(F.lit(source).alias("source"), F.col(pos).alias(pos)).alias("_at"))
-
-    merged = tagged(first, 1).unionByName(tagged(second, 2)).groupBy(entity, item).agg(F.min("_at").alias("_at"))
-    return merged.select(entity, item, "_at.source", F.col(f"_at.{pos}").alias(pos))
+    def placed(df: DataFrame, source: int) -> DataFrame:
+        at = F.col(pos).cast("long")
+        nowhere = F.lit(None).cast("long")
+        one, two = (at, nowhere) if source == 1 else (nowhere, at)
+        return df.select(entity, item, one.alias("_one"), two.alias("_two"))
+
+    # Two plain minimums aggregate in a hash table; one over a struct would sort.
+    merged = (
+        placed(first, 1)
+        .unionByName(placed(second, 2))
+        .groupBy(entity, item)
+        .agg(F.min("_one").alias("_one"), F.min("_two").alias("_two"))
+    )
+    source = F.when(F.col("_one").isNotNull(), 1).otherwise(2)
+    return merged.select(entity, item, source.alias("source"), F.coalesce("_one", "_two").alias(pos))

@@ -61,16 +61,17 @@ def nest_series(
 
     Returns ``name``, the first row's ``carry``, ``_pos`` of the first row,
     ``part``, ``offset`` and the list ``into``.  A usual entity is one row with
-    part 0.  An entity with more than ``max_items`` facts comes in several rows:
-    consecutive parts, whole and without overlap, each built by a task of its
-    own, ``offset`` counting the items before it.  No task holds an unbounded
-    list, whatever share of the facts one entity has.
-
-    Finding the long entities takes a pass over the names.  ``heads`` (made by
-    ``entities``) and ``total`` (at least their number of facts) save it where
-    the caller has them.  ``max_items=None`` saves it too and always gives one
-    part; use it only where the facts bound the length, such as totals grouped by
-    entity and year.
+    part 0.  An entity with more than ``max_items`` facts, and more than a
+    millionth of them all, comes in several rows: consecutive parts, whole and
+    without overlap, each built by a task of its own, ``offset`` counting the
+    items before it.  No task holds an unbounded list, whatever share of the
+    facts one entity has.
+
+    Finding the long entities takes a pass over the names.  ``heads`` (a row per
+    entity with its number of facts ``n``) and ``total`` (at least the number of
+    all facts) save it where the caller has them.  ``max_items=None`` saves it
+    too and always gives one part; use it only where the facts bound the length,
+    such as totals grouped by entity and year.
     """
     items = facts.select(
         group_key(name).alias("_name"),
@@ -81,17 +82,20 @@ def nest_series(
     if max_items is None:
         nested = _one_part(items)
     else:
-        heads = entities(facts, name, carry, pos) if heads is None else heads
+        sizes = (
+            items.groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
+            if heads is None
+            else heads.select(group_key(name).alias("_name"), "n")
+        )
         total = row_count(facts) if total is None else total
         # Above max_items and above 1/MAX_LONG_ENTITIES of all facts: fewer than
-        # MAX_LONG_ENTITIES entities, so their heads are safe to broadcast.
-        long_heads = heads.where(
-            (F.col("n") > max_items) & (F.col("n") * MAX_LONG_ENTITIES > total)
-        ).select(group_key(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"), F.col(pos).alias("_first"))
-        long_names = F.broadcast(long_heads.select("_name"))
-        usual = _one_part(items.join(long_names, "_name", "left_anti"))
-        long_items = items.select("_name", "_at", "_item").join(long_names, "_name", "left_semi")
-        nested = usual.unionByName(_many_parts(long_items, max_items).join(F.broadcast(long_heads), "_name"))
+        # MAX_LONG_ENTITIES entities, so one row for each is safe to broadcast.
+        is_long = (F.col("n") > max_items) & (F.col("n") * MAX_LONG_ENTITIES > total)
+        long_names = F.broadcast(sizes.where(is_long).select("_name"))
+        long_items = items.join(long_names, "_name", "left_semi")
+        firsts = F.broadcast(long_items.groupBy("_name").agg(*_first_row()))
+        parts = _many_parts(long_items.drop("_carry"), max_items).join(firsts, "_name")
+        nested = _one_part(items.join(long_names, "_name", "left_anti")).unionByName(parts)
     bare = F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
     return nested.select(
         F.col("_name").alias(name),
@@ -107,10 +111,13 @@ def _in_order() -> Column:
     return F.sort_array(F.collect_list("_item")).alias("_items")
 
 
+def _first_row() -> list[Column]:
+    return [F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first")]
+
+
 def _one_part(items: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
-    first = [F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first")]
-    return items.groupBy("_name").agg(_in_order(), *first).withColumns({"part": zero, "offset": zero})
+    return items.groupBy("_name").agg(_in_order(), *_first_row()).withColumns({"part": zero, "offset": zero})
 
 
 def _many_parts(items: DataFrame, max_items: int) -> DataFrame:

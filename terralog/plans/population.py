@@ -111,6 +111,6 @@ def filter_city_population(
     members = facts.join(chosen, match_key("city", group_key("city")) == F.col("_city"))
     nested = nest_series(
         members, "city", ["country", "_value"], CITY_FIELDS, max_items=max_items,
-        heads=top.withColumnRenamed("value", "_value"), total=row_count(facts),
+        heads=top, total=row_count(facts),
     )
     return nested.orderBy(*sort_keys(nested, order, order_by, "city", "_value"), "part").drop("_value")
