@@ -380,9 +380,11 @@ FROM found""",
         "doc_id IN (SELECT doc_id FROM labels)", "coalesce(f.country, '') IN ('Doc 7', 'Doc 8')"
     ),
     "merge_nested_lists": """WITH words AS (
-  SELECT conv_id, turn, 1 AS source, i, word FROM conversations, unnest(string_split(text, ' ')) WITH ORDINALITY AS t(word, i)
+  SELECT conv_id, turn, 1 AS source, i, word
+  FROM conversations, unnest(string_split(text, ' ')) WITH ORDINALITY AS t(word, i)
   UNION ALL
-  SELECT conv_id, turn, 2, i, word FROM conversations, unnest(string_split(lower(text), ' ')) WITH ORDINALITY AS t(word, i)),
+  SELECT conv_id, turn, 2, i, word
+  FROM conversations, unnest(string_split(lower(text), ' ')) WITH ORDINALITY AS t(word, i)),
 once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, word ORDER BY source, i) AS rn FROM words)
 SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS n, md5(string_agg(word, '|' ORDER BY source, i)) AS merged_md5
 FROM once WHERE rn = 1 GROUP BY conv_id, turn""",
