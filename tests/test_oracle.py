@@ -7,6 +7,8 @@ from compare import connect, duck_rows, spark_rows, type_gaps
 from conftest import final_plan
 
 import __spark_entry__ as driver
+from driver_tables.oracle import SQL
+from driver_tables.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -18,21 +20,22 @@ def con():
 
 
 def test_every_query_but_the_sample_has_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"sample_rows"}
+    assert set(QUERIES) - set(SQL) == {"sample_rows"}
     assert set(driver.oracle_sql()) <= set(driver.queries())
+    assert set(QUERIES) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    df = driver.queries()[name](spark, SF)
-    sql = driver.oracle_sql()[name]
+    df = QUERIES[name](spark, SF)
+    sql = SQL[name]
     assert type_gaps(df, con, sql) == {}
     assert spark_rows(df) == duck_rows(con, sql)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join_in_any_plan(spark, name):
-    plan = final_plan(driver.queries()[name](spark, SF))
+    plan = final_plan(QUERIES[name](spark, SF))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
 
@@ -43,5 +46,5 @@ def test_entry(spark):
 
 
 def test_sample(spark):
-    sample = driver.queries()["sample_rows"]
+    sample = QUERIES["sample_rows"]
     assert sample(spark, SF).count() == 10 and sample(spark, SF).collect() == sample(spark, SF).collect()
