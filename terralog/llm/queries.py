@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralog.llm import quality_rules
+from terralog.llm import license_scans, quality_rules
 from terralog.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes")
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op10_license_scans": op10_license_scans,
 }
 
 SQL: dict[str, str] = {}
