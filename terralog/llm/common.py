@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from terralog.sources.shared import shared_path
 
@@ -47,3 +50,30 @@ def words_of(text: Column) -> Column:
 
 def small_letters(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
+
+
+def per_text(
+    docs: DataFrame,
+    schema: str,
+    start: Callable[[], Callable[[str], Sequence]],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id`` and the columns of ``schema`` that a function makes of each whole text.
+
+    ``start`` makes the function once a task.  Ids pass through as they are, null
+    included; a null text counts as empty.
+    """
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for b in batches:
+            rows = [of(text.as_py()) for text in b.column("text")]
+            made = list(zip(*rows, strict=True)) or [[]] * len(types)
+            columns = [pa.array(values, f.type) for values, f in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *types.names])
+
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"doc_id {kind}, {schema}")

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralog.llm import license_scans, quality_rules
+from terralog.llm import license_scans, piece_tokens, quality_rules, secret_scans
 from terralog.llm.common import table
 
 
+def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.digests(table(spark, sf_dir, "documents"), piece_tokens.default_path())
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes")
 
@@ -17,6 +25,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_piece_tokens": op2_piece_tokens,
+    "op4_secret_scans": op4_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op10_license_scans": op10_license_scans,
 }

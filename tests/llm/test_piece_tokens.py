@@ -1,0 +1,79 @@
+"""op2: ids and texts against the sentencepiece library itself."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from terralog.llm import piece_tokens
+from terralog.llm.common import table
+
+sentencepiece = pytest.importorskip("sentencepiece")
+PATH = piece_tokens.default_path()
+SCHEMA = "doc_id long, text string, ids string, decoded int"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+def expected(library, text):
+    ids = library.encode(text or "", add_bos=True, add_eos=True)
+    whole = library.decode(ids).encode()
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(whole).hexdigest()
+
+
+def odd_texts():
+    rng = random.Random(5)
+    wide = [*"abcdeinorsth  \n\t▁éèü😀中국0019.,-_{}()=<>/\\́ 　\x00ﬁ", "  ", "    ", "th", "ing", " the"]
+    near = [*"aabbin  ▁", "==", "--", "  ", "ab", "ba"]
+    made = ["".join(rng.choices(pool, k=rng.randrange(60))) for pool in (wide, near) for _ in range(1500)]
+    return [None, "", " ", "\n", "▁", "  two  ", "<s>", "</s>", "<unk>", "<0x41>", "a" * 5000, "ab" * 5000, "中" * 3000, *made]
+
+
+def test_every_id_and_text(library):
+    own = piece_tokens.PieceModel(PATH)
+    assert own.apart
+    for text in odd_texts():
+        ids = own.encode(text or "")
+        assert list(ids) == library.encode(text or "", add_bos=True, add_eos=True), text
+        assert own.decode(ids) == library.decode([int(i) for i in ids]), text
+
+
+def test_pair_test_agrees_with_the_library(library):
+    """Two pieces fit exactly when their joined text comes back as these two."""
+    own, rng = piece_tokens.PieceModel(PATH), random.Random(2)
+    pieces = [i for i, t in own.text.items() if piece_tokens.MARK not in t and t.isascii()]
+    marked = [i for i, t in own.text.items() if t.startswith(piece_tokens.MARK) and t[1:].isalpha()]
+    for _ in range(3000):
+        a, b = rng.choice(marked), rng.choice(pieces)
+        text = (own.text[a] + own.text[b])[1:]
+        assert own.fits(a, b) == (library.encode(text) == [a, b])
+
+
+def test_words_are_remembered_within_bounds(library, monkeypatch):
+    monkeypatch.setattr(piece_tokens, "MOST_WORDS", 3)
+    monkeypatch.setattr(piece_tokens, "MOST_PAIRS", 5)
+    own = piece_tokens.PieceModel(PATH)
+    text = "some words that are more than the memory holds, some words twice"
+    assert list(own.encode(text)) == library.encode(text, add_bos=True, add_eos=True)
+    assert len(own.known) <= 3 and len(own.pairs) <= 5
+
+
+def test_table(spark, library):
+    texts = odd_texts()[:200]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] * 2, SCHEMA)
+    got = sorted(tuple(r) for r in piece_tokens.digests(docs, PATH).collect())
+    assert got == sorted([(i, *expected(library, t)) for i, t in enumerate(texts)] * 2)
+    rows = piece_tokens.encoded(docs, PATH).collect()
+    assert len(rows) == 400 and all(r.ids[0] == 1 and r.ids[-1] == 2 for r in rows)
+    assert piece_tokens.digests(docs.filter("doc_id < 0"), PATH).collect() == []
+    assert piece_tokens.digests(docs.selectExpr("cast(null as long) doc_id", "text").limit(1), PATH).first().doc_id is None
+
+
+def test_driver_documents(spark, library):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    want = {r.doc_id: expected(library, r.text) for r in docs.collect()}
+    assert {r[0]: tuple(r)[1:] for r in piece_tokens.digests(docs, PATH).collect()} == want
