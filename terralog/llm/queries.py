@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralog.llm import license_scans, piece_tokens, quality_rules, secret_scans
+from terralog.llm import (
+    decontamination,
+    license_scans,
+    packed_ids,
+    piece_tokens,
+    quality_rules,
+    secret_scans,
+    shards,
+)
 from terralog.llm.common import table
 
 
@@ -16,10 +24,22 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scanned(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes")
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.dealt(table(spark, sf_dir, "documents"), 16)
+
+
+def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.round_trip(table(spark, sf_dir, "documents"), packed_ids.default_path())
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scanned(table(spark, sf_dir, "documents"))
 
@@ -27,8 +47,13 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_piece_tokens": op2_piece_tokens,
     "op4_secret_scans": op4_secret_scans,
+    "op5_decontamination": op5_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_shards": op8_shards,
+    "op9_packed_ids": op9_packed_ids,
     "op10_license_scans": op10_license_scans,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_decontamination": decontamination.SQL,
+}
