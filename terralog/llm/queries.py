@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from terralog.llm import (
     decontamination,
     license_scans,
+    main_text,
     packed_ids,
     piece_tokens,
+    quality_gam,
     quality_rules,
     secret_scans,
     shards,
@@ -16,6 +18,11 @@ from terralog.llm import (
 from terralog.llm.common import table
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.scored(docs, quality_gam.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.digests(table(spark, sf_dir, "documents"), piece_tokens.default_path())
 
@@ -28,6 +35,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extracted(pages, main_text.learned(pages))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes")
 
@@ -45,9 +57,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
     "op2_piece_tokens": op2_piece_tokens,
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
+    "op6_main_text": op6_main_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_shards": op8_shards,
     "op9_packed_ids": op9_packed_ids,
