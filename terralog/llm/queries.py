@@ -8,6 +8,7 @@ from terralog.llm import (
     decontamination,
     license_scans,
     main_text,
+    ngram_join,
     packed_ids,
     piece_tokens,
     quality_gam,
@@ -27,6 +28,10 @@ def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.digests(table(spark, sf_dir, "documents"), piece_tokens.default_path())
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).drop("text_hash", "component")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scanned(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_piece_tokens": op2_piece_tokens,
+    "op3_ngram_join": op3_ngram_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_decontamination": op5_decontamination,
     "op6_main_text": op6_main_text,
@@ -69,5 +75,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_ngram_join": ngram_join.SQL,
     "op5_decontamination": decontamination.SQL,
 }
