@@ -23,10 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terralog.llm.common import per_text
 
@@ -184,31 +187,53 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded`` of every document: ids with begin and end, and their text."""
+def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every document.
+
+    ``ids`` have begin and end; the digests are of them as little-endian unsigned 32-bit
+    integers, and of the text that decoding them gives.
+    """
 
     def start():
         pieces = model(path)
 
         def of(text: str) -> tuple:
             ids = pieces.encode(text)
-            return ids, pieces.decode(ids)
+            decoded = pieces.decode(ids)
+            return (
+                len(ids), ids.view(np.int32), hashlib.sha256(ids.tobytes()).hexdigest(),
+                hashlib.sha256(decoded.encode()).hexdigest(),
+            )
 
         return of
 
-    return per_text(docs, "ids array<long>, decoded string", start, id_col, text_col)
+    schema = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return per_text(docs, schema, start, id_col, text_col)
+
+
+def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``doc_id, text``: the texts of stored ids; null ids give the empty text."""
+    plain = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = model(path)
+        for b in batches:
+            texts = [pieces.decode(np.asarray(x.values)) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``encoded``, with digests of what it returns."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: as ``tokens``, without the ids themselves."""
 
     def start():
         pieces = model(path)
 
         def of(text: str) -> tuple:
             ids = pieces.encode(text)
-            decoded = pieces.decode(ids).encode()
-            return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            back = pieces.decode(ids).encode()
+            return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()
 
         return of
 

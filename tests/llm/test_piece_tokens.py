@@ -67,8 +67,12 @@ def test_table(spark, library):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] * 2, SCHEMA)
     got = sorted(tuple(r) for r in piece_tokens.digests(docs, PATH).collect())
     assert got == sorted([(i, *expected(library, t)) for i, t in enumerate(texts)] * 2)
-    rows = piece_tokens.encoded(docs, PATH).collect()
-    assert len(rows) == 400 and all(r.ids[0] == 1 and r.ids[-1] == 2 for r in rows)
+    full = piece_tokens.tokens(docs, PATH)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in full.collect()) == got
+    for r in full.collect():
+        assert r.ids == library.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
+    back = {r.doc_id: r.text for r in piece_tokens.decoded(full, PATH).collect()}
+    assert back == {i: library.decode(library.encode(t or "")) for i, t in enumerate(texts)}
     assert piece_tokens.digests(docs.filter("doc_id < 0"), PATH).collect() == []
     assert piece_tokens.digests(docs.selectExpr("cast(null as long) doc_id", "text").limit(1), PATH).first().doc_id is None
 
