@@ -24,9 +24,11 @@ one document; an empty table gives no file and no row; extra columns are left al
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,42 +45,90 @@ from terralog.sources.shared import shared_path
 BLOCK, PERCENTILE = 128, 0.9
 FILE_IDS = 4_000_000
 END_ID = 1
+#: Bounds of what a task remembers: pieces, and characters of a piece.
 MOST_WORDS, LONGEST_KEPT = 400_000, 64
+TEXT_AT_ONCE = 2_000_000
 MAGIC = struct.pack("<4sI", b"PFOR", 1)
 AT_ONCE = 4096  # blocks packed or unpacked in one go
 
 
+#: Texts of ASCII and composed Latin letters: what the tokenizer's first steps do to them
+#: is to make letters small and to cut as below, so pieces can be found without it.
+SIMPLE = re.compile("[\x00-\x7f\u00c0-\u012f\u0131-\u017f]*")
+LETTERS = "a-zß-öø-ſ"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r\\x0b\\x0c{LETTERS}0-9]+")
+#: Byte-level models write each byte as a letter: printable Latin-1 ones as they are, the
+#: rest, in order, as the letters from U+0100 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - PRINTABLE))}
+SPECIAL = "<|"  # special tokens begin so; they are found in the text as it is
+
+
 class WordIds:
-    """Ids of texts by the tokenizers library, remembering what a word gave.
+    """Ids of texts by the tokenizers library, remembering what a piece of text gave.
 
-    This tokenizer drops white space and never joins across it, so a text's ids are those
-    of the pieces between ASCII white space, one after the other.
+    This tokenizer drops white space and never joins across it or across the pieces it
+    cuts first, so a text's ids are those of its pieces, one after the other.  Where the
+    pieces are not plain to see, those between ASCII white space are taken.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = text.encode().split(), self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = set(words)
-            pieces = [w.decode() for w in new]
-            for word, got in zip(new, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del known[w]
+        self.merge = self.tokenizer.model.tokenize
+        # What was used lately, and what was before that memory was last full.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut, whole = [], set()
+        for text in texts:
+            if SIMPLE.fullmatch(text) and SPECIAL not in text:
+                cut.append(PIECES.findall(text.lower()))
+            else:
+                cut.append([x.decode() for x in text.encode().split()])
+                whole.update(cut[-1])
+        every = set().union(*cut)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > MOST_WORDS:
+            self.older, self.known, new = self.known, {}, every
+        known, older = self.known, self.older
+        unseen = []
+        for piece in new:
+            ids = older.get(piece)
+            if ids is None:
+                unseen.append(piece)
+            else:
+                known[piece] = ids
+        uncut = [x for x in unseen if x in whole]
+        for piece, got in zip(uncut, self.tokenizer.encode_batch_fast(uncut, add_special_tokens=False), strict=True):
+            known[piece] = array("I", got.ids).tobytes()
+        for piece in unseen:
+            if piece not in whole:
+                letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                known[piece] = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in unseen:
+            if len(piece) > LONGEST_KEPT:
+                del known[piece]
         return out
 
 
+def in_parts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, about ``TEXT_AT_ONCE`` characters at a time."""
+    part, size = [], 0
+    for value in column:
+        part.append(value.as_py())
+        size += len(part[-1])
+        if size >= TEXT_AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 @lru_cache(2)
 def tokenizer(path: str) -> WordIds:
     return WordIds(path)
@@ -103,8 +153,10 @@ def packed(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     values = values.reshape(n_blocks, BLOCK).astype(np.uint32)
     least = values.min(axis=1)
     rest = values - least[:, None]
-    width = np.sort(bit_lengths(rest), axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
-    large = bit_lengths(rest) > width[:, None]
+    bits_needed = bit_lengths(rest)
+    nth_width = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    width = np.partition(bits_needed, nth_width, axis=1)[:, nth_width]
+    large = bits_needed > width[:, None]
     n_large = large.sum(axis=1)
     sizes = 6 + BLOCK // 8 * width.astype(np.int64) + 5 * n_large
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -215,9 +267,10 @@ def written(
 
         held = 0
         for b in batches:
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            encoded = (ids for part in in_parts(b.column("text")) for ids in ids_of(part))
+            for key, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
                 keys.append(key)
-                made.append(ids_of(text.as_py()) + end)
+                made.append(ids + end)
                 held += len(made[-1]) // 4
                 if held >= file_ids:
                     yield flush()

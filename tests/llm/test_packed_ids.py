@@ -42,17 +42,19 @@ def odd_texts():
 
 def test_ids(library):
     own = packed_ids.WordIds(PATH)
-    for text in odd_texts():
-        want = library.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(own(text or ""), "<u4").tolist() == want, text
+    texts = [t or "" for t in odd_texts()]
+    for part in (texts, *([t] for t in texts)):
+        for text, ids in zip(part, own(part), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want, text
 
 
 def test_memory_of_words_is_bounded(library, monkeypatch):
     monkeypatch.setattr(packed_ids, "MOST_WORDS", 4)
     own = packed_ids.WordIds(PATH)
     for text in ("one two three four five six", "seven one eight", "x" * 200 + " one"):
-        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(own.known) <= 6 and all(len(w) <= 64 for w in own.known)
+        assert np.frombuffer(own([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(own.known) <= 6 and len(own.older) <= 6 and all(len(w) <= 64 for w in own.known)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 1000, 128 * 5000])
