@@ -76,6 +76,10 @@ DOC_LINES = """lines AS (
   SELECT doc_id, lang, source, CAST(i - 1 AS INTEGER) AS idx, line
   FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, i))"""
 
+# A country's states, each as code where there is one, and name; and with the id before.
+CODED_LINES = "md5(string_agg(CASE WHEN line <> '' THEN 'L' || idx || ':' ELSE '' END || line, '|' ORDER BY idx))"
+STATE_ROWS = "md5(string_agg(idx || ':' || CASE WHEN line <> '' THEN 'L' || idx || ':' ELSE '' END || line, '|' ORDER BY idx))"
+
 DOC_WORDS = f"""{DOC_LINES}, words AS (
   SELECT doc_id, idx, j, word
   FROM lines, unnest(string_split(line, ' ')) WITH ORDINALITY AS t(word, j))"""
@@ -98,6 +102,11 @@ EVENT_REQUESTS = f"""requests AS (
   FROM events)"""
 
 
+HOT_REQUESTS = f"""requests AS (
+  SELECT o_orderkey AS req_id, CASE WHEN o_custkey % 7 < 6 THEN {CUSTOMER_NAME.format("(o_custkey % 7 + 1)")} END AS name
+  FROM orders)"""
+
+
 def part_city_facts(null_name: str | None = None) -> str:
     city = f"CASE WHEN p_name <> '{null_name}' THEN p_name ELSE 'null' END" if null_name else "p_name"
     return f"""facts AS (
@@ -225,9 +234,9 @@ SELECT f.req_id,
 FROM found f LEFT JOIN lists USING (req_id)"""
 
 
-def rate(extra: str = "") -> str:
-    return f"""SELECT user_id AS client, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) - 5 AS rejected
-FROM events GROUP BY 1, 2 HAVING count(*) > 5 {extra}"""
+def rate() -> str:
+    return """SELECT user_id AS client, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) - 5 AS rejected
+FROM events GROUP BY 1, 2 HAVING count(*) > 5"""
 
 
 STATE_CITIES_DIGEST = f"""WITH {DOC_WORDS}
@@ -318,7 +327,7 @@ FROM customer LEFT JOIN nation ON 'nation_' || (c_custkey % 30) = lower(trim(n_n
     "lookup_states": lookup(
         f"""{DOC_LINES}, {DOC_REQUESTS}, docs AS (
   SELECT doc_id AS pos, 'Doc ' || doc_id AS name, 'D-' || doc_id AS iso2, max(lang) AS iso3,
-         CAST(count(*) AS INTEGER) AS n_states, md5(string_agg(line, '|' ORDER BY idx)) AS states_md5
+         CAST(count(*) AS INTEGER) AS n_states, {CODED_LINES} AS states_md5
   FROM lines GROUP BY doc_id)""",
         "docs", "iso2", "name, iso2, iso3, n_states, states_md5", "'states in ' || name || ' retrieved'",
     ),
@@ -330,15 +339,24 @@ FROM customer LEFT JOIN nation ON 'nation_' || (c_custkey % 30) = lower(trim(n_n
         ORDER_CITY_FACTS, "city", "country", "year,value,sex,reliabilty", False, "missing param (city)",
         "city data not found", "r.country || ' with population'",
     ),
+    "lookup_population_answers": f"""WITH {ORDER_FACTS}, {HOT_REQUESTS},
+heads AS (SELECT country, arg_min(code, pos) AS code FROM facts GROUP BY country)
+SELECT req_id, CASE WHEN name IS NULL THEN 400 WHEN country IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN name IS NULL THEN 'missing param (country or iso3)' WHEN country IS NULL THEN 'country data not found'
+            ELSE country || ' with population' END AS msg, country, code
+FROM requests LEFT JOIN heads ON name = country""",
+    "lookup_population_facts": f"""WITH {ORDER_FACTS}, {HOT_REQUESTS}
+SELECT country, pos, year, value FROM facts WHERE country IN (SELECT name FROM requests)""",
     "lookup_any_column": f"""WITH {CODES}, asked AS (
   SELECT o_orderkey AS req_id, CASE o_orderstatus WHEN 'F' THEN {CUSTOMER_NAME.format("o_custkey")}
     WHEN 'O' THEN upper({CUSTOMER_NAME.format("o_custkey")}) || ' '
     ELSE upper({CUSTOMER_NAME.format("o_custkey")}) END AS country FROM orders)
-SELECT req_id, CASE WHEN name IS NULL THEN 404 ELSE 200 END AS status, name, dial_code
+SELECT req_id, CASE WHEN name IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN name IS NULL THEN 'country not found' ELSE 'successs' END AS msg, name, dial_code
 FROM asked LEFT JOIN codes ON lower(name) = lower(country)""",
     "lookup_duplicate_names": """WITH firsts AS (
   SELECT p_name, min(p_partkey) AS k, arg_min(p_brand, p_partkey) AS brand FROM part GROUP BY p_name)
-SELECT p_partkey AS req_id, 200 AS status, 'P-' || CASE WHEN p_size <= 10 THEN p_partkey ELSE k END AS iso_a2,
+SELECT p_partkey AS req_id, 200 AS status, 'P-' || CASE WHEN p_size <= 10 THEN p_partkey ELSE k END || ' found' AS msg, 'P-' || CASE WHEN p_size <= 10 THEN p_partkey ELSE k END AS iso_a2,
        CASE WHEN p_size <= 10 THEN p_brand ELSE brand END AS iso_a3
 FROM part JOIN firsts USING (p_name)""",
     "lookup_two_level": """WITH asked AS (
@@ -401,31 +419,34 @@ FROM once WHERE rn = 1 GROUP BY conv_id, turn""",
     "name_contains": f"WITH {part_city_facts()} SELECT * FROM facts WHERE contains(lower(country), 'brand#1')",
     "drop_leading_null": city_report(part_city_facts("blue bolt"), "f.year, f.value", "upper(city) DESC, pos"),
     "drop_leading_null_by_value": city_report(part_city_facts("small ring"), "f.year, f.value", "first_value, pos"),
-    "order_name_asc": f"{CUSTOMERS} ORDER BY upper(country), pos LIMIT 100",
-    "order_name_dsc": f"{CUSTOMERS} ORDER BY upper(country) DESC, pos LIMIT 100",
-    "order_name_other_word": f"{CUSTOMERS} ORDER BY pos LIMIT 100",
-    "order_value_asc": f"{CUSTOMERS} ORDER BY value, pos LIMIT 100",
-    "order_value_dsc": f"{CUSTOMERS} ORDER BY value DESC, pos LIMIT 100",
-    "order_capitals": (
-        f"WITH {MASTER} SELECT pos, name, capital, iso2, iso3 FROM master ORDER BY upper(name), pos LIMIT 100"
-    ),
+    "order_name_asc": CUSTOMERS,
+    "order_name_dsc": CUSTOMERS,
+    "order_name_other_word": CUSTOMERS,
+    "order_value_asc": CUSTOMERS,
+    "order_value_dsc": CUSTOMERS,
+    "order_top": f"{CUSTOMERS} ORDER BY upper(country) DESC, pos LIMIT 100",
+    "order_capitals": f"WITH {MASTER} SELECT pos, name, capital, iso2, iso3 FROM master",
     "limit_edge": f"""WITH ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC, pos) AS place FROM ({CUSTOMERS}))
 SELECT pos, country, value, 'none' AS kind FROM ranked
+UNION ALL SELECT pos, country, value, 'huge' FROM ranked
 UNION ALL SELECT pos, country, value, 'fraction' FROM ranked WHERE place <= 2
 UNION ALL SELECT pos, country, value, 'blanks' FROM ranked WHERE place <= 3
 UNION ALL SELECT pos, country, value, 'hex' FROM ranked WHERE place <= 4""",
+    "limit_beyond_top_k": f"WITH {ORDER_FACTS} SELECT pos, country, value FROM facts ORDER BY value DESC, pos LIMIT 12000",
+    "sample_rows": f"""WITH {CODES} SELECT name, dial_code, iso2, code, latitude, longitude FROM codes
+ORDER BY md5('7:' || pos), pos LIMIT 10""",
     "merge_lists": merged(),
     "suppress_source": merged("'NATION_3', 'nation_4'"),
-    "filter_population": f"""WITH {NATION_FACTS} SELECT * FROM facts
-WHERE year = 1997 AND value > 0 AND value < 1000000000000 ORDER BY value DESC, pos LIMIT 10""",
+    "filter_population": f"""WITH {NATION_FACTS},
+heads AS (SELECT country, min(pos) AS first, arg_min(code, pos) AS first_code FROM facts GROUP BY country)
+SELECT first AS pos, country, first_code AS code, year, value FROM facts JOIN heads USING (country)
+WHERE year = 1997 AND value > 0 AND value < 1000000000000 ORDER BY value DESC, first LIMIT 10""",
     "filter_population_all_years": year_report("1998", "r.value > 1000 AND r.value < 400000"),
     "filter_population_default_year": year_report(DEFAULT_YEAR),
     "filter_population_nested": (
         f"SELECT country, code, year, value FROM ({year_report('1996', 'r.value < 200000')})"
     ),
-    "filter_population_by_folder": f"""WITH {ORDER_FACTS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY pos) AS rn FROM facts WHERE year = 1999)
-SELECT pos, country, code, year, value FROM ranked WHERE rn = 1""",
+    "filter_population_by_folder": year_report("1999"),
     "latest_year": f"WITH {ORDER_FACTS} SELECT {DEFAULT_YEAR} AS year",
     "greatest_year": f"WITH {ORDER_FACTS} SELECT max(year) AS year FROM facts",
     "filter_city_population": city_report(
@@ -445,7 +466,7 @@ FROM master LEFT JOIN firsts ON lower(name) = k""",
 SELECT doc_id AS pos, CASE WHEN lang = 'en' THEN 'Doc ' ELSE 'DOC ' END || doc_id AS name,
        CASE WHEN lang = 'en' THEN CAST(count(*) AS INTEGER) END AS n_cities,
        CASE WHEN lang = 'en' THEN md5(string_agg(line, '|' ORDER BY idx)) END AS cities_md5,
-       md5(string_agg(CAST(idx AS VARCHAR), '|' ORDER BY idx)) AS state_ids_md5
+       {STATE_ROWS} AS states_md5
 FROM lines GROUP BY doc_id, lang""",
     "json_round_trip": f"""WITH {CODES} SELECT pos, name, dial_code, iso2, code, latitude,
        CAST(longitude AS VARCHAR) AS longitude FROM codes""",
@@ -453,9 +474,7 @@ FROM lines GROUP BY doc_id, lang""",
     "city_facts_round_trip": f"WITH {ORDER_CITY_FACTS} SELECT * FROM facts",
     "nested_round_trip": STATE_CITIES_DIGEST,
     "rate_breaches": rate(),
-    "rate_breaches_stream": rate(
-        "AND date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
-    ),
+    "rate_breaches_stream": rate(),
     "lookup_stream": lookup(f"{CODES}, {EVENT_REQUESTS}", "codes", "code", "name, code, dial_code", DIAL_FOUND),
     "lookup_stream_as_batch": lookup(
         f"{CODES}, {EVENT_REQUESTS}", "codes", "code", "name, code, dial_code", DIAL_FOUND
@@ -463,5 +482,5 @@ FROM lines GROUP BY doc_id, lang""",
 }
 
 SQL["lookup_status"] = f"SELECT status, count(*) AS n FROM ({SQL['lookup_dial_code']}) GROUP BY status"
-SQL["response_envelope"] = f"""SELECT req_id, status, status <> 200 AS error, msg, name, currency
+SQL["response_envelope"] = f"""SELECT req_id, status, status <> 200 AS error, msg, name, currency, iso2 AS iso_a2, iso3 AS iso_a3
 FROM ({SQL['lookup_currency']})"""

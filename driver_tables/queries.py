@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from terralog.plans.population import filter_population as run_filter_population
 from terralog.sources import schemas
 from terralog.sources.load import load_city_population, load_country_population, load_table, with_keys
 from terralog.sources.shared import shared_path
-from terralog.sources.write import respond, write_facts, write_result
-from terralog.streaming.lookups import land
+from terralog.sources.write import read_facts, respond, write_facts, write_result
+from terralog.streaming.lookups import land, land_latest
 from terralog.streaming.lookups import lookup_stream as run_lookup_stream
 from terralog.streaming.rate import rate_breaches as run_rate_breaches
 
@@ -129,7 +130,7 @@ def country_series(spark, sf):
 @query
 def country_series_totals(spark, sf):
     # One fact per nation and year, so a series is never longer than the years.
-    nested = series.country_series(R.nation_facts(spark, sf), max_items=None)
+    nested = series.country_series(R.nation_facts(spark, sf), items_per_part=None)
     return series.unnest_series(nested).select("country", "code", "iso3", "idx", "year", "value")
 
 
@@ -142,7 +143,7 @@ def city_series_homonyms(spark, sf):
 @query
 def city_series_in_parts(spark, sf):
     """The same series in many parts: the way a very long series is built."""
-    nested = series.city_series(R.part_city_facts(spark, sf), max_items=8)
+    nested = series.city_series(R.part_city_facts(spark, sf), items_per_part=8)
     return series.unnest_series(nested).select("city", "country", "idx", "year", "value", "sex", "reliabilty")
 
 
@@ -235,7 +236,7 @@ def lookup_unicode_flag(spark, sf):
 @query
 def lookup_states(spark, sf):
     found = lookup.states_of(R.doc_requests(spark, sf), project.country_states(R.doc_states(spark, sf)))
-    names = F.transform("states", lambda s: s["name"])
+    names = F.transform("states", lambda s: F.concat_ws(":", s["state_code"], s["name"]))
     return found.select(
         "req_id", "status", "msg", "name", "iso2", "iso3",
         F.when(F.col("status") == 200, F.size("states")).alias("n_states"), digest(names).alias("states_md5"),
@@ -252,6 +253,27 @@ def lookup_city_population(spark, sf):
     return plain(series.population_of_city(R.series_requests(spark, sf), R.order_city_facts(spark, sf)))
 
 
+def _hot_requests(spark, sf):
+    """Every order asks for one of six customers or for none, so each is asked for many times."""
+    kind = F.col("o_custkey") % 7
+    return R.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("req_id"), F.when(kind < 6, F.upper(R.customer_name(kind + 1))).alias("country")
+    )
+
+
+@query
+def lookup_population_answers(spark, sf):
+    """Requests that ask one country many times: one row each, without its facts."""
+    return series.country_answers(_hot_requests(spark, sf), R.order_facts(spark, sf))
+
+
+@query
+def lookup_population_facts(spark, sf):
+    """The facts of the countries that some request asked for, each once."""
+    facts = R.order_facts(spark, sf)
+    return plain(series.asked_country_facts(series.country_answers(_hot_requests(spark, sf), facts), facts))
+
+
 @query
 def lookup_any_column(spark, sf):
     asked = R.table(spark, sf, "orders").select(
@@ -262,7 +284,7 @@ def lookup_any_column(spark, sf):
         .alias("country"),
     )
     codes = R.codes(spark, sf).select(POS, "name", "dial_code")
-    return lookup.find_by(asked, codes, "country", "name").drop("msg")
+    return lookup.find_by(asked, codes, "country", "name")
 
 
 @query
@@ -281,7 +303,7 @@ def lookup_duplicate_names(spark, sf):
     )
     return lookup.lookup_first(
         asked, R.part_master(spark, sf), [Key("country", "Name"), Key("iso2", "Iso2")], ["Iso2", "Iso3"], "{answer.Iso2} found"
-    ).select("req_id", "status", F.col("Iso2").alias("iso_a2"), F.col("Iso3").alias("iso_a3"))
+    ).select("req_id", "status", "msg", F.col("Iso2").alias("iso_a2"), F.col("Iso3").alias("iso_a3"))
 
 
 @query
@@ -418,45 +440,58 @@ def _customers(spark, sf):
 
 @query
 def order_name_asc(spark, sf):
-    return plain(order.limit_rows(order.order_rows(_customers(spark, sf), "asc", "name"), "100"))
+    return plain(order.order_rows(_customers(spark, sf), "asc", "name"))
 
 
 @query
 def order_name_dsc(spark, sf):
-    return plain(order.limit_rows(order.order_rows(_customers(spark, sf), "dsc", " Name "), "100"))
+    return plain(order.order_rows(_customers(spark, sf), "dsc", " Name "))
 
 
 @query
 def order_name_other_word(spark, sf):
-    return plain(order.limit_rows(order.order_rows(_customers(spark, sf), "desc", "name"), "100"))
+    return plain(order.order_rows(_customers(spark, sf), "desc", "name"))
 
 
 @query
 def order_value_asc(spark, sf):
-    return plain(order.limit_rows(order.order_rows(_customers(spark, sf), "asc", "population"), 100))
+    return plain(order.order_rows(_customers(spark, sf), "asc", "population"))
 
 
 @query
 def order_value_dsc(spark, sf):
-    return plain(order.limit_rows(order.order_rows(_customers(spark, sf), " DSC ", "population"), 100))
+    return plain(order.order_rows(_customers(spark, sf), " DSC ", "population"))
+
+
+@query
+def order_top(spark, sf):
+    """A top-k: here the cut is the feature."""
+    return plain(order.order_rows(_customers(spark, sf), "dsc", "name", limit="100"))
 
 
 @query
 def order_capitals(spark, sf):
-    ordered = order.capitals_in_order(project.capitals(R.master(spark, sf)))
-    return plain(order.limit_rows(ordered, 100))
+    return plain(order.capitals_in_order(project.capitals(R.master(spark, sf))))
 
 
 @query
 def limit_edge(spark, sf):
     """The same sorted table under limits of each kind."""
-    ordered = order.order_rows(_customers(spark, sf), "dsc", "population")
-    cases = {"2.7": "fraction", "0": "zero", "-1": "negative", "abc": "text", " 3 ": "blanks", "0x4": "hex"}
-    parts = [order.limit_rows(ordered, n).withColumn("kind", F.lit(kind)) for n, kind in cases.items()]
-    whole = order.limit_rows(ordered, None).withColumn("kind", F.lit("none"))
-    for part in parts:
-        whole = whole.unionByName(part)
-    return plain(whole)
+    cases = {
+        "2.7": "fraction", "0": "zero", "-1": "negative", "abc": "text", " 3 ": "blanks", "0x4": "hex", "1e12": "huge", None: "none",
+    }
+    parts = [
+        order.order_rows(_customers(spark, sf), "dsc", "population", limit=n).withColumn("kind", F.lit(kind))
+        for n, kind in cases.items()
+    ]
+    return plain(reduce(DataFrame.unionByName, parts))
+
+
+@query
+def limit_beyond_top_k(spark, sf):
+    """A limit above the top-k bound."""
+    facts = R.order_facts(spark, sf).select(POS, "country", "value")
+    return plain(order.order_rows(facts, "dsc", "population", limit=12_000))
 
 
 @query
@@ -502,8 +537,7 @@ def filter_population(spark, sf):
     """Nations by their order total of one year, within bounds, highest first."""
     return plain(
         run_filter_population(
-            R.nation_facts(spark, sf), year="1997", gt="0", lt="1000000000000", order="dsc", limit="10",
-            prune_to_year=True,
+            R.nation_facts(spark, sf), year="1997", gt="0", lt="1000000000000", order="dsc", limit="10"
         )
     )
 
@@ -533,7 +567,8 @@ def filter_population_by_folder(spark, sf):
     """The same report from facts stored in one folder per year."""
     path = shared_path(spark, f"facts-{uuid.uuid4().hex}")
     write_facts(R.order_facts(spark, sf), path)
-    return plain(run_filter_population(spark.read.parquet(path), year="1999", prune_to_year=True))
+    facts, heads = read_facts(spark, path)
+    return plain(run_filter_population(facts, year="1999", heads=heads))
 
 
 @query
@@ -580,7 +615,7 @@ def country_info_lists(spark, sf):
         F.col(POS).alias("pos"), "name",
         F.when(F.col("cities").isNotNull(), F.size("cities")).alias("n_cities"),
         digest(F.col("cities")).alias("cities_md5"),
-        digest(F.transform("states", lambda s: s["id"])).alias("state_ids_md5"),
+        digest(F.transform("states", lambda s: F.concat_ws(":", s["id"], s["state_code"], s["name"]))).alias("states_md5"),
     )
 
 
@@ -634,7 +669,7 @@ def nested_round_trip(spark, sf):
 @query
 def response_envelope(spark, sf):
     answers = respond(lookup_currency(spark, sf))
-    return answers.select("req_id", "status", "error", "msg", "data.name", "data.currency")
+    return answers.select("req_id", "status", "error", "msg", "data.name", "data.currency", F.col("data.iso2").alias("iso_a2"), F.col("data.iso3").alias("iso_a3"))
 
 
 # -- rates and streams --------------------------------------------------------
@@ -671,11 +706,12 @@ def rate_breaches(spark, sf):
 
 @query
 def rate_breaches_stream(spark, sf):
-    """The same on a stream: days the watermark has closed."""
+    """The same on a stream, at the end of its input: open days too."""
     found = run_rate_breaches(
         _event_stream(spark, sf), client="user_id", window="1 day", max_requests=5, lateness="1 hour"
     )
-    return land(found).select("client", F.col("window_start").cast("date").alias("day"), "n", "rejected")
+    path = shared_path(spark, f"rates-{uuid.uuid4().hex}")
+    return land_latest(found, path, ["client", "window_start"]).select("client", F.col("window_start").cast("date").alias("day"), "n", "rejected")
 
 
 @query
@@ -683,7 +719,8 @@ def lookup_stream(spark, sf):
     codes = project.dial_codes(R.codes(spark, sf))
     keys = [Key("country", "name"), Key("iso2", "code")]
     requests = _event_requests(_event_stream(spark, sf))
-    return land(run_lookup_stream(requests, codes, keys, ["name", "code", "dial_code"], MSG_DIAL_CODE))
+    stream = run_lookup_stream(requests, codes, keys, ["name", "code", "dial_code"], MSG_DIAL_CODE)
+    return land(stream, shared_path(spark, f"landed-{uuid.uuid4().hex}"))
 
 
 @query

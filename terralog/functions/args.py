@@ -11,8 +11,6 @@ from terralog.functions.numbers import number_arg
 from terralog.functions.text import BLANKS
 from terralog.names import MSG_INVALID_PAYLOAD, MSG_NEED_RETURNS
 
-MAX_LIMIT = 2**31 - 1
-
 
 def is_given(value: object) -> bool:
     """None, False and '' mean "not given"; '0', 0 and ' ' are given."""
@@ -33,8 +31,6 @@ def parse_limit(limit: object) -> int | None:
         return 0
     if math.isinf(number):
         return None
-    if number > MAX_LIMIT:
-        raise ValueError(f"limit above {MAX_LIMIT}; leave it out to keep all rows")
     return int(number)
 
 

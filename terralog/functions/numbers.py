@@ -19,8 +19,8 @@ from terralog.functions.text import BLANKS, strip
 
 # A cast alone would also read Java forms such as '1d', 'inf' and 'NaN'.
 DECIMAL = r"^[+-]?(Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
-# Prefix letter -> (base, digits, most digits that fit in 60 bits).
-RADIX = {"x": (16, "0-9a-fA-F", 15), "o": (8, "0-7", 20), "b": (2, "01", 60)}
+# Prefix letter -> (bits of a digit, digits, most digits that fit in 60 bits).
+RADIX = {"x": (4, "0-9a-fA-F", 15), "o": (3, "0-7", 20), "b": (1, "01", 60)}
 
 
 def number_arg(value: object) -> float | None:
@@ -35,23 +35,36 @@ def number_arg(value: object) -> float | None:
     if re.match(DECIMAL, text):
         return float(text)
     base = RADIX.get(text[1:2].lower())
-    if base and re.match(rf"^0[a-zA-Z][{base[1]}]{{1,{base[2]}}}$", text):
-        return float(int(text[2:], base[0]))
+    if base and re.match(rf"^0[a-zA-Z][{base[1]}]+$", text):
+        try:
+            return float(int(text[2:], 2 ** base[0]))
+        except OverflowError:
+            return math.inf
     return None
 
 
+def _radix_value(digits: Column, bits: int, most: int) -> Column:
+    """Digits of ``bits`` bits each as a double, rounded once.
+
+    The first 60 bits hold more than a double keeps; of the digits after them only
+    their number matters, and whether one is not zero, which breaks ties.
+    """
+    digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    head = F.conv(F.substring(digits, 1, most), 2**bits, 10).cast("long")
+    rest = F.substring(digits, F.lit(most + 1), F.length(digits))
+    odd = F.when(rest.rlike("[^0]"), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return head.bitwiseOR(odd).cast("double") * F.pow(F.lit(2.0), bits * F.length(rest))
+
+
 def number_of_text(col: Column) -> Column:
     """A text column as double; null where the text is not a number."""
     text = strip(col)
     parsed = F.when(text == "", F.lit(0.0)).when(
         text.rlike(DECIMAL), text.try_cast("double")
     )
-    for letter, (base, digits, most) in RADIX.items():
-        form = rf"^0[{letter}{letter.upper()}][{digits}]{{1,{most}}}$"
-        parsed = parsed.when(
-            text.rlike(form),
-            F.conv(F.substring(text, 3, 64), base, 10).try_cast("double"),
-        )
+    for letter, (bits, digits, most) in RADIX.items():
+        form = rf"^0[{letter}{letter.upper()}][{digits}]+$"
+        parsed = parsed.when(text.rlike(form), _radix_value(F.substring(text, F.lit(3), F.length(text)), bits, most))
     return parsed
 
 

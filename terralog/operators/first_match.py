@@ -11,15 +11,30 @@ from terralog.functions.text import norm_key
 from terralog.names import POS
 
 
+def first_pos(df: DataFrame, keys: Sequence[str], pos: str = POS, into: str = "_at") -> DataFrame:
+    """One row per key: ``keys`` and the lowest ``pos``.
+
+    A minimum of a number combines on the map side in a hash table, so a key that holds
+    most of the rows sends one row per input partition through the shuffle.
+    """
+    return df.groupBy(*keys).agg(F.min(pos).alias(into))
+
+
+def fetch(firsts: DataFrame, rows: DataFrame, columns: Sequence[str], into: str, pos: str = POS, at: str = "_at") -> DataFrame:
+    """Replace position ``at`` by a struct ``into`` of the ``columns`` of the row at that place."""
+    placed = rows.select(F.col(pos).alias("_place"), F.struct(*columns).alias(into))
+    return firsts.join(placed, F.col(at) == F.col("_place")).drop(at, "_place")
+
+
 def first_by(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], into: str = "answer", pos: str = POS
 ) -> DataFrame:
     """One row per key: ``keys`` and a struct ``into`` of the first row's columns.
 
-    ``min_by`` combines on the map side, so a key that holds most of the rows
-    still sends one row per input partition through the shuffle.
+    Only positions are aggregated; texts and lists are fetched for the winners, by one
+    join on the position.
     """
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), pos).alias(into))
+    return fetch(first_pos(df, keys, pos), df, columns, into, pos)
 
 
 def match_key(tag: str | Column, *values: Column) -> Column:

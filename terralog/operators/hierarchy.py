@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog import names as N
-from terralog.functions.lists import city_names, first_where
+from terralog.functions.lists import city_names
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
-from terralog.operators.first_match import first_by, match_key
+from terralog.operators.first_match import first_by, first_pos, match_key
 from terralog.operators.lookup import with_fields
 
 
@@ -49,19 +49,30 @@ def cities_in_state(
 ) -> DataFrame:
     """Country and state names to the list of city names, over the nested table.
 
-    One join on the country; the state is then picked from that country's list,
-    whose keys are prepared once per country and not once per request.
+    Requests meet narrow keys only: the country's first row, then the first state of the
+    name in it.  The one state's list is fetched last.
     """
-    keyed = F.transform(
-        "states", lambda s: F.struct(norm_key(s["name"], "state").alias("key"), city_names(s["cities"]).alias("cities"))
+    named = state_cities.select(pos, F.lower("name").alias("_name"), "states")
+    firsts = first_pos(named.where(F.col("_name").isNotNull()), ["_name"], pos, "_row")
+    countries = firsts.select(match_key("country", F.col("_name")).alias("_country"), "_row")
+    # Only states of rows that a country name leads to are looked at.
+    used = named.join(firsts.select(F.col("_row").alias("_used")), F.col(pos) == F.col("_used"), "left_semi")
+    inner = used.select(F.col(pos).alias("_row"), F.posexplode("states").alias("_nth", "_state"))
+    keyed = inner.select("_row", "_nth", norm_key(F.col("_state.name"), "state").alias("_key"))
+    heads = first_pos(keyed.where(F.col("_key").isNotNull()), ["_row", "_key"], "_nth", "_nth")
+    states = heads.select(
+        match_key("state", F.col("_row"), F.col("_key")).alias("_place"), match_key("list", F.col("_row"), F.col("_nth")).alias("_list")
     )
-    dim = state_cities.select(F.col(pos).alias("_at"), F.lower("name").alias("_name"), keyed.alias("states"))
-    firsts = first_by(dim.where(F.col("_name").isNotNull()), ["_name"], ["states"], into="_found", pos="_at")
-    countries = firsts.select(match_key("country", F.col("_name")).alias("_country"), "_found")
-    state = first_where(F.col("_found.states"), lambda s: s["key"] == F.col("_state"))
-    joined = _asked(requests, keep).join(countries, "_country", "left").withColumn("_hit", state)
-    status, msg = _answer(F.col("_found").isNotNull(), F.col("_hit").isNotNull())
-    return joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_hit.cities")).alias("cities"))
+    lists = inner.select(match_key("list", F.col("_row"), F.col("_nth")).alias("_list"), city_names(F.col("_state.cities")).alias("cities"))
+    joined = (
+        _asked(requests, keep)
+        .join(countries, "_country", "left")
+        .withColumn("_place", match_key("state", F.col("_row"), F.col("_state")))
+        .join(states, "_place", "left")
+    )
+    status, msg = _answer(F.col("_row").isNotNull(), F.col("_list").isNotNull())
+    answered = joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_list")).alias("_list"))
+    return answered.join(lists, "_list", "left").select(*keep, "status", "msg", "cities")
 
 
 def resolve_state(
@@ -91,6 +102,18 @@ def resolve_state(
     return joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_hit.state_id")).alias("state_id"))
 
 
+def asked_cities(resolved: DataFrame, cities: DataFrame, pos: str = POS) -> DataFrame:
+    """``state_id, _pos, city`` of the states that ``resolve_state`` found for some request, each once.
+
+    With its answers, any number of requests for one state take as many rows as there
+    are requests and cities, not one times the other.
+    """
+    asked = resolved.where(F.col("state_id").isNotNull()).select("state_id").distinct()
+    asked = asked.select(match_key("state", F.col("state_id")).alias("_place"))
+    rows = cities.select("state_id", pos, "city")
+    return rows.join(asked, match_key("state", F.col("state_id")) == F.col("_place"), "left_semi")
+
+
 def cities_in_state_long(
     requests: DataFrame,
     countries: DataFrame,
@@ -104,6 +127,7 @@ def cities_in_state_long(
     ``cities``: ``_pos, state_id, city``.  A request without a city is one row
     with its status and a null city.  Cities meet requests in an inner join, so
     the rows of a state that holds most of the cities can be spread over tasks.
+    Meant for few requests a state; for many, see ``asked_cities``.
     """
     resolved = resolve_state(requests, countries, states, keep, pos)
     filled = cities.groupBy("state_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from terralog import names as N
 from terralog.functions.text import given, message, norm_key
 from terralog.names import POS
-from terralog.operators.first_match import first_by, match_key
+from terralog.operators.first_match import fetch, first_pos, match_key
 from terralog.sources.schemas import REQUESTS
 
 
@@ -41,18 +41,18 @@ def request_key(keys: Sequence[Key]) -> Column:
     return F.coalesce(*choices)
 
 
-def keyed_rows(dim: DataFrame, keys: Sequence[Key], columns: Sequence[str], pos: str = POS) -> DataFrame:
-    """``_by, _value``, ``pos`` and ``columns``: each row once per key it answers to."""
+def keyed_positions(dim: DataFrame, keys: Sequence[Key], pos: str = POS) -> DataFrame:
+    """``_by, _value`` and ``pos``: each row's position once per key it answers to."""
     values = [F.struct(F.lit(k.param).alias("_by"), norm_key(F.col(k.column), k.mode).alias("_value")) for k in keys]
-    rows = dim.select(F.explode(F.array(*values)).alias("_k"), pos, *[c for c in columns if c != pos])
-    return rows.where(F.col("_k._value").isNotNull()).select("_k.*", *rows.columns[1:])
+    rows = dim.select(F.explode(F.array(*values)).alias("_k"), pos)
+    return rows.where(F.col("_k._value").isNotNull()).select("_k.*", pos)
 
 
 def first_answers(
     dim: DataFrame, keys: Sequence[Key], columns: Sequence[str], into: str = "answer", pos: str = POS
 ) -> DataFrame:
     """``_key`` and the first row's ``columns``, for every value of every key."""
-    firsts = first_by(keyed_rows(dim, keys, columns, pos), ["_by", "_value"], columns, into, pos)
+    firsts = fetch(first_pos(keyed_positions(dim, keys, pos), ["_by", "_value"], pos), dim, columns, into, pos)
     return firsts.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), into)
 
 

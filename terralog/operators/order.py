@@ -6,6 +6,9 @@ the range partitioning of a global sort can split a value that most rows share.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from terralog.functions.args import parse_limit
 from terralog.functions.numbers import number_column
 from terralog.functions.text import BLANKS
 from terralog.names import POS
+from terralog.sources.shared import shared_path
 
 
 def sort_keys(
@@ -41,14 +45,46 @@ def order_rows(
     name: str = "country",
     value: str = "value",
     pos: str = POS,
+    limit: object = None,
 ) -> DataFrame:
-    return df.orderBy(*sort_keys(df, order, order_by, name, value, pos))
+    """The rows in order, all of them or the first ``limit``."""
+    return limit_rows(df, limit, sort_keys(df, order, order_by, name, value, pos))
+
+
+#: Up to this limit the rows kept are merged in one place (a top-k).
+TOP_K = 10_000
+#: Rows of one range when a larger limit looks for its cut.
+RANGE_ROWS = 50_000
 
 
-def limit_rows(df: DataFrame, limit: object = None) -> DataFrame:
-    """Keep the first ``limit`` rows; see ``parse_limit``.  After a sort this is a top-k."""
+def limit_rows(df: DataFrame, limit: object, keys: Sequence[Column]) -> DataFrame:
+    """The first ``limit`` rows in the order of ``keys``, ordered; see ``parse_limit``.
+
+    A small limit is a top-k.  For a large one the rows are cut into ranges of the order
+    and stored; counts per range tell which ranges are in, and only the one that the cut
+    goes through is looked into.  No task sees more than a range, whatever the limit.
+    """
     n = parse_limit(limit)
-    return df if n is None else df.limit(n)
+    if n is None:
+        return df.orderBy(*keys)
+    if n <= TOP_K:
+        return df.orderBy(*keys).limit(n)
+    total = df.count()
+    if n >= total:
+        return df.orderBy(*keys)
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(total // RANGE_ROWS + 1, *keys).withColumn("_range", F.spark_partition_id())
+    path = shared_path(spark, f"ranges-{uuid.uuid4().hex}")
+    ranges.write.parquet(path)
+    stored = spark.read.schema(ranges.schema).parquet(path)
+    before, cut = 0, 0
+    for r in stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        cut = r["_range"]
+        if before + r["n"] >= n:
+            break
+        before += r["n"]
+    last = stored.where(F.col("_range") == cut).orderBy(*keys).limit(n - before)
+    return stored.where(F.col("_range") < cut).unionByName(last).drop("_range").orderBy(*keys)
 
 
 def capitals_in_order(capitals: DataFrame) -> DataFrame:
@@ -58,11 +94,11 @@ def capitals_in_order(capitals: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = 1, seed: int | None = None, pos: str | None = None) -> DataFrame:
     """``n`` rows drawn uniformly, whole rows.
 
-    With ``seed`` and a unique column ``pos`` the draw depends on the data only,
-    not on how it is partitioned, so a lost task recomputes the same draw.
+    With ``seed`` and a unique column ``pos`` the draw depends on the data only, not on
+    how it is partitioned, so a lost task recomputes the same draw: rows are taken in the
+    order of ``md5`` of ``seed:pos``.
     """
-    if pos is not None and seed is not None:
-        draw = [F.xxhash64(F.lit(seed), F.col(pos)), F.col(pos)]
-    else:
-        draw = [F.rand(seed)]
-    return df.orderBy(*draw).limit(n)
+    if pos is None or seed is None:
+        return limit_rows(df.withColumn("_draw", F.rand(seed)), n, [F.col("_draw").asc()]).drop("_draw")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(pos).cast("string")).cast("binary"))
+    return limit_rows(df, n, [draw.asc(), F.col(pos).asc()])

@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralog import names as N
-from terralog.functions.text import message
 from terralog.names import POS
-from terralog.operators.lookup import Key, ask, first_answers
+from terralog.operators.first_match import fetch, first_pos, match_key
+from terralog.operators.lookup import Key, lookup_first
 
-# A series longer than this is returned in several rows ("parts").
-MAX_ITEMS = 100_000
-# At most this many entities can be longer than their share of all rows, which
-# bounds what nest_series broadcasts.
-MAX_LONG_ENTITIES = 1_000_000
+# A series comes in parts of this many items.
+ITEMS_PER_PART = 100_000
+# Positions are counted in blocks of 2**16, blocks of blocks and so on, up to 64 bits.
+BLOCK_BITS = 16
 # Item fields of a series (one is misspelt in the data).
 COUNTRY_FIELDS = {"year": "year", "value": "value"}
 CITY_FIELDS = {"year": "year", "value": "value", "sex": "sex", "reliabilty": "reliabilty"}
@@ -32,18 +31,42 @@ def group_key(name: str) -> Column:
 
 
 def entities(facts: DataFrame, name: str, carry: Sequence[str], pos: str = POS) -> DataFrame:
-    """One row per entity: name, first row's ``carry``, ``pos`` of the first row, number of facts ``n``."""
-    return (
-        facts.select(pos, group_key(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"))
-        .groupBy("_name")
-        .agg(F.min_by("_carry", pos).alias("_carry"), F.min(pos).alias(pos), F.count(F.lit(1)).alias("n"))
-        .select(F.col("_name").alias(name), *[f"_carry.{c}" for c in carry], pos, "n")
+    """One row per entity: name, first row's ``carry``, ``pos`` of the first row."""
+    named = facts.select(group_key(name).alias("_name"), pos, *carry)
+    firsts = first_pos(named, ["_name"], pos)
+    return fetch(firsts.withColumn(pos, F.col("_at")), named, [F.lit(1), *carry], "_carry", pos).select(
+        F.col("_name").alias(name), *[f"_carry.{c}" for c in carry], pos
     )
 
 
-def row_count(df: DataFrame) -> Column:
-    """The number of rows, as a scalar; on Parquet it takes the file footers only."""
-    return df.agg(F.count(F.lit(1))).scalar()
+def numbered(rows: DataFrame, name: str, at: str, into: str) -> DataFrame:
+    """Add ``into``: the number of the name's rows at lower positions.
+
+    Rows are counted per block of 2**16 positions, blocks per block of 2**32 and so on, and
+    each level is added up within the next, so no window holds more than 2**16 rows,
+    whatever the spacing or sign of the positions and however many rows a name has.
+    """
+
+    def block(level: int) -> Column:
+        return F.shiftright(at, BLOCK_BITS * level)
+
+    counts = rows.groupBy(name, block(1).alias("_b1")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b2", F.shiftright("_b1", BLOCK_BITS))
+    second = counts.groupBy(name, "_b2").agg(F.sum("_n").alias("_n")).withColumn("_b3", F.shiftright("_b2", BLOCK_BITS))
+    third = second.groupBy(name, "_b3").agg(F.sum("_n").alias("_n"))
+
+    def before(within: Sequence[str], order: str) -> Column:
+        window = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    third = third.select(name, "_b3", before([name], "_b3").alias("_o3"))
+    second = second.withColumn("_o2", before([name, "_b3"], "_b2")).join(third, [name, "_b3"])
+    second = second.select(name, "_b2", (F.col("_o2") + F.col("_o3")).alias("_o2"))
+    first = counts.withColumn("_o1", before([name, "_b2"], "_b1")).join(second, [name, "_b2"])
+    first = first.select(name, "_b1", (F.col("_o1") + F.col("_o2")).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy(name, "_b1").orderBy(at)) - 1
+    placed = rows.withColumn("_b1", block(1)).withColumn("_place", place).join(first, [name, "_b1"])
+    return placed.select(*rows.columns, (F.col("_offset") + F.col("_place")).alias(into))
 
 
 def nest_series(
@@ -52,106 +75,58 @@ def nest_series(
     carry: Sequence[str],
     fields: Mapping[str, str],
     into: str = "populationCounts",
-    max_items: int | None = MAX_ITEMS,
+    items_per_part: int | None = ITEMS_PER_PART,
     pos: str = POS,
-    heads: DataFrame | None = None,
-    total: Column | None = None,
 ) -> DataFrame:
     """Group facts by ``name`` and nest ``fields`` in ``_pos`` order.
 
-    Returns ``name``, the first row's ``carry``, ``_pos`` of the first row,
-    ``part``, ``offset`` and the list ``into``.  A usual entity is one row with
-    part 0.  An entity with more than ``max_items`` facts, and more than a
-    millionth of them all, comes in several rows: consecutive parts, whole and
-    without overlap, each built by a task of its own, ``offset`` counting the
-    items before it.  No task holds an unbounded list, whatever share of the
+    Returns ``name``, the first row's ``carry``, ``_pos`` of the first row, ``part``,
+    ``offset`` and the list ``into``.  An entity comes in consecutive parts of
+    ``items_per_part`` items, the last one shorter, ``offset`` counting the items before
+    a part; most have part 0 only.  The parts depend on the entity's own items alone, and
+    each is built by itself, so no task holds an unbounded list, whatever share of the
     facts one entity has.
 
-    Finding the long entities takes a pass over the names.  ``heads`` (a row per
-    entity with its number of facts ``n``) and ``total`` (at least the number of
-    all facts) save it where the caller has them.  ``max_items=None`` saves it
-    too and always gives one part; use it only where the facts bound the length,
-    such as totals grouped by entity and year.
+    ``items_per_part=None`` does not number the items and gives one part; use it only
+    where the facts bound the length, such as totals grouped by entity and year.
     """
     items = facts.select(
         group_key(name).alias("_name"),
-        F.col(pos).alias("_at"),
-        F.struct(F.lit(1), *carry).alias("_carry"),
-        F.struct(F.col(pos).alias("_at"), *[F.col(old).alias(new) for new, old in fields.items()]).alias("_item"),
+        F.col(pos).cast("long").alias("_at"),
+        *[F.col(old).alias(f"_f{k}") for k, old in enumerate(fields.values())],
     )
-    if max_items is None:
-        nested = _one_part(items)
+    item = F.struct("_at", *[F.col(f"_f{k}").alias(new) for k, new in enumerate(fields)])
+    if items_per_part is None:
+        parts = items.withColumn("part", F.lit(0).cast("long"))
     else:
-        sizes = (
-            items.groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
-            if heads is None
-            else heads.select(group_key(name).alias("_name"), "n")
-        )
-        total = row_count(facts) if total is None else total
-        # Above max_items and above 1/MAX_LONG_ENTITIES of all facts: fewer than
-        # MAX_LONG_ENTITIES entities, so one row for each is safe to broadcast.
-        is_long = (F.col("n") > max_items) & (F.col("n") * MAX_LONG_ENTITIES > total)
-        long_names = F.broadcast(sizes.where(is_long).select("_name"))
-        long_items = items.join(long_names, "_name", "left_semi")
-        firsts = F.broadcast(long_items.groupBy("_name").agg(*_first_row()))
-        parts = _many_parts(long_items.drop("_carry"), max_items).join(firsts, "_name")
-        nested = _one_part(items.join(long_names, "_name", "left_anti")).unionByName(parts)
+        parts = numbered(items, "_name", "_at", "_idx").withColumn("part", F.expr(f"_idx div {int(items_per_part)}"))
+    nested = parts.groupBy("_name", "part").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    heads = entities(facts, name, carry, pos).select(
+        F.col(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"), F.col(pos).alias("_first")
+    )
     bare = F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
-    return nested.select(
+    return nested.join(heads, "_name").select(
         F.col("_name").alias(name),
         *[f"_carry.{c}" for c in carry],
         F.col("_first").alias(pos),
         "part",
-        "offset",
+        (F.col("part") * (items_per_part or 0)).alias("offset"),
         bare.alias(into),
     )
 
 
-def _in_order() -> Column:
-    return F.sort_array(F.collect_list("_item")).alias("_items")
-
-
-def _first_row() -> list[Column]:
-    return [F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first")]
-
-
-def _one_part(items: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    return items.groupBy("_name").agg(_in_order(), *_first_row()).withColumns({"part": zero, "offset": zero})
-
-
-def _many_parts(items: DataFrame, max_items: int) -> DataFrame:
-    """Consecutive runs of an entity's items, each below 2 * max_items long.
-
-    Positions are unique, so a block of ``max_items`` positions holds at most
-    that many items.  Counting per block is a map-side combined aggregate; only
-    the counts are put in order per entity, and whole blocks are packed.
-    """
-    blocked = items.withColumn("_block", F.expr(f"_at div {int(max_items)}"))
-    counts = blocked.groupBy("_name", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.select(
-        "_name", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("offset")
-    ).withColumn("part", F.expr(f"offset div {int(max_items)}"))
-    return (
-        blocked.join(numbered, ["_name", "_block"])
-        .groupBy("_name", "part")
-        .agg(_in_order(), F.min("offset").alias("offset"))
-    )
-
-
-def country_series(facts: DataFrame, max_items: int | None = MAX_ITEMS) -> DataFrame:
+def country_series(facts: DataFrame, items_per_part: int | None = ITEMS_PER_PART) -> DataFrame:
     """``country, code, iso3, populationCounts[{year, value}]`` per country."""
-    nested = nest_series(facts, "country", ["code"], COUNTRY_FIELDS, max_items=max_items)
+    nested = nest_series(facts, "country", ["code"], COUNTRY_FIELDS, items_per_part=items_per_part)
     return nested.withColumn("iso3", F.col("code"))
 
 
-def city_series(facts: DataFrame, max_items: int | None = MAX_ITEMS) -> DataFrame:
+def city_series(facts: DataFrame, items_per_part: int | None = ITEMS_PER_PART) -> DataFrame:
     """``city, country, populationCounts[{year, value, sex, reliabilty}]`` per city name.
 
     Grouped by the name alone: same-named cities merge under the first's country.
     """
-    return nest_series(facts, "city", ["country"], CITY_FIELDS, max_items=max_items)
+    return nest_series(facts, "city", ["country"], CITY_FIELDS, items_per_part=items_per_part)
 
 
 def unnest_series(nested: DataFrame, into: str = "populationCounts") -> DataFrame:
@@ -175,59 +150,86 @@ def greatest_year(facts: DataFrame) -> DataFrame:
     return facts.agg(F.max("year").alias("year"))
 
 
-def _series_of(
+def _answers(
     requests: DataFrame,
     facts: DataFrame,
     name: str,
     carry: Sequence[str],
     keys: Sequence[Key],
-    fields: Sequence[str],
     found: str,
     missing: str,
     not_found: str,
     keep: Sequence[str],
     pos: str,
 ) -> DataFrame:
-    """Look up entities, then fetch their facts in long form."""
     heads = entities(facts, name, carry, pos)
-    asked = ask(requests, keys, keep).join(first_answers(heads, keys, [name, *carry], pos=pos), "_key", "left")
-    failed = asked.where(F.col("answer").isNull()).select(
-        *keep,
-        F.when(F.col("_key").isNull(), N.MISSING).otherwise(N.NOT_FOUND).alias("status"),
-        F.when(F.col("_key").isNull(), missing).otherwise(F.lit(not_found)).alias("msg"),
-    )
-    rows = facts.select(group_key(name).alias("_name"), pos, *fields)
-    hits = (
-        asked.where(F.col("answer").isNotNull())
-        .withColumn("_name", F.col(f"answer.{name}"))
-        .join(rows, "_name")
-        .select(
-            *keep, F.lit(N.OK).alias("status"), message(found).alias("msg"),
-            *[f"answer.{c}" for c in (name, *carry)], pos, *fields,
-        )
-    )
-    return hits.unionByName(failed, allowMissingColumns=True)
+    return lookup_first(requests, heads, keys, [name, *carry], found, pos, missing=missing, not_found=not_found, keep=keep)
+
+
+def _asked_facts(answers: DataFrame, facts: DataFrame, name: str, fields: Sequence[str], pos: str) -> DataFrame:
+    """The facts of the entities that some request found, each once."""
+    asked = answers.where(F.col("status") == N.OK).select(name).distinct().select(match_key(name, F.col(name)).alias("_entity"))
+    rows = facts.select(group_key(name).alias(name), pos, *fields)
+    return rows.join(asked, match_key(name, F.col(name)) == F.col("_entity"), "left_semi")
+
+
+def _spread(answers: DataFrame, facts: DataFrame, name: str, fields: Sequence[str], pos: str) -> DataFrame:
+    """Each answer with all facts of its entity, one row per fact."""
+    named = answers.withColumn("_entity", F.when(F.col("status") == N.OK, match_key(name, F.col(name))))
+    rows = facts.select(match_key(name, group_key(name)).alias("_entity"), pos, *fields)
+    failed = answers.where(F.col("status") != N.OK)
+    return named.join(rows, "_entity").drop("_entity").unionByName(failed, allowMissingColumns=True)
+
+
+COUNTRY_KEYS = (Key("country", "country"), Key("iso3", "code"))
+COUNTRY_TEXTS = (N.MSG_COUNTRY_POPULATION, N.MSG_NEED_COUNTRY_OR_ISO3, N.MSG_NO_COUNTRY_DATA)
+CITY_KEYS = (Key("city", "city"),)
+CITY_TEXTS = (N.MSG_CITY_POPULATION, N.MSG_NEED_CITY, N.MSG_NO_CITY_DATA)
+
+
+def country_answers(
+    requests: DataFrame, facts: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
+) -> DataFrame:
+    """Name or iso3 to ``status, msg, country, code``, one row per request.
+
+    With ``asked_country_facts`` this answers any number of requests for one country in
+    as many rows as there are requests and facts, not one times the other.
+    """
+    return _answers(requests, facts, "country", ["code"], COUNTRY_KEYS, *COUNTRY_TEXTS, keep, pos)
+
+
+def asked_country_facts(answers: DataFrame, facts: DataFrame, pos: str = POS) -> DataFrame:
+    """``country, _pos, year, value`` of the countries in ``answers``, each country once."""
+    return _asked_facts(answers, facts, "country", ["year", "value"], pos)
+
+
+def city_answers(
+    requests: DataFrame, facts: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
+) -> DataFrame:
+    """City name to ``status, msg, city, country``, one row per request; see ``country_answers``."""
+    return _answers(requests, facts, "city", ["country"], CITY_KEYS, *CITY_TEXTS, keep, pos)
+
+
+def asked_city_facts(answers: DataFrame, facts: DataFrame, pos: str = POS) -> DataFrame:
+    """``city, _pos, year, value, sex, reliabilty`` of the cities in ``answers``, each city once."""
+    return _asked_facts(answers, facts, "city", ["year", "value", "sex", "reliabilty"], pos)
 
 
 def population_of_country(
     requests: DataFrame, facts: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
 ) -> DataFrame:
-    """Name or iso3 to the country's facts, one row per fact in ``_pos`` order.
+    """Name or iso3 to the country's facts, one row per request and fact in ``_pos`` order.
 
-    A request that finds nothing is one row with its status and null facts.
+    A request that finds nothing is one row with its status and null facts.  Meant for
+    few requests; many for the same countries are better answered by
+    ``country_answers`` and ``asked_country_facts``.
     """
-    keys = [Key("country", "country"), Key("iso3", "code")]
-    return _series_of(
-        requests, facts, "country", ["code"], keys, ["year", "value"],
-        N.MSG_COUNTRY_POPULATION, N.MSG_NEED_COUNTRY_OR_ISO3, N.MSG_NO_COUNTRY_DATA, keep, pos,
-    )
+    return _spread(country_answers(requests, facts, keep, pos), facts, "country", ["year", "value"], pos)
 
 
 def population_of_city(
     requests: DataFrame, facts: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
 ) -> DataFrame:
-    """City name to the city's facts, one row per fact; see ``population_of_country``."""
-    return _series_of(
-        requests, facts, "city", ["country"], [Key("city", "city")], ["year", "value", "sex", "reliabilty"],
-        N.MSG_CITY_POPULATION, N.MSG_NEED_CITY, N.MSG_NO_CITY_DATA, keep, pos,
-    )
+    """City name to the city's facts, one row per request and fact; see ``population_of_country``."""
+    fields = ["year", "value", "sex", "reliabilty"]
+    return _spread(city_answers(requests, facts, keep, pos), facts, "city", fields, pos)

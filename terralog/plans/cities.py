@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog import names as N
@@ -12,7 +12,7 @@ from terralog.functions.lists import empty_strings, flatten_cities, merge_lists
 from terralog.functions.text import message
 from terralog.names import POS
 from terralog.operators.first_match import match_key
-from terralog.operators.lookup import Key, ask, keyed_rows
+from terralog.operators.lookup import Key, ask, keyed_positions
 
 # Names and codes of both sources, under the request's field names.
 SOURCE_KEYS = (Key("country", "country", "lower"), Key("iso2", "iso2"))
@@ -34,18 +34,20 @@ def cities_of(
     iso2, name, states[{name, cities[{name}]}]``.  Names compare untrimmed, iso2
     codes trimmed.  A country only the second source has is found.
 
-    The sources are matched and merged once per key, then requests are joined
-    once.  In the merged list the first source's cities lead, so a request that
+    Winners are found on positions alone; lists are merged once per pair of winners and
+    fetched last.  In the merged list the first source's cities lead, so a request that
     may not see the second source takes the head of the list.
     """
-    merged = _merged_sources(cities, state_cities, pos)
-    joined = ask(requests, SOURCE_KEYS, keep).join(merged, "_key", "left")
+    winners, merged = _merged_sources(cities, state_cities, pos)
+    joined = ask(requests, SOURCE_KEYS, keep).join(winners, "_key", "left")
     head_only = F.col("request.country").isin(*exclude_second_source) if exclude_second_source else F.lit(False)
+    # Without a country the pair is null and meets no list.
+    answered = joined.join(merged, "_pair", "left")
     listed = F.when(
         F.coalesce(head_only, F.lit(False)), F.slice("answer.cities", F.lit(1), F.col("answer.n_first"))
     ).otherwise(F.col("answer.cities"))
     no_key, nothing = F.col("_key").isNull(), F.col("answer").isNull()
-    return joined.select(
+    return answered.select(
         *keep,
         F.when(no_key, N.MISSING).when(nothing, N.NOT_FOUND).otherwise(N.OK).alias("status"),
         F.when(no_key, N.MSG_NEED_COUNTRY_OR_ISO2)
@@ -56,31 +58,31 @@ def cities_of(
     )
 
 
-def _merged_sources(cities: DataFrame, state_cities: DataFrame, pos: str) -> DataFrame:
-    """Per key: the country's name, its merged cities, how many of them the first source has."""
+def _merged_sources(cities: DataFrame, state_cities: DataFrame, pos: str) -> tuple[DataFrame, DataFrame]:
+    """``_key, _pair`` of every key, and ``_pair, answer`` of every pair of first rows.
+
+    ``answer``: the country's name, its merged cities, how many of them the first source has.
+    """
     flat = state_cities.select(
         pos, F.col("name").alias("country"), "iso2", flatten_cities(F.col("states")).alias("cities")
     )
-    columns = ["country", "cities"]
+    nowhere = F.lit(None).cast("long")
+    at = F.col(pos).cast("long")
+    ones = keyed_positions(cities, SOURCE_KEYS, pos).select("_by", "_value", at.alias("_one"), nowhere.alias("_two"))
+    twos = keyed_positions(flat, SOURCE_KEYS, pos).select("_by", "_value", nowhere.alias("_one"), at.alias("_two"))
+    firsts = ones.unionByName(twos).groupBy("_by", "_value").agg(F.min("_one").alias("_one"), F.min("_two").alias("_two"))
+    pair = F.concat_ws(":", F.coalesce(F.col("_one").cast("string"), F.lit("-")), F.coalesce(F.col("_two").cast("string"), F.lit("-")))
+    winners = firsts.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), pair.alias("_pair"))
 
-    def tagged(df: DataFrame, source: int) -> DataFrame:
-        return keyed_rows(df, SOURCE_KEYS, columns, pos).select(
-            "_by", "_value", F.lit(source).alias("_source"), F.col(pos).alias("_at"), F.struct(*columns).alias("_row")
-        )
+    def rows(df: DataFrame, at: str, into: str) -> DataFrame:
+        return df.select(F.col(pos).cast("long").alias(at), F.struct("country", "cities").alias(into))
 
-    def first_of(source: int) -> Column:
-        return F.min_by("_row", F.when(F.col("_source") == source, F.col("_at")))
-
-    both = (
-        tagged(cities, 1)
-        .unionByName(tagged(flat, 2))
-        .groupBy("_by", "_value")
-        .agg(first_of(1).alias("_one"), first_of(2).alias("_two"))
-    )
-    first = F.array_distinct(F.coalesce("_one.cities", empty_strings()))
+    pairs = firsts.select("_one", "_two").distinct()
+    both = pairs.join(rows(cities, "_one", "_first"), "_one", "left").join(rows(flat, "_two", "_second"), "_two", "left")
+    first = F.array_distinct(F.coalesce("_first.cities", empty_strings()))
     answer = F.struct(
-        F.coalesce("_one.country", "_two.country").alias("country"),
+        F.coalesce("_first.country", "_second.country").alias("country"),
         F.size(first).alias("n_first"),
-        merge_lists(F.col("_one.cities"), F.col("_two.cities")).alias("cities"),
+        merge_lists(F.col("_first.cities"), F.col("_second.cities")).alias("cities"),
     )
-    return both.select(match_key(F.col("_by"), F.col("_value")).alias("_key"), answer.alias("answer"))
+    return winners, both.select(pair.alias("_pair"), answer.alias("answer"))

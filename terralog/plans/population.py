@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.functions.args import is_given, parse_limit
+from terralog.functions.args import is_given
 from terralog.functions.numbers import number_arg, number_column
 from terralog.names import POS
 from terralog.operators.filters import drop_leading, name_contains, value_bounds
-from terralog.operators.first_match import match_key
-from terralog.operators.order import limit_rows, order_rows, sort_keys
-from terralog.operators.series import (
-    CITY_FIELDS, MAX_ITEMS, entities, group_key, latest_year, nest_series, row_count,
-)
-
-# A city list cut to at most this many rows is small enough to broadcast.
-BROADCAST_ROWS = 100_000
+from terralog.operators.first_match import fetch, match_key
+from terralog.operators.order import limit_rows, sort_keys
+from terralog.operators.series import CITY_FIELDS, ITEMS_PER_PART, group_key, latest_year, nest_series
+
 # Fixed value: a population of -1 means "no figure for this year".
 NO_FIGURE = -1
 
@@ -29,7 +25,7 @@ def filter_population(
     lt: object = None,
     order: str = "asc",
     order_by: str = "population",
-    prune_to_year: bool = False,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """Countries with their figure for one year: bounded, ordered, cut.
 
@@ -38,36 +34,39 @@ def filter_population(
     or with the figure -1, is left out.  Returns ``country, code, year, value``
     and ``_pos``.
 
-    ``code`` and the place in input order come from a country's first fact of
-    any year, which takes a pass over all years.  With ``prune_to_year`` they
-    come from the year's own facts and the year filter reaches the scan; use it
-    where a country has one code and countries come in the same order each year.
+    ``code`` and the place in input order come from a country's first fact of any year.
+    Given ``heads`` as ``write_facts`` stores them, they are taken from there, and the year
+    filter reaches the scan of the facts; otherwise they take a pass over all years.
+
+    Positions and numbers are aggregated; texts are fetched for the rows that are left.
     """
-    n = parse_limit(limit)
     wanted = _year(year) if is_given(year) else latest_year(facts).scalar()
     named = facts.select(POS, group_key("country").alias("country"), "code", "year", "value")
     in_year = number_column(named, "year") == wanted
-    if prune_to_year:
-        picked = (
-            named.where(in_year)
-            .groupBy("country")
-            .agg(F.min_by(F.struct("code", "year", "value"), POS).alias("_fact"), F.min(POS).alias(POS))
-            .select(POS, "country", "_fact.*")
-        )
-    else:
+    number = number_column(named, "value").cast("double")
+    if heads is None:
+        there = F.when(in_year, F.col(POS))
         picked = (
             named.groupBy("country")
-            .agg(
-                F.min_by(F.struct("code"), POS).alias("_first"),
-                F.min_by(F.struct("year", "value"), F.when(in_year, F.col(POS))).alias("_fact"),
-                F.min(POS).alias(POS),
-            )
-            .where(F.col("_fact").isNotNull())
-            .select(POS, "country", "_first.code", "_fact.*")
+            .agg(F.min(POS).alias("_first"), F.min(there).alias("_at"), F.min_by(number, there).alias("_number"))
+            .where(F.col("_at").isNotNull())
         )
-    known = picked.where(~number_column(picked, "value").eqNullSafe(F.lit(NO_FIGURE)))
-    bounded = value_bounds(known, "value", gt, lt)
-    return limit_rows(order_rows(bounded, order, order_by), n)
+    else:
+        firsts = heads.select(match_key("country", group_key("country")).alias("_key"), F.col(POS).alias("_first"))
+        picked = named.where(in_year).groupBy("country").agg(F.min(POS).alias("_at"), F.min_by(number, POS).alias("_number"))
+        picked = picked.withColumn("_key", match_key("country", F.col("country"))).join(firsts, "_key").drop("_key")
+    known = picked.where(~F.col("_number").eqNullSafe(F.lit(float(NO_FIGURE))))
+    bounded = value_bounds(known, "_number", gt, lt)
+    keys = sort_keys(bounded, order, order_by, "country", "_number", "_first")
+    kept = limit_rows(bounded, limit, keys)
+    texts = fetch(kept, named.where(in_year), ["year", "value"], "_fact", at="_at")
+    if heads is None:
+        texts = fetch(texts.withColumn(POS, F.col("_first")), named, ["code"], "_head", at="_first")
+    else:
+        coded = heads.select(POS, "code")
+        texts = fetch(texts.withColumn(POS, F.col("_first")), coded, ["code"], "_head", at="_first")
+    done = texts.withColumnRenamed(POS, "_first").orderBy(*keys)
+    return done.select(F.col("_first").alias(POS), "country", "_head.code", "_fact.year", "_fact.value")
 
 
 def _year(year: object) -> Column:
@@ -88,29 +87,29 @@ def filter_city_population(
     order: str = "asc",
     order_by: str = "population",
     country: str | None = None,
-    max_items: int = MAX_ITEMS,
+    items_per_part: int = ITEMS_PER_PART,
 ) -> DataFrame:
     """Cities with their series: ordered, filtered by country substring, cut.
 
     ``facts``: ``_pos, city, country, year, value, sex, reliabilty``.  By
     population means by the first fact's value.  If the first city in order is
-    'null' it is dropped.  One row per city (per part for very long series, see
-    ``nest_series``), in order.
+    'null' it is dropped.  One row per city and part (see ``nest_series``), in order.
 
-    Ordering and cutting need one row per city, so they run first on a map-side
-    combined aggregate, and only the surviving cities' facts are nested.
+    Ordering and cutting need one row per city, so they run first, on positions and
+    numbers aggregated per city, and only the surviving cities' facts are nested.
     """
-    n = parse_limit(limit)
-    heads = entities(facts, "city", ["country", "value"])
-    keys = sort_keys(heads, order, order_by, "city", "value")
-    kept = name_contains(heads, "country", country).orderBy(*keys)
-    top = limit_rows(drop_leading(kept, "city", "null").orderBy(*keys), n)
-    chosen = top.select(match_key("city", F.col("city")).alias("_city"), F.col("value").alias("_value"))
-    if n is not None and n <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    members = facts.join(chosen, match_key("city", group_key("city")) == F.col("_city"))
-    nested = nest_series(
-        members, "city", ["country", "_value"], CITY_FIELDS, max_items=max_items,
-        heads=top, total=row_count(facts),
+    number = number_column(facts, "value").cast("double")
+    heads = (
+        facts.select(POS, group_key("city").alias("city"), number.alias("_number"))
+        .groupBy("city")
+        .agg(F.min(POS).alias(POS), F.min_by("_number", POS).alias("_number"))
     )
+    keys = sort_keys(heads, order, order_by, "city", "_number")
+    if is_given(country):
+        places = facts.select(F.col(POS).alias("_place"), "country")
+        heads = name_contains(heads.join(places, F.col(POS) == F.col("_place")).drop("_place"), "country", country)
+    top = limit_rows(drop_leading(heads.orderBy(*keys), "city", "null"), limit, keys)
+    chosen = top.select(match_key("city", F.col("city")).alias("_city"), F.col("_number").alias("_value"))
+    members = facts.join(chosen, match_key("city", group_key("city")) == F.col("_city"))
+    nested = nest_series(members, "city", ["country", "_value"], CITY_FIELDS, items_per_part=items_per_part)
     return nested.orderBy(*sort_keys(nested, order, order_by, "city", "_value"), "part").drop("_value")

@@ -21,6 +21,7 @@ def load_table(
     fmt: str = "json",
     pos: str | None = None,
     one_document: bool = True,
+    check: bool = False,
 ) -> DataFrame:
     """Read a table and give it ``_pos``, the ordinal that fixes its row order.
 
@@ -28,7 +29,8 @@ def load_table(
     within a single file is used; several files have no common order, so then
     ``pos`` is required.  JSON is one array per file, or with
     ``one_document=False`` one object per line, which splits at scale.  Malformed
-    input raises.
+    input raises, and so does a row without a position; with ``check`` a pass over
+    the positions also makes sure that none repeats.
     """
     if pos and pos not in schema.fieldNames():
         schema = T.StructType([T.StructField(pos, T.LongType()), *schema.fields])
@@ -37,8 +39,12 @@ def load_table(
         reader = reader.option("mode", "FAILFAST").option("multiLine", one_document)
     df = reader.load(path)
     if pos:
-        return df.select(F.col(pos).cast("long").alias(POS), *[c for c in df.columns if c != pos])
-    if len(df.inputFiles()) > 1:
+        at = F.coalesce(F.col(pos).cast("long"), F.raise_error(F.lit(f"a row has no position in {pos}")).cast("long"))
+        df = df.select(at.alias(POS), *[c for c in df.columns if c != pos])
+        if check and not repeated_positions(df).isEmpty():
+            raise ValueError(f"positions in {pos} repeat: first match and stable order need unique ones")
+        return df
+    if df.select(F.input_file_name().alias("file")).distinct().limit(2).count() > 1:
         raise ValueError("several files have no common row order: name an ordinal column in pos")
     return df.select(F.monotonically_increasing_id().alias(POS), "*")
 
@@ -51,9 +57,9 @@ def repeated_positions(df: DataFrame, pos: str = POS) -> DataFrame:
     return df.groupBy(pos).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(pos).isNull())
 
 
-def load_country_population(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Long facts ``_pos, country, code, year, value``."""
-    raw = load_table(spark, path, schemas.COUNTRY_POPULATION, **options)
+def load_country_population(spark: SparkSession, path: str, one_document: bool = False, **options) -> DataFrame:
+    """Long facts ``_pos, country, code, year, value``; one object per line unless told otherwise."""
+    raw = load_table(spark, path, schemas.COUNTRY_POPULATION, one_document=one_document, **options)
     return raw.select(
         POS,
         F.col("Country Name").alias("country"),
@@ -63,9 +69,9 @@ def load_country_population(spark: SparkSession, path: str, **options) -> DataFr
     )
 
 
-def load_city_population(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Long facts ``_pos, city, country, year, value, sex, reliabilty``."""
-    raw = load_table(spark, path, schemas.CITY_POPULATION, **options)
+def load_city_population(spark: SparkSession, path: str, one_document: bool = False, **options) -> DataFrame:
+    """Long facts ``_pos, city, country, year, value, sex, reliabilty``; see ``load_country_population``."""
+    raw = load_table(spark, path, schemas.CITY_POPULATION, one_document=one_document, **options)
     return raw.select(
         POS,
         F.col("City").alias("city"),

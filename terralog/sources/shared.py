@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Folders made for local sessions without the setting, by application; gone at exit.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """``name`` below the folder set in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it uses a temporary folder.
+    The caller owns what it puts there and clears it.  Only a session within one process
+    may go without the setting; it has one temporary folder, removed at exit.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="run-")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+            atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
+        root = _LOCAL[context.applicationId]
     return f"{root.rstrip('/')}/{name}"

@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralog import names as N
+from terralog.operators.series import entities
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write one object per row; JSON leaves null fields out."""
-    writer = df.write.mode("overwrite")
+def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
+    """Write one object per row; JSON leaves null fields out.  ``mode`` says what becomes of an existing path."""
+    writer = df.write.mode(mode)
     if fmt == "json":
         writer = writer.option("ignoreNullFields", True)
     writer.format(fmt).save(path)
 
 
-def write_facts(df: DataFrame, path: str) -> None:
-    """Write long facts as Parquet in one folder per year, so a year reads only its own.
+def write_facts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write long facts and their heads: ``path/facts`` in one folder per year, ``path/heads``.
 
-    Rows are first rebalanced by year: small years share a task, a large year is
-    split over several, and no task writes a file for every year.
+    A year then reads only its own folder, and what depends on all years, a country's code
+    and its place in input order, stands in the heads, a row per country.  Rows are first
+    rebalanced by year: small years share a task, a large year is split over several, and
+    no task writes a file for every year.
     """
-    df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
+    df.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(f"{path}/facts")
+    entities(df, "country", ["code"]).write.mode(mode).parquet(f"{path}/heads")
+
+
+def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The facts and heads that ``write_facts`` stored."""
+    return spark.read.parquet(f"{path}/facts"), spark.read.parquet(f"{path}/heads")
 
 
 def respond(answers: DataFrame, keep: Sequence[str] = ("req_id",)) -> DataFrame:

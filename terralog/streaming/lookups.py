@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terralog.names import POS
 from terralog.operators.lookup import Key, answer_with, first_answers
-from terralog.sources.shared import shared_path
 
 
-def stored_answers(
-    dim: DataFrame, keys: Sequence[Key], answer: Sequence[str], path: str | None = None, pos: str = POS
-) -> DataFrame:
-    """``first_answers`` worked out once and stored in the cluster's shared folder.
+def stored_answers(dim: DataFrame, keys: Sequence[Key], answer: Sequence[str], path: str, pos: str = POS) -> DataFrame:
+    """``first_answers`` worked out once and stored at ``path``, which the caller owns.
 
-    Streams, and batch jobs that ask the same table again, then join a table of
-    known size that needs no aggregate.
+    Streams, and batch jobs that ask the same table again, then join a table of known
+    size that needs no aggregate: ``answer_with(requests, stored, keys, ...)``.
     """
-    spark = dim.sparkSession
-    path = path or shared_path(spark, f"answers-{uuid.uuid4().hex}")
     answers = first_answers(dim, keys, answer, pos=pos)
-    answers.write.mode("overwrite").parquet(path)
-    return spark.read.schema(answers.schema).parquet(path)
+    answers.write.parquet(path)
+    return dim.sparkSession.read.schema(answers.schema).parquet(path)
 
 
 def lookup_stream(
@@ -34,34 +30,60 @@ def lookup_stream(
     answer: Sequence[str],
     found: str,
     pos: str = POS,
+    answers: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """``lookup_first`` on a streaming request table.
 
-    A stateless stream-static left join, so append mode works and nothing is
-    kept between batches.  The table's answers are stored when the stream is
-    defined; a micro-batch only joins them.
+    A stateless stream-static left join, so append mode works and nothing is kept between
+    batches.  Nothing runs while the stream is defined: each micro-batch reads the table
+    as it then is.  Given ``answers`` from ``stored_answers``, it only joins them.
     """
     if not requests.isStreaming:
         raise ValueError("requests must be a streaming DataFrame")
-    return answer_with(requests, stored_answers(dim, keys, answer, pos=pos), keys, found, **options)
+    if answers is None:
+        answers = first_answers(dim, keys, answer, pos=pos)
+    return answer_with(requests, answers, keys, found, **options)
 
 
-def land(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Run a stream over all data available now and return what it wrote.
+def land(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all data available now and return what it wrote below ``path``.
 
-    Output and progress log lie in the cluster's shared folder, so a restarted
-    run goes on where the lost one stopped.
+    Output and progress log lie there, so a restarted run goes on where the lost one
+    stopped.  The caller owns ``path``; on a cluster it must be a shared one.
     """
-    spark = stream.sparkSession
-    base = path or shared_path(spark, f"landed-{uuid.uuid4().hex}")
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", f"{base}/rows")
-        .option("checkpointLocation", f"{base}/progress")
+        .option("path", f"{path}/rows")
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def land_latest(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregating stream over all data available now; the latest row of each of ``keys``.
+
+    Every micro-batch writes the groups it changed, open ones included, so at the end of
+    the input the answer is whole, also for windows that the watermark has not closed.  A
+    batch that is run again replaces its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"]).select(*stream.columns)

@@ -86,14 +86,26 @@ def test_text_values_sort_as_numbers(table):
 
 
 def test_sort_and_limit_is_a_top_k(table):
-    df = order.limit_rows(order.order_rows(table("country string, value double", TIES), "dsc"), "2")
+    df = order.order_rows(table("country string, value double", TIES), "dsc", limit="2")
     assert [r[0] for r in rows(df, "_pos")] == [0, 2]
     assert "TakeOrderedAndProject" in final_plan(df)
 
 
-@pytest.mark.parametrize("limit,n", [(None, 5), (0, 0), ("2.7", 2), (99, 5), ("-1", 0), ("abc", 0)])
+@pytest.mark.parametrize("limit,n", [(None, 5), (0, 0), ("2.7", 2), (99, 5), ("-1", 0), ("abc", 0), (2**40, 5)])
 def test_limit_rows(table, limit, n):
-    assert order.limit_rows(table("country string, value double", TIES), limit).count() == n
+    assert order.limit_rows(table("country string, value double", TIES), limit, [F.col("_pos").asc()]).count() == n
+
+
+@pytest.mark.parametrize("n", [301, 450, 3000, 9_999])
+def test_a_large_limit_needs_no_single_task(spark, monkeypatch, n):
+    monkeypatch.setattr(order, "TOP_K", 300)
+    monkeypatch.setattr(order, "RANGE_ROWS", 400)
+    df = spark.range(10_000, numPartitions=3).select(
+        F.col("id").alias("_pos"), F.lit("x").alias("country"), (F.col("id") * 7919 % 50).cast("double").alias("value")
+    )
+    got = order.order_rows(df, "dsc", limit=n)
+    assert rows(got) == rows(order.order_rows(df, "dsc").limit(n))
+    assert "SinglePartition" not in final_plan(got)
 
 
 def test_drop_leading(table):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralog.operators import series
 from terralog.plans.population import as_population_counts, filter_city_population, filter_population
+from terralog.sources.write import read_facts, write_facts
 
 FACTS = "country string, code string, year int, value double"
 SERIES = [
@@ -48,23 +49,39 @@ def test_city_series_merges_namesakes_under_the_first_country(city_facts):
     assert [g[0] for g in got] == ["Twin", "Lone", "null", "Pair"]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+POSITIONS = st.one_of(st.integers(0, 300), st.integers(-(2**62), 2**62), st.integers(-70000, 70000).map(lambda n: n * 65536))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @cases(
-    st.lists(st.tuples(st.sampled_from("aaaaab"), st.integers(0, 300)), min_size=1, max_size=60, unique_by=lambda t: t[1]),
+    st.lists(st.tuples(st.sampled_from("aaaaab"), POSITIONS), min_size=1, max_size=60, unique_by=lambda t: t[1]),
     st.integers(1, 9),
 )
 def test_parts_are_whole_bounded_and_in_order(spark, data, most):
+    """Whatever the spacing and sign of the positions."""
     df = spark.createDataFrame([(p, n, p) for n, p in data], "_pos long, name string, v long").repartition(3)
-    nested = series.nest_series(df, "name", ["v"], {"item": "v"}, into="items", max_items=most)
+    nested = series.nest_series(df, "name", ["v"], {"item": "v"}, into="items", items_per_part=most)
     got = rows(nested.orderBy("name", "part"), "name", "v", "_pos", "part", "offset", "items")
     for name in {n for n, _ in data}:
         expected = sorted(p for n, p in data if n == name)
         mine = [r for r in got if r[0] == name]
         assert [i[0] for r in mine for i in r[5]] == expected
         assert all(r[1] == r[2] == expected[0] for r in mine)
-        assert [r[4] for r in mine] == [sum(len(x[5]) for x in mine[:k]) for k in range(len(mine))]
-        assert all(len(r[5]) < 2 * most for r in mine)
-        assert (len(mine) == 1) or len(expected) > most
+        assert [r[3] for r in mine] == list(range(-(-len(expected) // most)))
+        assert [r[4] for r in mine] == [most * k for k in range(len(mine))]
+        assert all(len(r[5]) == most for r in mine[:-1])
+
+
+@pytest.mark.parametrize("step", [1, 1_000_003, -70_000])
+def test_no_window_holds_a_long_entity(spark, step):
+    """Dense, sparse and negative positions: the largest group of every window is bounded."""
+    df = spark.range(0, 100_000, numPartitions=4).select((F.col("id") * step).alias("at"), F.lit("hot").alias("name"))
+    got = series.numbered(df, "name", "at", "idx")
+    order = got.select((F.col("at") / step if step > 0 else 99_999 - F.col("at") / step).cast("long").alias("want"), "idx")
+    assert order.where("want <> idx").isEmpty() and got.count() == 100_000
+    for bits in (16, 32, 48):
+        blocks = df.select(F.shiftright("at", bits - 16).alias("b")).distinct().groupBy(F.shiftright("b", 16).alias("w")).count()
+        assert blocks.agg(F.max("count")).first()[0] <= 65_536
 
 
 def test_a_long_entity_is_built_in_many_tasks(spark):
@@ -73,20 +90,21 @@ def test_a_long_entity_is_built_in_many_tasks(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 500)).alias("name"),
         F.col("id").alias("v"),
     )
-    nested = series.nest_series(df, "name", [], {"v": "v"}, into="items", max_items=1000)
+    nested = series.nest_series(df, "name", [], {"v": "v"}, into="items", items_per_part=1000)
     hot = rows(nested.where("name = 'hot'").orderBy("part").selectExpr("size(items)", "offset"))
-    assert sum(n for n, _ in hot) == 10000 and len(hot) >= 5 and max(n for n, _ in hot) < 2000
+    assert hot == [(1000, 1000 * k) for k in range(10)]
     assert nested.where("name <> 'hot'").count() == 500
 
 
-def test_usual_series_take_one_shuffle_of_the_facts(facts):
-    """Nothing is left of the long branch once no entity proves long."""
-    plan = final_plan(series.country_series(facts)).split("Initial Plan")[0]
-    assert plan.count("collect_list") == 2 and "Window" not in plan and "Join" not in plan
+def test_unrelated_rows_leave_an_entity_as_it_is(table):
+    facts = table(FACTS, SERIES * 3)
+    more = facts.unionByName(facts.selectExpr("_pos + 1000 as _pos", "'other' as country", "code", "year", "value"))
+    pick = [rows(series.country_series(f, items_per_part=2).where("country = 'Beta'").orderBy("part")) for f in (facts, more)]
+    assert pick[0] == pick[1] and len(pick[0]) == 5
 
 
 def test_unnest_counts_across_parts(facts):
-    nested = series.country_series(facts, max_items=1)
+    nested = series.country_series(facts, items_per_part=1)
     got = rows(series.unnest_series(nested).where("country = 'Beta'").orderBy("idx"), "idx", "year")
     assert got == [(0, 2000), (1, 2001), (2, 1999)]
 
@@ -134,17 +152,16 @@ def test_filter_population_bounds_and_limit(facts):
 def test_code_comes_from_the_first_fact_of_any_year(table):
     df = table(FACTS, [("A", "OLD", 1999, 1.0), ("B", "BBB", 2000, 3.0), ("A", "NEW", 2000, 3.0)])
     assert population(df, year=2000) == [("A", "OLD", 2000, 3.0), ("B", "BBB", 2000, 3.0)]
-    assert population(df, year=2000, prune_to_year=True) == [("B", "BBB", 2000, 3.0), ("A", "NEW", 2000, 3.0)]
 
 
-def test_a_year_reads_only_its_folder(spark, facts, tmp_path):
-    from terralog.sources.write import write_facts
-
-    write_facts(facts, str(tmp_path / "f"))
-    stored = spark.read.parquet(str(tmp_path / "f"))
-    pruned = filter_population(stored, year=2000, prune_to_year=True)
-    assert "PartitionFilters: [isnotnull(year" in final_plan(pruned)
-    assert rows(pruned, "country", "value") == [("alpha", 5.0), ("Beta", 10.0)]
+def test_a_year_reads_only_its_folder_and_gives_the_same_report(spark, table, tmp_path):
+    df = table(FACTS, [("A", "OLD", 1999, 1.0), ("B", "BBB", 2000, 3.0), ("A", "NEW", 2000, 3.0), (None, "N", 2000, 9.0)])
+    write_facts(df, str(tmp_path / "f"))
+    facts, heads = read_facts(spark, str(tmp_path / "f"))
+    for args in ({"year": 2000}, {"year": 2000, "order": "dsc", "order_by": "name", "limit": 2}, {"year": 1999}):
+        assert rows(filter_population(facts, heads=heads, **args)) == rows(filter_population(df, **args))
+    scans = [x for x in final_plan(filter_population(facts, heads=heads, year=2000)).split("FileScan")[1:] if "value" in x.split("ReadSchema")[1][:60]]
+    assert scans and all("PartitionFilters: [isnotnull(year" in x for x in scans)
 
 
 def test_as_population_counts(facts):
@@ -176,7 +193,7 @@ def test_city_report_filters_before_dropping_and_cuts_after(city_facts):
 
 
 def test_city_report_orders_parts_of_a_long_series(city_facts):
-    got = rows(filter_city_population(city_facts, max_items=1), "city", "part", "offset")
+    got = rows(filter_city_population(city_facts, items_per_part=1), "city", "part", "offset")
     assert [g[0] for g in got] == ["Twin", "Twin", "Lone", "Pair"]
     assert [g[2] for g in got[:2]] == [0, 1]
 
@@ -215,3 +232,23 @@ def test_population_lookups(table, facts, city_facts):
         (3, 400, "missing param (city)", None, None, None),
         (4, 200, "NULL with population", "null", "Beta", 1.0),
     ]
+
+
+def test_answers_and_asked_facts_do_not_multiply(spark, facts):
+    """Many requests for one country: rows out are requests and facts, not one times the other."""
+    asked = spark.range(500).select(F.col("id").alias("req_id"), F.when(F.col("id") % 2 == 0, "beta").otherwise("alpha").alias("country"))
+    answers = series.country_answers(asked, facts)
+    assert answers.count() == 500 and answers.where("status = 200").count() == 500
+    found = series.asked_country_facts(answers, facts)
+    assert sorted(rows(found, "country", "year", "value")) == sorted((n, y, v) for n, _, y, v in SERIES if n in ("Beta", "alpha"))
+    assert series.population_of_country(asked, facts).count() == 1500
+
+
+def test_reports_and_lookups_aggregate_positions_only(facts, city_facts, table):
+    """No sort before the map-side combine: texts and lists stay out of the aggregates."""
+    asked = table("req_id long, country string, city string", [(0, "beta", "twin")], pos=False)
+    for df in (
+        filter_population(facts, year=2000, limit=2), filter_city_population(city_facts, limit=2, country="b"),
+        series.country_answers(asked, facts), series.city_answers(asked, city_facts),
+    ):
+        assert "SortAggregate" not in final_plan(df)

@@ -96,13 +96,15 @@ def test_hot_entities_of_a_series_lookup_are_split(spark, no_broadcast, hot_fact
     asked = spark.range(5000).select(F.col("id").alias("req_id"), names().alias("country"))
     found = series.population_of_country(asked, hot_facts)
     assert "skew=true" in final_plan(found)
+    own = series.asked_country_facts(series.country_answers(asked, hot_facts), hot_facts)
+    assert "skew=true" in final_plan(own) and own.where("country = 'hot'").count() == 30000
     assert found.where("country = 'hot'").count() == 30000
     assert found.where("status = 200").count() == hot_facts.where("country <> 'c0'").count()
 
 
 def test_hot_cities_of_a_report_are_split(no_broadcast, hot_facts):
-    report = filter_city_population(hot_facts, max_items=1000)
+    report = filter_city_population(hot_facts, items_per_part=1000)
     assert "skew=true" in final_plan(report)
     sizes = rows(report.where("city = 'hot'").orderBy("part").selectExpr("size(populationCounts)", "offset"))
-    assert sum(n for n, _ in sizes) == 30000 and max(n for n, _ in sizes) < 2000
+    assert sum(n for n, _ in sizes) == 30000 and max(n for n, _ in sizes) == 1000
     assert report.selectExpr("sum(size(populationCounts))").first()[0] == 90000

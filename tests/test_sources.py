@@ -65,19 +65,19 @@ def test_population_facts(spark, tmp_path):
             ]
         )
     )
-    assert rows(load_country_population(spark, str(path))) == [(0, "A", "AAA", 2000, 1.5), (1, "A", "AAA", 2001, None)]
+    assert rows(load_country_population(spark, str(path), one_document=True)) == [(0, "A", "AAA", 2000, 1.5), (1, "A", "AAA", 2001, None)]
     path = tmp_path / "d.json"
     path.write_text(
         json.dumps([{"City": None, "Country or Area": "A", "Year": "2000", "Value": "7", "Sex": "Both", "Reliability": "r"}])
     )
-    assert rows(load_city_population(spark, str(path))) == [(0, None, "A", 2000, 7.0, "Both", "r")]
+    assert rows(load_city_population(spark, str(path), one_document=True)) == [(0, None, "A", 2000, 7.0, "Both", "r")]
 
 
 def test_facts_by_year_and_stored_keys(spark, tmp_path, table):
     df = table("country string, code string, year int, value double", [(" A ", "x", 2000, 1.0), ("b", "y", 2001, 2.0)])
     write_facts(with_keys(df, {"k": ("country", "trim_lower")}), str(tmp_path / "f"))
-    assert sorted(p.name for p in (tmp_path / "f").glob("year=*")) == ["year=2000", "year=2001"]
-    assert rows(spark.read.parquet(str(tmp_path / "f")).where(F.col("k") == "a"), "_pos", "year") == [(0, 2000)]
+    assert sorted(p.name for p in (tmp_path / "f" / "facts").glob("year=*")) == ["year=2000", "year=2001"]
+    assert rows(spark.read.parquet(str(tmp_path / "f" / "facts")).where(F.col("k") == "a"), "_pos", "year") == [(0, 2000)]
 
 
 def test_repeated_positions(table):
@@ -88,3 +88,23 @@ def test_repeated_positions(table):
 
 def test_shared_path_comes_from_the_session(spark):
     assert shared_path(spark, "x") == spark.conf.get("spark.checkpoint.dir") + "/x"
+
+
+def test_positions_are_checked(spark, tmp_path, table):
+    for name, last in (("twice", 0), ("none", None)):
+        df = table("at long, name string, flag string, number string", [(0, "a", "f", "1"), (last, "b", "f", "2")], pos=False)
+        df.write.parquet(str(tmp_path / name))
+    read = {"fmt": "parquet", "pos": "at"}
+    assert load_table(spark, str(tmp_path / "twice"), schemas.FLAGS, **read).count() == 2
+    with pytest.raises(ValueError, match="repeat"):
+        load_table(spark, str(tmp_path / "twice"), schemas.FLAGS, check=True, **read)
+    with pytest.raises(Exception, match="no position"):
+        load_table(spark, str(tmp_path / "none"), schemas.FLAGS, **read).collect()
+
+
+def test_an_existing_path_is_not_overwritten_unasked(tmp_path, table):
+    df = table("name string", ["a"])
+    write_result(df, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_result(df, str(tmp_path / "o"))
+    write_result(df, str(tmp_path / "o"), mode="overwrite")

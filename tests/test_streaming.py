@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from terralog.operators.lookup import Key, lookup_first
-from terralog.streaming.lookups import land, lookup_stream
+from terralog.streaming.lookups import land, land_latest, lookup_stream, stored_answers
 from terralog.streaming.rate import rate_breaches
 
 KEYS = [Key("country", "name"), Key("iso2", "code")]
@@ -29,11 +29,16 @@ def stream_of(spark, tmp_path):
     return make
 
 
-def test_lookup_stream_equals_batch(table, stream_of):
+def test_lookup_stream_equals_batch(table, stream_of, tmp_path):
     dim = table("name string, code string", [("Ambria", "AM"), ("Twin", "T1"), ("twin", "T2")])
     one = table("req_id long, country string, iso2 string", [(1, "TWIN ", None), (2, "x", "am"), (3, None, "")], pos=False)
     two = table("req_id long, country string, iso2 string", [(4, "Ambria", "zz"), (5, "ambria", None)], pos=False)
-    streamed = land(lookup_stream(stream_of(one, two), dim, KEYS, ["name", "code"], "{answer.name}"))
+    stream = lookup_stream(stream_of(one, two), dim, KEYS, ["name", "code"], "{answer.name}")
+    streamed = land(stream, str(tmp_path / "out"))
+    kept = stored_answers(dim, KEYS, ["name", "code"], str(tmp_path / "answers"))
+    again = one.sparkSession.readStream.schema(one.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    same = land(lookup_stream(again, dim, KEYS, ["name", "code"], "{answer.name}", answers=kept), str(tmp_path / "same"))
+    assert sorted(rows(same)) == sorted(rows(streamed))
     batch = lookup_first(one.unionByName(two), dim, KEYS, ["name", "code"], "{answer.name}")
     assert rows(streamed.orderBy("req_id")) == rows(batch.orderBy("req_id"))
     with pytest.raises(ValueError, match="streaming"):
@@ -70,13 +75,22 @@ def test_default_allowance(spark):
     assert rows(rate_breaches(events), "client", "n", "rejected") == [("above", 402, 2)]
 
 
-def test_stream_emits_closed_windows_once_and_drops_late_events(table, stream_of):
+def test_stream_emits_closed_windows_once_and_drops_late_events(table, stream_of, tmp_path):
     schema = "ts timestamp_ntz, client string"
     one = table(schema, EVENTS, pos=False)
     closing = table(schema, [(at(9), "tail")], pos=False)
     evicting = table(schema, [(at(9, 10), "tail")], pos=False)
     late = table(schema, [(at(0, 50), "busy"), (at(9, 30), "tail")], pos=False)
-    got = land(rate_breaches(stream_of(one, closing, evicting, late), max_requests=0, lateness="1 minute"))
+    got = land(rate_breaches(stream_of(one, closing, evicting, late), max_requests=0, lateness="1 minute"), str(tmp_path / "out"))
     assert sorted(rows(got, "client", "window_start", "n")) == [
         ("busy", at(0), 4), ("busy", at(2), 1), ("calm", at(0), 3),
     ]
+
+
+def test_a_finished_stream_has_its_open_windows_too(table, stream_of, tmp_path):
+    schema = "ts timestamp_ntz, client string"
+    batches = [table(schema, EVENTS[k::3], pos=False) for k in range(3)]
+    stream = rate_breaches(stream_of(*batches), max_requests=2, lateness="1 hour")
+    got = land_latest(stream, str(tmp_path / "out"), ["client", "window_start"])
+    events = table("ts timestamp, client string", EVENTS, pos=False)
+    assert sorted(rows(got)) == sorted(rows(rate_breaches(events, max_requests=2))) != []
