@@ -473,6 +473,16 @@ FROM lines GROUP BY doc_id, lang""",
     "facts_round_trip": f"WITH {ORDER_FACTS} SELECT * FROM facts",
     "city_facts_round_trip": f"WITH {ORDER_CITY_FACTS} SELECT * FROM facts",
     "nested_round_trip": STATE_CITIES_DIGEST,
+    "flags_round_trip": f"WITH {FLAGS} SELECT pos, name, flag FROM flags",
+    "master_round_trip": f"WITH {MASTER} SELECT pos, name, currency, capital FROM master",
+    "states_round_trip": f"""WITH {DOC_LINES}
+SELECT doc_id AS pos, 'Doc ' || doc_id AS name, CAST(count(*) AS INTEGER) AS n_states, {STATE_ROWS} AS states_md5
+FROM lines GROUP BY doc_id""",
+    "lists_round_trip": f"""WITH {DOC_LINES}
+SELECT doc_id AS pos, 'Doc ' || doc_id AS country, CAST(count(*) AS INTEGER) AS n_cities,
+       md5(string_agg(line, '|' ORDER BY idx)) AS cities_md5
+FROM lines GROUP BY doc_id""",
+    "documents_round_trip": f"WITH {CODES} SELECT pos, name, dial_code, iso2, code FROM codes",
     "rate_breaches": rate(),
     "rate_breaches_stream": rate(),
     "lookup_stream": lookup(f"{CODES}, {EVENT_REQUESTS}", "codes", "code", "name, code, dial_code", DIAL_FOUND),

@@ -666,6 +666,48 @@ def nested_round_trip(spark, sf):
     )
 
 
+def _through_json(spark, df, schema, name):
+    """Written one object per line, and read back with a fixed schema."""
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    write_result(df, path)
+    return load_table(spark, path, schema, pos=POS, one_document=False)
+
+
+@query
+def flags_round_trip(spark, sf):
+    return plain(_through_json(spark, R.flags(spark, sf), schemas.FLAGS, "flags").select(POS, "name", "flag"))
+
+
+@query
+def master_round_trip(spark, sf):
+    back = _through_json(spark, R.master(spark, sf), schemas.MASTER, "master")
+    return back.select(F.col(POS).alias("pos"), F.col("Name").alias("name"), F.col("Currency").alias("currency"), F.col("Capital").alias("capital"))
+
+
+@query
+def states_round_trip(spark, sf):
+    back = _through_json(spark, R.doc_states(spark, sf), schemas.STATES, "states")
+    whole = F.transform("states", lambda s: F.concat_ws(":", s["id"], s["state_code"], s["name"]))
+    return back.select(F.col(POS).alias("pos"), "name", F.size("states").alias("n_states"), digest(whole).alias("states_md5"))
+
+
+@query
+def lists_round_trip(spark, sf):
+    back = _through_json(spark, R.doc_cities(spark, sf).select(POS, "country", "cities"), schemas.CITIES, "cities")
+    return back.select(F.col(POS).alias("pos"), "country", F.size("cities").alias("n_cities"), digest(F.col("cities")).alias("cities_md5"))
+
+
+@query
+def documents_round_trip(spark, sf):
+    """Files that are one JSON array each, of a thousand customers or fewer."""
+    path = shared_path(spark, f"arrays-{uuid.uuid4().hex}")
+    rows = R.codes(spark, sf).select(POS, "name", "dial_code", "iso2", "code")
+    arrays = rows.groupBy(F.expr(f"{POS} div 1000")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = load_table(spark, path, schemas.CODES, pos=POS, one_document=True)
+    return plain(back.select(POS, "name", "dial_code", "iso2", "code"))
+
+
 @query
 def response_envelope(spark, sf):
     answers = respond(lookup_currency(spark, sf))

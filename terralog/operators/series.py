@@ -18,7 +18,7 @@ from terralog.operators.lookup import Key, lookup_first
 
 # A series comes in parts of this many items.
 ITEMS_PER_PART = 100_000
-# Positions are counted in blocks of 2**16, blocks of blocks and so on, up to 64 bits.
+# Blocks of positions are added up 2**16 at a time.
 BLOCK_BITS = 16
 # Item fields of a series (one is misspelt in the data).
 COUNTRY_FIELDS = {"year": "year", "value": "value"}
@@ -39,34 +39,30 @@ def entities(facts: DataFrame, name: str, carry: Sequence[str], pos: str = POS)
     )
 
 
-def numbered(rows: DataFrame, name: str, at: str, into: str) -> DataFrame:
-    """Add ``into``: the number of the name's rows at lower positions.
+def block_offsets(rows: DataFrame, name: str, at: str, bits: int) -> DataFrame:
+    """``name, _block, _offset``: the number of the name's rows before each block of 2**bits positions.
 
-    Rows are counted per block of 2**16 positions, blocks per block of 2**32 and so on, and
-    each level is added up within the next, so no window holds more than 2**16 rows,
-    whatever the spacing or sign of the positions and however many rows a name has.
+    Rows are counted per block, blocks added up within blocks of 2**16 of them, these
+    within the next level and so on to the top of 64 bits.  No window holds more than
+    2**16 rows, whatever the spacing or sign of the positions and however many rows a
+    name has, and only counts are put in order.
     """
 
-    def block(level: int) -> Column:
-        return F.shiftright(at, BLOCK_BITS * level)
-
-    counts = rows.groupBy(name, block(1).alias("_b1")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_b2", F.shiftright("_b1", BLOCK_BITS))
-    second = counts.groupBy(name, "_b2").agg(F.sum("_n").alias("_n")).withColumn("_b3", F.shiftright("_b2", BLOCK_BITS))
-    third = second.groupBy(name, "_b3").agg(F.sum("_n").alias("_n"))
-
     def before(within: Sequence[str], order: str) -> Column:
         window = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
-    third = third.select(name, "_b3", before([name], "_b3").alias("_o3"))
-    second = second.withColumn("_o2", before([name, "_b3"], "_b2")).join(third, [name, "_b3"])
-    second = second.select(name, "_b2", (F.col("_o2") + F.col("_o3")).alias("_o2"))
-    first = counts.withColumn("_o1", before([name, "_b2"], "_b1")).join(second, [name, "_b2"])
-    first = first.select(name, "_b1", (F.col("_o1") + F.col("_o2")).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy(name, "_b1").orderBy(at)) - 1
-    placed = rows.withColumn("_b1", block(1)).withColumn("_place", place).join(first, [name, "_b1"])
-    return placed.select(*rows.columns, (F.col("_offset") + F.col("_place")).alias(into))
+    levels = [rows.groupBy(name, F.shiftright(at, bits).alias("_b0")).agg(F.count(F.lit(1)).alias("_n"))]
+    for k in range(3):
+        up = levels[k].withColumn(f"_b{k + 1}", F.shiftright(f"_b{k}", BLOCK_BITS))
+        levels[k] = up
+        levels.append(up.groupBy(name, f"_b{k + 1}").agg(F.sum("_n").alias("_n")))
+    offsets = levels[3].select(name, "_b3", before([name], "_b3").alias("_above"))
+    for k in (2, 1, 0):
+        inner = before([name, f"_b{k + 1}"], f"_b{k}")
+        placed = levels[k].withColumn("_inner", inner).join(offsets, [name, f"_b{k + 1}"])
+        offsets = placed.select(name, f"_b{k}", (F.col("_above") + F.col("_inner")).alias("_above"))
+    return offsets.select(name, F.col("_b0").alias("_block"), F.col("_above").alias("_offset"))
 
 
 def nest_series(
@@ -81,14 +77,17 @@ def nest_series(
     """Group facts by ``name`` and nest ``fields`` in ``_pos`` order.
 
     Returns ``name``, the first row's ``carry``, ``_pos`` of the first row, ``part``,
-    ``offset`` and the list ``into``.  An entity comes in consecutive parts of
-    ``items_per_part`` items, the last one shorter, ``offset`` counting the items before
-    a part; most have part 0 only.  The parts depend on the entity's own items alone, and
-    each is built by itself, so no task holds an unbounded list, whatever share of the
+    ``offset`` and the list ``into``.  An entity comes in consecutive parts, whole and
+    without overlap, in the order of ``part`` (from 0, not always without gaps), ``offset``
+    counting the items before a part; most have one.  A part is a run of whole blocks of positions, a block being the largest
+    power of two up to ``items_per_part``: a new one begins with the first block that has
+    a further multiple of ``items_per_part`` items before it.  So a part has fewer than
+    twice ``items_per_part`` items, parts depend on the entity's own items alone, and
+    each is built by itself: no task holds an unbounded list, whatever share of the
     facts one entity has.
 
-    ``items_per_part=None`` does not number the items and gives one part; use it only
-    where the facts bound the length, such as totals grouped by entity and year.
+    ``items_per_part=None`` counts nothing and gives one part; use it only where the
+    facts bound the length, such as totals grouped by entity and year.
     """
     items = facts.select(
         group_key(name).alias("_name"),
@@ -96,11 +95,17 @@ def nest_series(
         *[F.col(old).alias(f"_f{k}") for k, old in enumerate(fields.values())],
     )
     item = F.struct("_at", *[F.col(f"_f{k}").alias(new) for k, new in enumerate(fields)])
+    listed = F.sort_array(F.collect_list(item)).alias("_items")
     if items_per_part is None:
-        parts = items.withColumn("part", F.lit(0).cast("long"))
+        zero = F.lit(0).cast("long")
+        nested = items.groupBy("_name").agg(listed).withColumns({"part": zero, "offset": zero})
     else:
-        parts = numbered(items, "_name", "_at", "_idx").withColumn("part", F.expr(f"_idx div {int(items_per_part)}"))
-    nested = parts.groupBy("_name", "part").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+        bits = int(items_per_part).bit_length() - 1
+        offsets = block_offsets(items.select("_name", "_at"), "_name", "_at", bits)
+        run = offsets.withColumn("_run", F.expr(f"_offset div {int(items_per_part)}"))
+        placed = items.withColumn("_block", F.shiftright("_at", bits)).join(run, ["_name", "_block"])
+        nested = placed.groupBy("_name", "_run").agg(listed, F.min("_offset").alias("offset"))
+        nested = nested.withColumnRenamed("_run", "part")
     heads = entities(facts, name, carry, pos).select(
         F.col(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"), F.col(pos).alias("_first")
     )
@@ -110,7 +115,7 @@ def nest_series(
         *[f"_carry.{c}" for c in carry],
         F.col("_first").alias(pos),
         "part",
-        (F.col("part") * (items_per_part or 0)).alias("offset"),
+        "offset",
         bare.alias(into),
     )
 

@@ -67,20 +67,21 @@ def test_parts_are_whole_bounded_and_in_order(spark, data, most):
         mine = [r for r in got if r[0] == name]
         assert [i[0] for r in mine for i in r[5]] == expected
         assert all(r[1] == r[2] == expected[0] for r in mine)
-        assert [r[3] for r in mine] == list(range(-(-len(expected) // most)))
-        assert [r[4] for r in mine] == [most * k for k in range(len(mine))]
-        assert all(len(r[5]) == most for r in mine[:-1])
+        assert [r[4] for r in mine] == [sum(len(x[5]) for x in mine[:k]) for k in range(len(mine))]
+        assert [r[3] for r in mine] == [r[4] // most for r in mine] and all(len(r[5]) < 2 * most for r in mine)
 
 
 @pytest.mark.parametrize("step", [1, 1_000_003, -70_000])
 def test_no_window_holds_a_long_entity(spark, step):
     """Dense, sparse and negative positions: the largest group of every window is bounded."""
     df = spark.range(0, 100_000, numPartitions=4).select((F.col("id") * step).alias("at"), F.lit("hot").alias("name"))
-    got = series.numbered(df, "name", "at", "idx")
-    order = got.select((F.col("at") / step if step > 0 else 99_999 - F.col("at") / step).cast("long").alias("want"), "idx")
-    assert order.where("want <> idx").isEmpty() and got.count() == 100_000
-    for bits in (16, 32, 48):
-        blocks = df.select(F.shiftright("at", bits - 16).alias("b")).distinct().groupBy(F.shiftright("b", 16).alias("w")).count()
+    bits = 10
+    got = dict(rows(series.block_offsets(df, "name", "at", bits), "_block", "_offset"))
+    places = sorted(k * step >> bits for k in range(100_000))
+    want = {b: k for k, b in reversed(list(enumerate(places)))}
+    assert got == want
+    for up in (16, 32, 48):
+        blocks = df.select(F.shiftright("at", bits + up - 16).alias("b")).distinct().groupBy(F.shiftright("b", 16).alias("w")).count()
         assert blocks.agg(F.max("count")).first()[0] <= 65_536
 
 
@@ -92,7 +93,7 @@ def test_a_long_entity_is_built_in_many_tasks(spark):
     )
     nested = series.nest_series(df, "name", [], {"v": "v"}, into="items", items_per_part=1000)
     hot = rows(nested.where("name = 'hot'").orderBy("part").selectExpr("size(items)", "offset"))
-    assert hot == [(1000, 1000 * k) for k in range(10)]
+    assert sum(n for n, _ in hot) == 10000 and len(hot) >= 5 and max(n for n, _ in hot) < 2000
     assert nested.where("name <> 'hot'").count() == 500
 
 
@@ -100,7 +101,7 @@ def test_unrelated_rows_leave_an_entity_as_it_is(table):
     facts = table(FACTS, SERIES * 3)
     more = facts.unionByName(facts.selectExpr("_pos + 1000 as _pos", "'other' as country", "code", "year", "value"))
     pick = [rows(series.country_series(f, items_per_part=2).where("country = 'Beta'").orderBy("part")) for f in (facts, more)]
-    assert pick[0] == pick[1] and len(pick[0]) == 5
+    assert pick[0] == pick[1] and len(pick[0]) > 3
 
 
 def test_unnest_counts_across_parts(facts):
