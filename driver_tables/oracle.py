@@ -102,6 +102,17 @@ EVENT_REQUESTS = f"""requests AS (
   FROM events)"""
 
 
+REPEATED_PLACES = """WITH firsts AS (SELECT c_mktsegment AS k, min(c_custkey) AS id FROM customer GROUP BY 1),
+first_states AS (SELECT o_custkey AS id, lower(o_orderpriority) AS k, min(o_orderkey) AS state_id FROM orders GROUP BY 1, 2),
+asked AS (
+  SELECT c_custkey AS req_id, upper(c_mktsegment) AS country, c_mktsegment,
+         CASE c_nationkey % 6 WHEN 0 THEN '1-urgent' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-medium'
+              WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'none' END AS state
+  FROM customer),
+found AS (
+  SELECT asked.*, s.state_id FROM asked JOIN firsts f ON f.k = c_mktsegment
+  LEFT JOIN first_states s ON s.id = f.id AND s.k = lower(state))"""
+
 HOT_REQUESTS = f"""requests AS (
   SELECT o_orderkey AS req_id, CASE WHEN o_custkey % 7 < 6 THEN {CUSTOMER_NAME.format("(o_custkey % 7 + 1)")} END AS name
   FROM orders)"""
@@ -393,6 +404,25 @@ SELECT req_id,
        CASE WHEN country <> '' AND state <> '' THEN n_cities END AS n_cities,
        CASE WHEN country <> '' AND state <> '' THEN cities_md5 END AS cities_md5
 FROM found""",
+    "lookup_two_level_duplicates": REPEATED_PLACES + """
+SELECT req_id, CASE WHEN state_id IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN state_id IS NULL THEN 'state not found'
+            ELSE 'cities in state ' || state || ' of country ' || country || ' retrieved' END AS msg, state_id
+FROM found""",
+    "lookup_two_level_cities": REPEATED_PLACES + """
+SELECT l_orderkey AS state_id, l_linenumber AS pos, l_partkey AS city FROM lineitem
+WHERE l_orderkey IN (SELECT state_id FROM found)""",
+    "cities_of_duplicates": f"""WITH {DOC_WORDS},
+members AS (
+  SELECT doc_id, 1 AS source, idx AS a, 0 AS b, line AS city FROM lines WHERE doc_id < 50
+  UNION ALL SELECT doc_id, 2, idx, j, word FROM words WHERE doc_id < 50),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, city ORDER BY source, a, b) AS rn FROM members),
+lists AS (
+  SELECT doc_id AS k, CAST(count(*) AS INTEGER) AS n_cities, md5(string_agg(city, '|' ORDER BY source, a, b)) AS cities_md5
+  FROM once WHERE rn = 1 GROUP BY doc_id)
+SELECT doc_id AS req_id, CASE WHEN k IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN k IS NULL THEN 'country not found' ELSE 'cities in Doc ' || k || ' retrieved' END AS msg, n_cities, cities_md5
+FROM documents LEFT JOIN lists ON k = doc_id % 60""",
     "cities_of": cities_of(),
     "cities_of_two_sources": cities_of(
         "doc_id IN (SELECT doc_id FROM labels)", "coalesce(f.country, '') IN ('Doc 7', 'Doc 8')"
@@ -446,6 +476,14 @@ WHERE year = 1997 AND value > 0 AND value < 1000000000000 ORDER BY value DESC, f
     "filter_population_nested": (
         f"SELECT country, code, year, value FROM ({year_report('1996', 'r.value < 200000')})"
     ),
+    "filter_population_no_figure": f"""WITH {ORDER_FACTS},
+figures AS (
+  SELECT facts.* REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN -1.0 ELSE value END AS value)
+  FROM facts JOIN orders ON pos = o_orderkey),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY pos) AS rn FROM figures WHERE year = 1997),
+heads AS (SELECT country, min(pos) AS first, arg_min(code, pos) AS first_code FROM facts GROUP BY country)
+SELECT first AS pos, country, first_code AS code, year, value FROM ranked JOIN heads USING (country)
+WHERE rn = 1 AND value <> -1""",
     "filter_population_by_folder": year_report("1999"),
     "latest_year": f"WITH {ORDER_FACTS} SELECT {DEFAULT_YEAR} AS year",
     "greatest_year": f"WITH {ORDER_FACTS} SELECT max(year) AS year FROM facts",

@@ -321,6 +321,36 @@ def lookup_two_level(spark, sf):
     return plain(hierarchy.cities_in_state_long(R.place_requests(spark, sf), region, nation, customer))
 
 
+def _repeated_places(spark, sf):
+    """Countries and states whose names many rows share, and requests for them."""
+    customer, orders = R.table(spark, sf, "customer"), R.table(spark, sf, "orders")
+    key, order_key = F.col("c_custkey"), F.col("o_orderkey")
+    countries = customer.select(key.alias(POS), key.alias("country_id"), F.col("c_mktsegment").alias("name"))
+    states = orders.select(
+        order_key.alias(POS), order_key.alias("state_id"), F.col("o_custkey").alias("country_id"), F.col("o_orderpriority").alias("name")
+    )
+    words = F.array(*[F.lit(x) for x in ("1-urgent", "2-HIGH", "3-medium", "4-NOT SPECIFIED", "5-LOW", "none")])
+    asked = customer.select(
+        key.alias("req_id"), F.upper("c_mktsegment").alias("country"), words[(F.col("c_nationkey") % 6).cast("int")].alias("state")
+    )
+    return hierarchy.resolve_state(asked, countries, states)
+
+
+@query
+def lookup_two_level_duplicates(spark, sf):
+    """The first country of a name answers, and in it the first state of a name."""
+    return _repeated_places(spark, sf)
+
+
+@query
+def lookup_two_level_cities(spark, sf):
+    """The cities of all states that were found, each state once."""
+    lines = R.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias(POS), F.col("l_orderkey").alias("state_id"), F.col("l_partkey").alias("city")
+    )
+    return plain(hierarchy.asked_cities(_repeated_places(spark, sf), lines))
+
+
 @query
 def cities_in_state(spark, sf):
     found = hierarchy.cities_in_state(R.doc_requests(spark, sf), project.state_cities(R.doc_state_cities(spark, sf)))
@@ -356,6 +386,23 @@ def cities_of_two_sources(spark, sf):
     )
 
 
+@query
+def cities_of_duplicates(spark, sf):
+    """Fifty names that all documents share, in both sources: the first rows answer."""
+    name = F.concat(F.lit("Doc "), (F.col(POS) % 50).cast("string"))
+    code = F.concat(F.lit("D-"), (F.col(POS) % 50).cast("string"))
+    lines = R.doc_cities(spark, sf).withColumn("country", name).withColumn("iso2", code)
+    states = R.doc_state_cities(spark, sf).withColumn("name", name).withColumn("iso2", code)
+    asked = R.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("req_id"), F.concat(F.lit("DOC "), (F.col("doc_id") % 60).cast("string")).alias("country")
+    )
+    found = run_cities_of(asked, lines, states)
+    return found.select(
+        "req_id", "status", "msg", F.when(F.col("status") == 200, F.size("cities")).alias("n_cities"),
+        digest(F.col("cities")).alias("cities_md5"),
+    )
+
+
 @query
 def merge_nested_lists(spark, sf):
     """Distinct union of two lists per row, first occurrences kept in order."""
@@ -562,6 +609,16 @@ def filter_population_nested(spark, sf):
     return rows.select("country", "code", "populationCounts.year", "populationCounts.value")
 
 
+@query
+def filter_population_no_figure(spark, sf):
+    """Urgent orders stand for "no figure": customers whose first order of the year is one are left out."""
+    facts = R.order_facts(spark, sf).join(
+        R.table(spark, sf, "orders").select(F.col("o_orderkey").alias(POS), (F.col("o_orderpriority") == "1-URGENT").alias("urgent")), POS
+    )
+    facts = facts.withColumn("value", F.when(F.col("urgent"), -1.0).otherwise(F.col("value")))
+    return plain(run_filter_population(facts, year="1997", order="dsc"))
+
+
 @query
 def filter_population_by_folder(spark, sf):
     """The same report from facts stored in one folder per year."""
