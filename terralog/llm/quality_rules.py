@@ -243,12 +243,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, with all their columns.
 
-    Rows have no reliable key, so they are measured again instead of joined: the row
-    travels as one struct in place of the id.
+    Rows have no reliable key to join a decision by, so the row travels as one struct in
+    place of the id, and is stored with its measures: a filter on measures that are not
+    stored would be moved below them and work them out again for every rule.
     """
     packed = docs.select(F.struct("*").alias("row"), "text")
-    model = learned(measured(docs, "doc_id", "text"))
-    return decided(measured(packed, "row", "text"), model).filter("kept").select("doc_id.*")
+    df = stored(measured(packed, "row", "text"), "measures")
+    return decided(df, learned(df)).filter("kept").select("doc_id.*")
 
 
 def rule_names() -> list[str]:
