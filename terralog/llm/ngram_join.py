@@ -286,8 +286,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(find(x), x) for x in list(root) if find(x) != x]
 
 
-def summed_links(key: tuple, table: pa.Table) -> pa.Table:
-    """Sum the fragments' matrices of each block pair; links between pairs that reach the threshold."""
+def summed_links(table: pa.Table, every: bool) -> pa.Table:
+    """Sum the fragments' matrices of each block pair; links between pairs that reach the threshold.
+
+    ``every`` link, or a forest of them.
+    """
     found: list[tuple[int, int]] = []
     for (_, i, j), part in by_unit(table):
         seen: tuple[dict, dict] = ({}, {})
@@ -309,12 +312,13 @@ def summed_links(key: tuple, table: pa.Table) -> pa.Table:
         either = size_a[:, None] + size_b[None, :] - total if len(left) and len(right) else total
         x, y = np.nonzero((100 * total >= PERCENT * either) & (total > 0))
         other = ids_a[x] != ids_b[y]
-        found += forest(ids_a[x][other], ids_b[y][other])
+        a, b = ids_a[x][other], ids_b[y][other]
+        found += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if every else forest(a, b)
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """``a, b``: links between classes, enough to connect all that are connected."""
+def links(sets: DataFrame, every: bool = False) -> DataFrame:
+    """``a, b``: links between classes, each once; ``every`` one, or enough to connect what they connect."""
     postings = stored(ordered(sets), "postings")
     members = stored(groups(postings), "members")
     pairs = units(members)
@@ -326,7 +330,7 @@ def links(sets: DataFrame) -> DataFrame:
     many = max(1, members.count() // UNIT_ROWS)
     work = pairs.join(segments, "node").withColumn("unit", F.pmod(F.xxhash64("anchor", "i", "j"), F.lit(many)))
     parts = work.groupBy("unit", "fragment").applyInArrow(partial_overlaps, PARTIAL)
-    return parts.groupBy("unit").applyInArrow(summed_links, "a long, b long").distinct()
+    return parts.groupBy("unit").applyInArrow(lambda table: summed_links(table, every), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,26 +358,52 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored signatures of all documents, and the shingle sets of the classes that may have a link."""
+    signed = stored(signatures(docs.select("doc_id", "text")), "signatures")
+    return signed, stored(full_sets(docs, stored(candidates(signed), "candidates")), "sets")
+
+
+def linked_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole join: ``key_a, key_b`` of every two classes that link, and ``doc_id, key`` of all documents.
+
+    A class is all documents of one set of shingles, so copies are not multiplied out;
+    there are as many pairs as there are links between different sets.
+    """
+    signed, sets = classes_of(docs)
+    named = sets.select("node", "key")
+    found = links(sets.select("node", "n", "tokens"), every=True)
+    for side in ("a", "b"):
+        found = found.join(named.select(F.col("node").alias(side), F.col("key").alias(f"key_{side}")), side)
+    return found.select("key_a", "key_b"), signed.filter("n >= 0").select("doc_id", "key")
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_hash, component`` of every document.
 
     ``component`` names the component where ids cannot: the least class digest in it.
     """
-    signed = stored(signatures(docs.select("doc_id", "text")), "signatures")
-    sets = stored(full_sets(docs, stored(candidates(signed), "candidates")), "sets")
+    signed, sets = classes_of(docs)
     roots = components(links(sets.select("node", "n", "tokens")))
     rows = signed.filter("n >= 0").select("doc_id", "text_hash", "key", "n")
     first = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     linked = sets.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = linked.join(first, "key").select("key", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"), F.min("key").alias("component"))
-    classes = linked.join(least, "root").select("key", "least", "component")
+    # As below: a join key made after the aggregate, so that a large component can be split.
+    whole = F.col("root").cast("string")
+    least = least.select(whole.alias("name"), "least", "component")
+    classes = linked.withColumn("name", whole).join(least, "name").select("key", "least", "component")
     classes = first.join(classes, "key", "left").select(
         "key",
         F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"),
         F.coalesce("component", "key").alias("component"),
     )
-    return rows.join(classes, "key", "left").select(
+    # A key made after the last aggregate: the join then has shuffles of its own, and Spark
+    # can split a class that holds many of the rows.
+    apart = F.concat(F.lit(b"k"), F.col("key"))
+    classes = classes.select(apart.alias("class"), "least", F.col("component"))
+    return rows.withColumn("class", apart).join(classes, "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
@@ -394,22 +424,24 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = stay.select("component", "best.doc_id", "best.text_hash")
     same = [rows["component"] == best["component"], rows["doc_id"].eqNullSafe(best["doc_id"])]
     others = rows.join(best, [*same, rows["text_hash"] == best["text_hash"]], "left_anti")
-    here = docs.withColumn("_text_hash", F.xxhash64("text"))
+    # The row travels as one struct, so its columns may have any names.
+    here = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     kept = matching(here, others, "left_anti")
     # The kept id and text may stand in several rows.
-    again = best.join(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).filter("copies > 1").select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")
-    ), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    copies = copies.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    again = best.join(copies, same_row, "left_semi")
     if again.limit(1).count():
-        repeated = matching(kept, again, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        repeated = matching(kept, again, "left_semi").dropDuplicates(["id", "hash"])
         kept = matching(kept, again, "left_anti").unionByName(repeated)
-    return kept.drop("_text_hash")
+    return kept.select("row.*")
 
 
 def matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Documents by id and hash of the text, nulls equal."""
-    rows = rows.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash") == F.col("_hash")), how)
+    rows = rows.select("doc_id", "text_hash").distinct()
+    return docs.join(rows, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), how)
 
 
 SQL = """

@@ -8,7 +8,7 @@ import pytest
 from terralog.llm import ngram_join
 from terralog.llm.common import table
 
-SCHEMA = "doc_id long, text string, key string, n int, node int"
+SCHEMA = "doc_id long, text string, key string, hash int, row int"
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,6 +77,22 @@ def test_against_all_pairs(spark, monkeypatch, seed, block, unit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in want if i == c)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_every_link_is_found(spark, monkeypatch, seed):
+    """All pairs of different sets at the threshold, across blocks and anchors, each once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "UNIT_ROWS", 20)
+    rows = made(seed)
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(3)
+    pairs, members = ngram_join.linked_pairs(docs)
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    by_key = {bytes(r.key): sets[r.doc_id] for r in members.collect() if r.key is not None}
+    got = [frozenset((by_key[bytes(r.key_a)], by_key[bytes(r.key_b)])) for r in pairs.collect()]
+    every = sorted(set(sets.values()) - {frozenset()}, key=sorted)
+    want = {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if 100 * len(a & b) >= 80 * len(a | b)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
 def test_one_large_group(spark, monkeypatch):
     """Near copies of one text in many blocks: chains of links are found across blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
