@@ -52,6 +52,19 @@ def small_letters(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
 
 
+def sampled(df: DataFrame, key: str, most: int, among: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those with the smallest hashes of ``key``.
+
+    ``among`` is about how many rows there are.  By it, rows that can hardly be among the
+    smallest are left out where they are read, so the top-k that follows sees a few times
+    ``most`` rows in all and not ``most`` of each partition.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    share = 4 * most / max(1, among)
+    near = df.where(place < int(share * 2**32)) if share < 1 else df
+    return near.orderBy(place, key).limit(most)
+
+
 def per_text(
     docs: DataFrame,
     schema: str,

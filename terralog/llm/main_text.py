@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralog.llm.common import sampled
+
 TRAIN_PAGES = 240
 TREES, DEPTH, RATE, SMOOTH, BINS = 50, 3, 0.25, 5.0, 32
 MIXED_COST = 1.0
@@ -423,14 +425,9 @@ def altered(html: str, others: list[str], rng: np.random.Generator) -> str:
 
 def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES) -> Trees:
     """Fit on at most ``most`` pages, chosen by a hash of their id."""
-    rows = (
-        pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-        .filter(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(most)
-        .collect()
-    )
-    return fitted([r.html for r in rows])
+    plain = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    marked = plain.filter(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
+    return fitted([r.html for r in sampled(marked, "id", most, pages.count()).collect()])
 
 
 def fitted(pages: list[str]) -> Trees:

@@ -45,7 +45,7 @@ SAMPLE = int(0.3 * 2**64)
 FRAGMENTS = 4
 BLOCK = 384
 UNIT_ROWS = 3000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 TOKENS_AT_ONCE = 1024
 
 LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())

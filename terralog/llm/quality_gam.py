@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralog.llm.common import sampled
+
 TRAIN_ROWS = 20_000
 KEEP_AT = 0.3
 BINS, PAIR_BINS, PAIRS = 48, 12, 6
@@ -212,14 +214,13 @@ def is_held_out(key: int) -> bool:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``most`` documents that are not held out."""
-    chosen = (
+    known = (
         labels.select(F.col("doc_id").alias("key"), F.col(label).alias("y"))
         .filter((fold(F.col("key")) != 0) & F.col("y").isin(0, 1))
         .groupBy("key")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(most)
     )
+    chosen = sampled(known, "key", most, known.count())
     # At most ``most`` short rows, so this side is small whatever the corpus.
     plain = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = plain.join(F.broadcast(chosen), "key")
