@@ -12,10 +12,10 @@ sets are one class, so copies cost nothing beyond a row each.  The join is exact
 3. The texts that share such a shingle meet in the group of an anchor, the text of that
    list with the fewest shingles of its own.  A text is sent to its few anchors, not to
    each of its lists, and no pair is written out.
-4. The order is cut into fragments.  For each fragment, groups are compared block by
-   block: a matrix of partial overlaps.  The matrices of a block pair are summed over the
-   fragments, pairs that reach the threshold are links, and a block pair returns only
-   links that join two of its texts not yet connected there: fewer than it has texts.
+4. The order is cut into fragments.  Groups are compared block by block: a matrix of
+   partial overlaps for each fragment, summed over the fragments where it is made.  Pairs
+   that reach the threshold are links, and a block pair returns only links that join two
+   of its texts not yet connected there: fewer than it has texts.
 5. Components come from star contraction on these links.
 
 A group of any size is cut into blocks of about ``BLOCK`` texts, so no task holds a group.
@@ -200,14 +200,21 @@ def groups(postings: DataFrame) -> DataFrame:
 
 
 def units(members: DataFrame) -> DataFrame:
-    """``anchor, i, j, side, node``: each group cut into blocks, each block sent to its pairs of blocks."""
+    """``unit, anchor, i, j, side, node``: each group cut into blocks, each block sent to its pairs of blocks.
+
+    A ``unit`` is what one call compares: a block pair of a group of several blocks, or
+    whole groups of one block, about ``UNIT_ROWS`` rows with their fragments.
+    """
     sizes = members.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cut = members.join(sizes, "anchor").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = max(1, members.count() * FRAGMENTS // UNIT_ROWS)
+    i, j = F.least("block", "other"), F.greatest("block", "other")
     return pairs.select(
+        F.when(F.col("blocks") > 1, F.xxhash64("anchor", i, j)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(many))).alias("unit"),
         "anchor",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
+        i.alias("i"),
+        j.alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
         "node",
     )
@@ -239,36 +246,6 @@ def by_unit(table: pa.Table) -> Iterator[tuple[tuple, pa.Table]]:
         yield tuple(map(int, ids[a])), table.slice(a, b - a)
 
 
-PARTIAL = "unit long, anchor long, i long, j long, nodes array<long>, sizes array<long>, sides array<int>, counts binary"
-
-
-def partial_overlaps(key: tuple, table: pa.Table) -> pa.Table:
-    """One row per block pair and fragment: its texts and the matrix of common shingles in the fragment."""
-    rows = []
-    for (anchor, i, j), part in by_unit(table):
-        sides = part.column("side").to_numpy()
-        order = np.argsort(sides, kind="stable")
-        part = part.take(pa.array(order))
-        sets = [np.asarray(t.values) for t in part.column("tokens").combine_chunks()]
-        n_left = int((sides == 0).sum())
-        counts = overlap(sets, None) if i == j else overlap(sets[:n_left], sets[n_left:])
-        rows.append(
-            {
-                "unit": key[0].as_py(), "anchor": anchor, "i": i, "j": j, "nodes": part.column("node").to_pylist(),
-                "sizes": part.column("n").to_pylist(), "sides": sorted(sides.tolist()), "counts": counts.tobytes(),
-            }
-        )
-    return pa.Table.from_pylist(rows, PARTIAL_TYPES)
-
-
-PARTIAL_TYPES = pa.schema(
-    [
-        ("unit", pa.int64()), ("anchor", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("nodes", pa.list_(pa.int64())),
-        ("sizes", pa.list_(pa.int64())), ("sides", pa.list_(pa.int32())), ("counts", pa.binary()),
-    ]
-)
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what ``a`` and ``b`` connect, as few as possible, as stars."""
     root: dict[int, int] = {}
@@ -286,31 +263,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(find(x), x) for x in list(root) if find(x) != x]
 
 
-def summed_links(table: pa.Table, every: bool) -> pa.Table:
-    """Sum the fragments' matrices of each block pair; links between pairs that reach the threshold.
+def unit_links(table: pa.Table, every: bool) -> pa.Table:
+    """Sum the overlaps of each block pair over the fragments; links between pairs that reach the threshold.
 
     ``every`` link, or a forest of them.
     """
     found: list[tuple[int, int]] = []
     for (_, i, j), part in by_unit(table):
-        seen: tuple[dict, dict] = ({}, {})
-        sizes: dict[int, int] = {}
-        rows = part.to_pylist()
-        for r in rows:
-            for node, size, side in zip(r["nodes"], r["sizes"], r["sides"], strict=True):
-                seen[side].setdefault(node, len(seen[side]))
-                sizes[node] = size
-        left, right = seen if i != j else (seen[0], seen[0])
-        total = np.zeros((len(left), len(right)), np.int64)
-        for r in rows:
-            at = [left[x] for x, s in zip(r["nodes"], r["sides"], strict=True) if s == 0]
-            to = at if i == j else [right[x] for x, s in zip(r["nodes"], r["sides"], strict=True) if s == 1]
-            if at and to:
-                total[np.ix_(at, to)] += np.frombuffer(r["counts"], np.uint32).reshape(len(at), len(to))
-        ids_a, ids_b = np.array(list(left), np.int64), np.array(list(right), np.int64)
-        size_a, size_b = np.array([sizes[x] for x in left]), np.array([sizes[x] for x in right])
-        either = size_a[:, None] + size_b[None, :] - total if len(left) and len(right) else total
-        x, y = np.nonzero((100 * total >= PERCENT * either) & (total > 0))
+        node, size, right, fragment = (part.column(c).to_numpy() for c in ("node", "n", "side", "fragment"))
+        sets = [np.asarray(t.values) for t in part.column("tokens").combine_chunks()]
+        ids_a, first_a = np.unique(node[right == 0], return_index=True)
+        ids_b, first_b = np.unique(node[right == (i != j)], return_index=True)
+        size_a, size_b = size[right == 0][first_a], size[right == (i != j)][first_b]
+        total = np.zeros((len(ids_a), len(ids_b)), np.uint32)
+        for f in np.unique(fragment):
+            here, there = (np.flatnonzero((fragment == f) & (right == side)) for side in (0, i != j))
+            if len(here) and len(there):
+                at, to = np.searchsorted(ids_a, node[here]), np.searchsorted(ids_b, node[there])
+                others = None if i == j else [sets[k] for k in there]
+                total[np.ix_(at, to)] += overlap([sets[k] for k in here], others)
+        either = size_a[:, None] + size_b[None, :] - total.astype(np.int64)
+        x, y = np.nonzero((100 * total.astype(np.int64) >= PERCENT * either) & (total > 0))
         other = ids_a[x] != ids_b[y]
         a, b = ids_a[x][other], ids_b[y][other]
         found += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if every else forest(a, b)
@@ -327,10 +300,8 @@ def links(sets: DataFrame, every: bool = False) -> DataFrame:
     ).first()["cuts"] or []
     fragment = sum((F.when(F.col("place") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     segments = postings.withColumn("fragment", fragment).groupBy("node", "n", "fragment").agg(F.collect_list("token").alias("tokens"))
-    many = max(1, members.count() // UNIT_ROWS)
-    work = pairs.join(segments, "node").withColumn("unit", F.pmod(F.xxhash64("anchor", "i", "j"), F.lit(many)))
-    parts = work.groupBy("unit", "fragment").applyInArrow(partial_overlaps, PARTIAL)
-    return parts.groupBy("unit").applyInArrow(lambda table: summed_links(table, every), "a long, b long").distinct()
+    work = pairs.join(segments, "node").select("unit", "anchor", "i", "j", "side", "node", "n", "fragment", "tokens")
+    return work.groupBy("unit").applyInArrow(lambda table: unit_links(table, every), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

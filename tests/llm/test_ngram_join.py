@@ -1,6 +1,7 @@
 """op3: components against all pairs, on copies, near copies, shared passages and odd rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,6 +109,21 @@ def test_one_large_group(spark, monkeypatch):
     assert result(ngram_join.joined(docs)) == sorted(plain(rows), key=str)
 
 
+def test_a_call_does_not_grow_with_a_group(spark, monkeypatch):
+    """Block pairs of a large group come one to a unit; no row is lost, small groups share units."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "UNIT_ROWS", 200)
+    rows = [(1, k) for k in range(800)] + [(10 + k // 4, 1000 + k) for k in range(400)]
+    got = ngram_join.units(spark.createDataFrame(rows, "anchor long, node long")).collect()
+    assert len({(r.anchor, r.i, r.j, r.node) for r in got}) == len(got) == 800 * 100 + 400
+    held, pairs = Counter(r.unit for r in got), {}
+    for r in got:
+        pairs.setdefault(r.unit, set()).add((r.anchor, r.i, r.j))
+    assert max(held.values()) < 200
+    assert all(len(p) == 1 for p in pairs.values() if any(a == 1 for a, _, _ in p))
+    assert any(len(p) > 1 for p in pairs.values())
+
+
 def test_repeated_ids_null_ids_and_empty(spark):
     text, other = " ".join("abcdefghij"), " ".join("klmnopqrst")
     rows = [(5, text), (5, text), (5, other), (None, text), (None, None), (3, other), (7, ""), (None, "z z z")]
