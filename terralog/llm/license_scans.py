@@ -131,22 +131,22 @@ PLAIN = (
     ("commons-clause", "commons clause", "commons clause", 0.7),
     ("elastic", "elastic licen", "elastic licen[cs]e(?: 2 0)?", 0.7),
     ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict) licen[cs]e", 0.8),
-    ("openrail", "openrail", "(?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", 0.7),
+    ("openrail", "rail", "(?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", 0.7),
     ("copyleft", "copyleft", "copyleft", 0.5),
     ("free-art", "free art", "free art licen[cs]e", 0.8),
     ("ogl", "open government", "open government licen[cs]e", 0.8),
     ("etalab", "licence ouverte", "licence ouverte", 0.8),
     ("dl-de", "datenlizenz", "datenlizenz deutschland", 0.8),
     ("gpl", "freie dokumentation", "gnu freie dokumentation", 0.6),
-    ("reserved", "rights reserved", "all rights (?:are )?(?:hereby )?reserved", 0.7),
+    ("reserved", "reserved", "all rights (?:are )?(?:hereby )?reserved", 0.7),
     ("reserved", "droits", "tous droits réservés", 0.7),
     ("reserved", "rechte vorbehalten", "alle rechte vorbehalten", 0.7),
     ("reserved", "derechos reservados", "todos los derechos reservados", 0.7),
     ("some-reserved", "rights reserved", "some rights reserved", 0.7),
     ("proprietary", "proprietary", "proprietary and confidential", 0.7),
-    ("proprietary", "unauthorized", "unauthori[sz]ed (?:copying|reproduction|distribution|use) (?:of this \\S+ )?is (?:strictly )?prohibited", 0.8),
+    ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|distribution|use) (?:of this \\S+ )?is (?:strictly )?prohibited", 0.8),
     ("proprietary", "may be reproduced", "no part of this \\S+ may be reproduced", 0.8),
-    ("proprietary", "without permission", "without (?:prior )?(?:written )?permission", 0.5),
+    ("proprietary", "permission", "without (?:prior )?(?:written )?permission", 0.5),
     ("personal-use", "personal use", "for personal use only", 0.5),
     ("no-commercial", "commercial use", "(?:not for|no) commercial use", 0.6),
     ("no-derivatives", "derivative", "no derivative works", 0.5),
@@ -158,7 +158,7 @@ PLAIN = (
 GATE = (
     "licen", "lizenz", "rights", "droits", "rechte", "derechos", "copyright", "copyleft", "permission",
     "public", "redistribution", "unauthori", "propriet", "commons", "cc", "gpl", "gfdl", "mpl", "epl", "cddl",
-    "eupl", "bsd", "cecill", "wtfpl", "spdx", "mit", "openrail", "reproduced", "derivative", "commercial",
+    "eupl", "bsd", "cecill", "wtfpl", "spdx", "mit", "rail", "reproduced", "derivative", "commercial",
     "personal", "shall", "warranty", "dokumentation",
 )
 

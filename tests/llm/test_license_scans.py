@@ -85,3 +85,52 @@ def test_long_text_empty_table_and_repeats(spark):
 def test_native(spark):
     plan = license_scans.scanned(table(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def variants(signature):
+    """Texts of every choice that a signature leaves; repeats none, once and twice."""
+
+    def of(parsed):
+        made = [""]
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                ways = [chr(value)]
+            elif name == "IN":
+                ways = [chr(v) if str(o) == "LITERAL" else {"CATEGORY_DIGIT": "7", "CATEGORY_NOT_SPACE": "x"}[str(v)] for o, v in value]
+            elif name == "BRANCH":
+                ways = [w for branch in value[1] for w in of(branch)]
+            elif name == "SUBPATTERN":
+                ways = of(value[3])
+            else:
+                low, high, body = value
+                assert name == "MAX_REPEAT", name
+                once = of(body)
+                ways = [w * n for n in range(low, min(int(high), low + 2) + 1) for w in once]
+            made = [a + w for a in made for w in ways]
+        return made
+
+    return sorted(set(of(re._parser.parse(signature))))
+
+
+def test_keywords_stand_in_every_variant():
+    for label, keyword, signature, _ in license_scans.rules():
+        for text in variants(signature):
+            assert re.fullmatch(signature, text) and keyword in f" {text} ", (label, keyword, text)
+            assert any(stem in text for stem in license_scans.GATE), (label, text)
+
+
+def test_labels_without_the_prefilter_are_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["All rights are reserved.", "All rights hereby reserved", "not without prior written permission", "Open-RAIL-M"]
+    texts += ["without written permission", "Unauthorised copying is prohibited"]
+    for _, _, signature, _ in license_scans.rules():
+        every = variants(signature)
+        texts += [f"x {t.replace(' ', rng.choice([' ', '-']))}." for t in rng.sample(every, min(4, len(every)))]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in scan(spark, texts).collect()}
+    bare = tuple((label, " ", signature, weight) for label, _, signature, weight in license_scans.rules())
+    monkeypatch.setattr(license_scans, "rules", lambda: bare)
+    monkeypatch.setattr(license_scans, "GATE", ("",))
+    assert {r.doc_id: (r.labels, round(r.score, 9)) for r in scan(spark, texts).collect()} == got
+    assert all(labels for labels, _ in got.values())
+    assert [got[i][0] for i in range(4)] == ["reserved", "reserved", "proprietary", "openrail"]
