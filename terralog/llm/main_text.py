@@ -8,8 +8,9 @@ node's descendants are all kept, a dropped node's all dropped, and a mixed node
 to its children at a price; the labelling with the highest total is found bottom-up.  So
 no dropped container holds a kept paragraph.
 
-The model is fitted on the driver on at most ``TRAIN_PAGES`` pages, those with the smallest
-hash of their id.  Their labels come from their markup (article and main against navigation,
+The model is fitted on the driver on ``TRAIN_PAGES`` pages with article or main, of less
+than ``TRAIN_CHARS`` characters, those with the smallest hash of id and markup, or on all
+such pages if there are fewer.  Their labels come from their markup (article and main against navigation,
 footers and the like); every page is also trained in altered copies, with containers of
 other names and with sidebars, notices, forms, adverts and comments put in, so that the
 model leans on density and structure where tags say nothing.  Scoring reads every page
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from terralog.llm.common import sampled
 
 TRAIN_PAGES = 240
+#: Longer pages are not learned from, as the driver holds all of them at once; they are scored like any other.
+TRAIN_CHARS = 200_000
 TREES, DEPTH, RATE, SMOOTH, BINS = 50, 3, 0.25, 5.0, 32
 MIXED_COST = 1.0
 PAGES_AT_ONCE = 400
@@ -423,11 +426,21 @@ def altered(html: str, others: list[str], rng: np.random.Generator) -> str:
     return html
 
 
+def training_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES) -> list[str]:
+    """The ``most`` marked pages with the smallest hashes of id and markup, or all there are; equal rows count once."""
+    plain = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("key"))
+    marked = plain.filter(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < TRAIN_CHARS))
+    among = marked.count()
+    while True:
+        found = sampled(marked.dropDuplicates(["key"]), "key", most, among).collect()
+        if len(found) == most or among <= 4 * most:
+            return [r.html for r in found]
+        among //= 4  # many equal rows: a larger share of the hashes
+
+
 def learned(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES) -> Trees:
-    """Fit on at most ``most`` pages, chosen by a hash of their id."""
-    plain = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    marked = plain.filter(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
-    return fitted([r.html for r in sampled(marked, "id", most, pages.count()).collect()])
+    """Fit on at most ``most`` pages."""
+    return fitted(training_pages(pages, id_col, html_col, most))
 
 
 def fitted(pages: list[str]) -> Trees:

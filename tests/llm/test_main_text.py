@@ -120,3 +120,17 @@ def test_table(spark, learned):
     text = "\n\n".join(PARAGRAPHS)
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert main_text.extracted(pages.filter("page_id > 5"), main_text.learned(pages.filter("page_id > 5"))).collect() == []
+
+
+def test_training_pages_do_not_thin_out(spark):
+    """Few marked pages among many, null and repeated ids, equal rows: as many are learned from as asked for."""
+    rows = [(k, "u", f"<article><p>page {k}</p></article>" if k % 20 == 0 else f"<p>{k}</p>", "x") for k in range(2000)]
+    got = main_text.training_pages(spark.createDataFrame(rows, SCHEMA), most=20)
+    assert len(set(got)) == 20 and all("<article>" in h for h in got)
+    rows = [(None if k % 2 else 7, "u", f"<main>page {k}</main>", "x") for k in range(400)]
+    got = main_text.training_pages(spark.createDataFrame(rows, SCHEMA), most=20)
+    assert len(set(got)) == 20
+    rows = [(1, "u", "<main>copy</main>", "x")] * 1000 + [(k, "u", f"<main>page {k}</main>", "x") for k in range(30)]
+    got = main_text.training_pages(spark.createDataFrame(rows, SCHEMA), most=20)
+    assert len(set(got)) == 20
+    assert len(main_text.training_pages(spark.createDataFrame(rows[:1010], SCHEMA), most=20)) == 11
