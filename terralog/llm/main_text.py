@@ -49,7 +49,13 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr input".split()
 )
-RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes|svg|math"
+#: Elements of formulas; their text belongs to the line around them.
+MATH = frozenset(
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover"
+    " mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder"
+    " munderover semantics apply bvar ci cn csymbol".split()
+)
+RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes"
 CLOSED_BY_BLOCK = frozenset(["p"])
 #: An opening tag that ends an open one of these, and where the search for it stops.
 ENDS = {
@@ -77,6 +83,12 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
     re.S | re.I,
 )
+#: Where a drawing ends: at its closing tag, or before an element that the HTML standard (or sense) has outside of it.
+DRAWN = re.compile(
+    r"</svg\s*>|(?=<(?:/?(?:p|div|body|article|main|section|nav|header|footer|aside)|blockquote|center|code|dd|dl|dt|em|embed"
+    r"|h[1-6]|hr|img|li|menu|ol|pre|span|strong|table|ul)[\s/>])",
+    re.I,
+)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PIECE = re.compile(r"[a-z]+")
 HIDING = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
@@ -105,6 +117,7 @@ class Page:
         parts: list[str] = []
         linked = 0
         at = 0
+        drawn = True  # whether a drawing may end further on
 
         def close_run() -> None:
             nonlocal linked
@@ -131,7 +144,7 @@ class Page:
             del stack[k:]
             inline.clear()
 
-        for m in TOKEN.finditer(html):
+        while m := TOKEN.search(html, at):
             if m.start() > at:
                 add(html[at : m.start()])
             at = m.end()
@@ -141,6 +154,14 @@ class Page:
                     nodes[stack[-1]].controls += m["raw"].lower() == "textarea"
                 continue
             tag = tag.lower()
+            if tag in MATH:
+                continue
+            if tag == "svg":
+                if drawn and not m["end"] and not m["attrs"].endswith("/"):
+                    end = DRAWN.search(html, at)
+                    drawn = end is not None
+                    at = end.end() if end else at
+                continue
             if m["end"]:
                 if tag in INLINE:
                     if tag == "a" and "a" in inline:

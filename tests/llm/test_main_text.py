@@ -134,3 +134,25 @@ def test_training_pages_do_not_thin_out(spark):
     got = main_text.training_pages(spark.createDataFrame(rows, SCHEMA), most=20)
     assert len(set(got)) == 20
     assert len(main_text.training_pages(spark.createDataFrame(rows[:1010], SCHEMA), most=20)) == 11
+
+
+ICONS = ['<svg class="icon"/>', "<svg/>", "<math/>", '<svg class="icon">', "<svg><path d='M0 0'>", "<math>", "<svg><title>x</title><g><path/></g></svg>"]
+
+
+@pytest.mark.parametrize("icon", ICONS)
+@pytest.mark.parametrize("later", ["", "<svg><text>drawn</text></svg>"])
+def test_drawings_end_where_they_end(learned, icon, later):
+    html = f"<body><header>{icon}<a href='/'>The Paper</a></header><article>{MAIN}</article>{later}{OTHER['footer']}</body>"
+    assert main_text.texts_of([html], learned) == ["\n\n".join(PARAGRAPHS)]
+
+
+def test_formulas_and_drawings_within_text(learned):
+    formula = "<math display='block'><mrow><msup><mi>a</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow></math>"
+    html = f"<article>{MAIN}<p>It holds that {formula}, <svg><text>no</text></svg>as was said, and so on.</p></article>"
+    want = "\n\n".join([*PARAGRAPHS, "It holds that a2=4, as was said, and so on."])
+    assert main_text.texts_of([html], learned) == [want]
+
+
+def test_many_open_drawings_stay_linear(learned):
+    html = "<article>" + "<p>Some words, and others; they go on.<svg><g></p>" * 5_000 + "<svg>" * 100_000
+    assert main_text.texts_of([html], learned)[0].count("\n\n") == 4_999
