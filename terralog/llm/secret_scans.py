@@ -46,7 +46,7 @@ IDENTIFIER = re.compile(
     r"(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._+-]{3,})",
     re.I | re.A,
 )
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
     r"(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql)://[^\s\"'<>]+"
     r"|\b(?:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d{1,5})?"

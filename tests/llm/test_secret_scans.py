@@ -81,3 +81,18 @@ def test_redacted(spark):
     assert secret_scans.redacted(docs.filter("doc_id < 0")).collect() == []
     again = [tuple(secret_scans.masked(t, secret_scans.spans(t)[1]) for _ in "ab") for t in odd_texts() if t]
     assert all(a == b for a, b in again)
+
+
+def test_long_secrets_are_whole(spark):
+    """A random-looking string of any length is one candidate."""
+    rng = random.Random(4)
+    for n in (128, 129, 300, 5000):
+        secret = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZghijkmnopqrstuvwxyz23456789", k=n))
+        text = f"login: svc_backup {secret}== https://db.example.org/in"
+        found = secret_scans.spans(text)[1]
+        assert [secret_scans.KINDS[s.kind] for s in found] == ["identifier", "random", "endpoint"]
+        assert text[found[1].start : found[1].end] == secret + "=="
+        assert kinds(secret) == []
+        docs = spark.createDataFrame([(1, text, len(text), "x")], SCHEMA)
+        assert secret not in secret_scans.redacted(docs).first().text
+    assert kinds("login: bob http://a.example/b " + "Zx9Kq2Lm8Pw4Rt7Yb1Vd" * 100_000) == ["identifier", "endpoint", "random"]
