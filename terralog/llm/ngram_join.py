@@ -124,7 +124,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """``key, rep`` of the classes that may have a link: enough of their sampled shingles occur elsewhere."""
+    """``key, rep, text_hash`` of the classes that may have a link: enough of their sampled shingles occur elsewhere.
+
+    ``rep`` and ``text_hash`` are of one document of the class.
+    """
     short = F.xxhash64("key")
     posted = signed.filter(F.size("open") > 0).select(
         F.when(F.col("key").isNotNull(), short).alias("class"), "batch", F.explode("open").alias("token")
@@ -141,22 +144,29 @@ def candidates(signed: DataFrame) -> DataFrame:
     firsts = signed.filter(F.col("settled").isNotNull()).withColumn("class", short)
     enough = F.col("settled") + F.coalesce("met", F.lit(0)) >= F.col("settled") + F.size("open") - F.floor(F.col("n") / WORDS)
     passed = firsts.join(shared, ["class", "batch"], "left").withColumn("enough", enough)
-    return passed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("enough").alias("enough")).filter("enough").select("key", "rep")
+    least = F.min(F.struct("doc_id", "text_hash"))
+    classes = passed.groupBy("key").agg(least.alias("one"), F.min("enough").alias("enough")).filter("enough")
+    return classes.select("key", F.col("one.doc_id").alias("rep"), F.col("one.text_hash").alias("text_hash"))
+
+
+def class_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``text, key`` of the documents that have the id and the text of a chosen class's document."""
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash"))
+    # Three short columns; by hint only below a bound on their number, else as Spark decides.
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("text_hash"))
+    return plain.join(small, same).select("text", "key")
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``node, key, n, tokens``: all shingles of the chosen classes, from one document of each."""
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Two short columns; by hint only below a bound on their number, else as Spark decides.
-    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    found = plain.join(small, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sets = [], []
             for text, key in zip(b.column("text"), b.column("key").to_pylist(), strict=True):
                 tokens = shingles(text.as_py())
-                if digest(tokens) == key:  # an id may have other texts too
+                if digest(tokens) == key:  # texts of one id may have equal hashes
                     keys.append(key)
                     sets.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -164,7 +174,7 @@ def full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 ["key", "n", "tokens"],
             )
 
-    sets = found.mapInArrow(run, "key binary, n long, tokens array<long>").dropDuplicates(["key"])
+    sets = class_texts(docs, chosen).mapInArrow(run, "key binary, n long, tokens array<long>").dropDuplicates(["key"])
     return sets.select(F.monotonically_increasing_id().alias("node"), "key", "n", "tokens")
 
 

@@ -135,6 +135,17 @@ def test_repeated_ids_null_ids_and_empty(spark):
     assert ngram_join.deduplicated(docs.filter("doc_id > 50")).collect() == []
 
 
+def test_rows_of_one_id_meet_their_own_class(spark):
+    """Different texts without an id: each row is shingled once more, not once per class."""
+    base = [f"v{k}" for k in range(60)]
+    rows = [(None, " ".join([*base[:k], "x", *base[k:]])) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA)
+    chosen = ngram_join.candidates(ngram_join.signatures(docs))
+    assert chosen.count() == 40
+    assert ngram_join.class_texts(docs, chosen).count() == 40
+    assert result(ngram_join.joined(docs)) == sorted(plain(rows), key=str)
+
+
 def test_overlap_counts(monkeypatch):
     monkeypatch.setattr(ngram_join, "TOKENS_AT_ONCE", 7)
     rng = np.random.default_rng(2)
