@@ -15,6 +15,7 @@ from terralog.llm import (
     quality_rules,
     secret_scans,
     shards,
+    turn_repair,
 )
 from terralog.llm.common import table
 
@@ -61,6 +62,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scanned(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_piece_tokens": op2_piece_tokens,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_packed_ids": op9_packed_ids,
     "op10_license_scans": op10_license_scans,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 SQL = {
