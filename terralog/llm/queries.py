@@ -15,6 +15,7 @@ from terralog.llm import (
     quality_rules,
     secret_scans,
     shards,
+    spelling_groups,
     turn_repair,
 )
 from terralog.llm.common import table
@@ -62,6 +63,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.grouped(table(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repaired(table(spark, sf_dir, "conversations"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_packed_ids": op9_packed_ids,
     "op10_license_scans": op10_license_scans,
+    "op11_spelling_groups": op11_spelling_groups,
     "op12_turn_repair": op12_turn_repair,
 }
 
