@@ -16,6 +16,7 @@ from terralog.llm import (
     secret_scans,
     shards,
     spelling_groups,
+    substring_dedup,
     turn_repair,
 )
 from terralog.llm.common import table
@@ -71,6 +72,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_piece_tokens": op2_piece_tokens,
@@ -84,9 +89,11 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
     "op11_spelling_groups": op11_spelling_groups,
     "op12_turn_repair": op12_turn_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
     "op5_decontamination": decontamination.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
 }
