@@ -296,7 +296,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     classes = stored(classes, "classes")
     texts = stored(candidates(docs, classes).dropDuplicates(["digest"]), "candidates")
     blocks = stored(probes(texts, True), "blocks")
+    # Aggregates are stored before they are joined: Spark splits a hot key only between two shuffles of the join's own.
     index = blocks.where(F.col("doc_id").isNotNull()).groupBy("h").agg(F.min(F.struct("doc_id", "at", "digest")).alias("ref"))
+    index = stored(index, "index")
     hits = probes(texts, False).join(index, "h").where(later(F.col("ref.doc_id"), F.col("doc_id"))).select(
         "digest", "at", F.col("ref.digest").alias("ref"), F.col("ref.at").alias("there")
     )
@@ -304,13 +306,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     anchors = asks.select("doc_id", F.explode("anchors").alias("h")).groupBy("h").agg(
         F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("none")
     )
+    anchors = stored(anchors, "anchors")
     wanted = F.col("doc_id").isNotNull() & (F.col("none") | (F.col("doc_id") < F.col("last")))
-    windows = held(texts, blocks.join(anchors, "h").where(wanted).select("digest", "at"))
+    windows = stored(held(texts, blocks.join(anchors, "h").where(wanted).select("digest", "at")), "windows")
     each = asks.select("digest", "doc_id", F.inline(F.arrays_zip("at", "one", "two")))
     met = each.join(windows, ["one", "two"]).where(later(F.col("least"), F.col("doc_id"))).select("digest", "at")
     removed = cut_out(texts, asks, met)
     known = classes.select("digest", F.col("first.doc_id").alias("first")).join(removed, "digest", "left")
-    rows = signed.drop("screen", "text_hash").join(known, "digest", "left")
+    rows = signed.drop("screen", "text_hash").join(stored(known, "known"), "digest", "left")
     copy = later(F.col("first"), F.col("doc_id"))
     spans = F.when(copy, F.array(F.lit(0).cast("long"), F.col("n_words"))).otherwise(F.coalesce("spans", F.array().cast("array<long>")))
     return rows.select(
@@ -326,18 +329,18 @@ SQL = r"""
 WITH texts AS (
     SELECT doc_id, row_number() OVER () AS nth, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), places AS (
-    SELECT nth, doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM texts WHERE len(words) >= 50
+    SELECT nth, doc_id, unnest(range(1, len(words) - 48)) AS place, words FROM texts WHERE len(words) >= 50
 ), windows AS (
-    SELECT nth, doc_id, at, md5(array_to_string(list_slice(words, at, at + 49), ' ')) AS w FROM places
+    SELECT nth, doc_id, place, md5(array_to_string(list_slice(words, place, place + 49), ' ')) AS w FROM places
 ), earliest AS (
     SELECT w, min(doc_id) AS first FROM windows GROUP BY w
 ), gone AS (
-    SELECT DISTINCT nth, at + k AS at
-    FROM (SELECT nth, at FROM windows JOIN earliest USING (w) WHERE first < doc_id), range(50) AS r(k)
+    SELECT DISTINCT nth, place + k AS place
+    FROM (SELECT nth, place FROM windows JOIN earliest USING (w) WHERE first < doc_id), range(50) AS r(k)
 ), each AS (
-    SELECT nth, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM texts
+    SELECT nth, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
 ), kept AS (
-    SELECT nth, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS words FROM each ANTI JOIN gone USING (nth, at) GROUP BY nth
+    SELECT nth, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words FROM each ANTI JOIN gone USING (nth, place) GROUP BY nth
 )
 SELECT doc_id, len(texts.words) AS n_words, len(texts.words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (nth)
