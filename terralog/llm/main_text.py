@@ -55,7 +55,7 @@ MATH = frozenset(
     " mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder"
     " munderover semantics apply bvar ci cn csymbol".split()
 )
-RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes"
+RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 CLOSED_BY_BLOCK = frozenset(["p"])
 #: An opening tag that ends an open one of these, and where the search for it stops.
 ENDS = {
@@ -77,19 +77,26 @@ AROUND_TOKENS = frozenset(
 )
 MAIN_TOKENS = frozenset("article articlebody body content entry main maincontent post story text prose".split())
 
+#: An attribute as the HTML standard reads it: quotes count only behind "=" and where they are closed.
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
+ATTRIBUTES = rf"(?:[\s/]++|[^\s>/][^\s>/=]*+(?:\s*+=\s*+(?:{VALUE}))?+)*+"
+ATTRIBUTE = re.compile(rf"([^\s>/][^\s>/=]*+)(?:\s*+=\s*+({VALUE}))?+")
 TOKEN = re.compile(
-    rf"<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"<(?P<raw>{RAW})(?=[\s/>]){ATTRIBUTES}>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements that are left out whole where they are closed, and read like any others where they are not.
+ASIDE = re.compile(r"<(/?)(template|noscript)(?=[\s/>])", re.I)
 #: Where a drawing ends: at its closing tag, or before an element that the HTML standard (or sense) has outside of it.
 DRAWN = re.compile(
-    r"</svg\s*>|(?=<(?:/?(?:p|div|body|article|main|section|nav|header|footer|aside)|blockquote|center|code|dd|dl|dt|em|embed"
+    r"</svg\s*>|(?P<inner><foreignobject[\s/>])|(?=<(?:/?(?:p|div|body|article|main|section|nav|header|footer|aside)|blockquote|center|code|dd|dl|dt|em|embed"
     r"|h[1-6]|hr|img|li|menu|ol|pre|span|strong|table|ul)[\s/>])",
     re.I,
 )
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+FOREIGN_END = re.compile(r"</foreignobject\s*>", re.I)
+NAMING = frozenset("class id role itemprop".split())
 PIECE = re.compile(r"[a-z]+")
 HIDING = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
 
@@ -103,6 +110,32 @@ class Node:
         self.links = self.chars = self.children = self.controls = 0
 
 
+def marks_of(attrs: str) -> frozenset:
+    """Words of the attributes that name what an element is, and 'hidden' if it is."""
+    words = []
+    for name, value in ATTRIBUTE.findall(attrs):
+        name = name.lower()
+        if name in NAMING:
+            words += PIECE.findall(value.lower())
+        elif name == "hidden" or name == "style" and HIDING.search(value):
+            words.append("hidden")
+    return frozenset(words)
+
+
+def left_out(html: str) -> dict[int, int]:
+    """Where each closed template and noscript begins, and where it ends."""
+    spans: dict[int, int] = {}
+    open_: dict[str, list[int]] = {"template": [], "noscript": []}
+    for m in ASIDE.finditer(html):
+        starts = open_[m[2].lower()]
+        if not m[1]:
+            starts.append(m.start())
+        elif starts:
+            end = html.find(">", m.end())
+            spans[starts.pop()] = end + 1 if end >= 0 else len(html)
+    return spans
+
+
 class Page:
     """Block nodes in page order, and blocks of text: ``(node, text)`` in page order."""
 
@@ -118,6 +151,16 @@ class Page:
         linked = 0
         at = 0
         drawn = True  # whether a drawing may end further on
+        spans = left_out(html)
+        foreign = max((m.end() for m in FOREIGN_END.finditer(html)), default=-1)
+
+        def drawing_end(at: int) -> int | None:
+            """Where a drawing that began before ``at`` ends; what it holds for other languages belongs to it."""
+            while m := DRAWN.search(html, at):
+                if not m["inner"]:
+                    return m.end()
+                at = FOREIGN_END.search(html, m.end()).end() if m.end() < foreign else m.end()
+            return None
 
         def close_run() -> None:
             nonlocal linked
@@ -156,11 +199,14 @@ class Page:
             tag = tag.lower()
             if tag in MATH:
                 continue
+            if tag in ("template", "noscript"):
+                at = spans.get(m.start(), at)
+                continue
             if tag == "svg":
                 if drawn and not m["end"] and not m["attrs"].endswith("/"):
-                    end = DRAWN.search(html, at)
+                    end = drawing_end(at)
                     drawn = end is not None
-                    at = end.end() if end else at
+                    at = end if drawn else at
                 continue
             if m["end"]:
                 if tag in INLINE:
@@ -202,12 +248,8 @@ class Page:
             nodes[stack[-1]].children += 1
             if tag in VOID:
                 continue
-            attrs, tokens = m["attrs"], frozenset()
-            if attrs and not attrs.isspace():
-                words = " ".join(v or "hidden" for v in ATTRIBUTE.findall(attrs)).lower()
-                tokens = frozenset(PIECE.findall(words)) if words else tokens
-                if "style" in attrs and not HIDING.search(attrs):
-                    tokens -= {"none", "hidden"}
+            attrs = m["attrs"]
+            tokens = marks_of(attrs) if attrs and not attrs.isspace() else frozenset()
             node = Node(stack[-1], tag, nodes[stack[-1]].depth + 1, tokens)
             node.controls = int(tag in CONTROLS)
             nodes.append(node)

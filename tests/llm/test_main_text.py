@@ -156,3 +156,58 @@ def test_formulas_and_drawings_within_text(learned):
 def test_many_open_drawings_stay_linear(learned):
     html = "<article>" + "<p>Some words, and others; they go on.<svg><g></p>" * 5_000 + "<svg>" * 100_000
     assert main_text.texts_of([html], learned)[0].count("\n\n") == 4_999
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<p>See <a title="5" tall">this link</a>', ["See this link"]),
+        ("<p data-x=it's>One here.</p>", ["One here."]),
+        ('<p class="a>One here.', ["One here."]),
+        ("<p a='b\"c' d=\"e'f>g\" h=i\"j>One <b x='>'>here</b>.", ["One here."]),
+        ("<p =x ==y a=>One<p a = 'b>c' / d>two", ["One", "two"]),
+        ("<textarea a=it's>no</textarea><title x=\"y>z\">no</title><scripted>yes", ["yes"]),
+    ],
+)
+def test_attributes_by_the_standard(html, want):
+    assert [t for _, t in main_text.Page(html).blocks] == want
+
+
+def test_stray_quotes_change_no_text():
+    """Tags with odd attributes against the same page without any."""
+    rng = random.Random(8)
+    pieces = ["a", "b=c", "d='e f'", 'g="h>i"', "j=k'l", 'm=n"o', "p'q", 'r"s', "=t", "u = 'v'", "w=", "/", "x='y\"'", 'title="don\'t"', "z=it's"]
+    for _ in range(300):
+        words, bare, odd = 0, "", ""
+        for _ in range(rng.randrange(1, 12)):
+            tag = rng.choice(["p", "b", "a", "div", "span", "/p", "/div", "/a", "br", "li"])
+            chosen = [x for x in rng.choices(pieces, k=rng.randrange(4)) if not x.endswith("=")]
+            words += 1
+            bare += f"<{tag}>w{words} "
+            odd += f"<{tag} {' '.join(chosen)}>w{words} "
+        assert main_text.Page(odd).blocks == main_text.Page(bare).blocks, odd
+
+
+def test_names_are_read_from_their_attributes_only():
+    assert main_text.marks_of(' title="class=ad" class="post Body-2" data-id=x hidden style="color:red"') == {"post", "body", "hidden"}
+    assert main_text.marks_of(" style='display : none' id=nav") == {"hidden", "nav"}
+    assert main_text.marks_of(" style='none' alt=\"id='x'\"") == set()
+
+
+@pytest.mark.parametrize("name", ["noscript", "template"])
+def test_unclosed_asides_keep_the_page(learned, name):
+    html = f"<body><{name}><p>x</p><article>{MAIN}</article>{OTHER['footer']}"
+    assert main_text.texts_of([html], learned) == ["\n\n".join(PARAGRAPHS)]
+    closed = f"<body><article>{MAIN}<{name}><p>x</p><{name}>y</{name}><p>z</p></{name}></article>{OTHER['footer']}"
+    assert main_text.texts_of([closed], learned) == ["\n\n".join(PARAGRAPHS)]
+    many = f"<article>{MAIN}" + f"<{name}>" * 50_000 + "</article>"
+    assert main_text.texts_of([many], learned) == ["\n\n".join(PARAGRAPHS)]
+
+
+def test_foreign_text_belongs_to_the_drawing(learned):
+    foreign = "<svg><foreignObject width='5'><div><p>drawn</p></div></foreignObject><text>x</text></svg>"
+    assert main_text.texts_of([f"<article>{MAIN}{foreign}</article>"], learned) == ["\n\n".join(PARAGRAPHS)]
+    unclosed = f"<body><svg><foreignObject><article>{MAIN}</article>{OTHER['footer']}"
+    assert main_text.texts_of([unclosed], learned) == ["\n\n".join(PARAGRAPHS)]
+    many = f"<article>{MAIN}" + "<svg><foreignObject>" * 20_000
+    assert isinstance(main_text.texts_of([many], learned)[0], str)
