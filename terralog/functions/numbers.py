@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +57,31 @@ def _radix_value(digits: Column, bits: int, most: int) -> Column:
     return head.bitwiseOR(odd).cast("double") * F.pow(F.lit(2.0), bits * F.length(rest))
 
 
+def _radix_reader(bits: int, most: int) -> Callable[[Column], Column]:
+    return lambda digits: _radix_value(digits, bits, most)
+
+
 def number_of_text(col: Column) -> Column:
-    """A text column as double; null where the text is not a number."""
-    text = strip(col)
+    """A text column as double; null where the text is not a number.
+
+    The stripped text is bound once; written out in each branch it would be worked out in each.
+    """
+    return bound(strip(col), _parsed)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` worked out once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parsed(text: Column) -> Column:
     parsed = F.when(text == "", F.lit(0.0)).when(
         text.rlike(DECIMAL), text.try_cast("double")
     )
     for letter, (bits, digits, most) in RADIX.items():
         form = rf"^0[{letter}{letter.upper()}][{digits}]+$"
-        parsed = parsed.when(text.rlike(form), _radix_value(F.substring(text, F.lit(3), F.length(text)), bits, most))
+        digits_of = F.substring(text, F.lit(3), F.length(text))
+        parsed = parsed.when(text.rlike(form), bound(digits_of, _radix_reader(bits, most)))
     return parsed
 
 
@@ -84,3 +101,14 @@ def is_number(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
         return ~F.isnan(name)
     return F.lit(True)
+
+
+def number_holds(df: DataFrame, name: str, test: Callable[[Column], Column]) -> Column:
+    """Whether ``test`` holds for column ``name`` as a number; null or false for what is none.
+
+    A numeric column is tested as it is, which the file scan can do; a text is parsed once.
+    """
+    number = number_column(df, name)
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return test(number) & is_number(df, name)
+    return bound(number, test)

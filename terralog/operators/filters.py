@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralog.functions.args import bounds, is_given
-from terralog.functions.numbers import is_number, number_arg, number_column
+from terralog.functions.numbers import number_arg, number_holds
 from terralog.functions.text import contains_ignoring_case
 from terralog.names import MSG_NEED_RANGE, POS
 
@@ -20,7 +20,7 @@ def range_filter(df: DataFrame, column: str, low: object, high: object) -> DataF
     lo, hi = number_arg(low), number_arg(high)
     if lo is None or hi is None:
         return df.where(F.lit(False))
-    return df.where(number_column(df, column).between(lo, hi) & is_number(df, column))
+    return df.where(number_holds(df, column, lambda number: (number >= lo) & (number <= hi)))
 
 
 def position_range(positions: DataFrame, type: str, min: object, max: object) -> DataFrame:
@@ -34,7 +34,7 @@ def value_bounds(df: DataFrame, column: str, gt: object = None, lt: object = Non
     """Strict bounds, each optional."""
     if not (is_given(gt) or is_given(lt)):
         return df
-    return df.where(bounds(number_column(df, column), gt, lt) & is_number(df, column))
+    return df.where(number_holds(df, column, lambda number: bounds(number, gt, lt)))
 
 
 def greater_than(df: DataFrame, column: str, gt: object) -> DataFrame:
@@ -57,8 +57,8 @@ def name_contains(df: DataFrame, column: str, part: str | None) -> DataFrame:
 def drop_leading(ordered: DataFrame, column: str, value: str, pos: str = POS) -> DataFrame:
     """Remove the first row of an ordered table if its ``column`` is ``value``.
 
-    The head is a top-1 (one row, so its broadcast is bounded); the rest is an
-    anti join on the unique ``pos``.  The result is unordered.
+    The head is a top-1; the rest is a filter by its ``pos``, a scalar.  Both read
+    ``ordered``, so store what is dear to compute.  The result is unordered.
     """
-    head = ordered.limit(1).where(F.col(column) == value).select(pos)
-    return ordered.join(F.broadcast(head), pos, "left_anti")
+    head = ordered.limit(1).where(F.col(column) == value).select(pos).scalar()
+    return ordered.where(~F.col(pos).eqNullSafe(head))

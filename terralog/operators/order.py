@@ -6,8 +6,8 @@ the range partitioning of a global sort can split a value that most rows share.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from terralog.functions.args import parse_limit
 from terralog.functions.numbers import number_column
 from terralog.functions.text import BLANKS
 from terralog.names import POS
-from terralog.sources.shared import shared_path
+from terralog.sources.shared import stored
 
 
 def sort_keys(
@@ -53,38 +53,46 @@ def order_rows(
 
 #: Up to this limit the rows kept are merged in one place (a top-k).
 TOP_K = 10_000
-#: Rows of one range when a larger limit looks for its cut.
-RANGE_ROWS = 50_000
 
 
-def limit_rows(df: DataFrame, limit: object, keys: Sequence[Column]) -> DataFrame:
+def limit_rows(df: DataFrame, limit: object, keys: Sequence[Column], top_k: int | None = None) -> DataFrame:
     """The first ``limit`` rows in the order of ``keys``, ordered; see ``parse_limit``.
 
-    A small limit is a top-k.  For a large one the rows are cut into ranges of the order
-    and stored; counts per range tell which ranges are in, and only the one that the cut
-    goes through is looked into.  No task sees more than a range, whatever the limit.
+    A limit up to ``top_k`` (``TOP_K`` by default) is a top-k, and nothing runs here.  A larger one is found by
+    rank: the rows are cut into as many ranges of the order as there are shuffle partitions
+    and stored, and a count per range tells which are in; only the range that the cut goes
+    through is cut again, until what is left of the limit is a top-k.  Those jobs run at
+    once.  The driver sees a row per range, whatever the table's size, and no task sees
+    more than a range.
     """
     n = parse_limit(limit)
+    top_k = TOP_K if top_k is None else top_k
     if n is None:
         return df.orderBy(*keys)
-    if n <= TOP_K:
+    if n <= top_k:
         return df.orderBy(*keys).limit(n)
-    total = df.count()
-    if n >= total:
-        return df.orderBy(*keys)
-    spark = df.sparkSession
-    ranges = df.repartitionByRange(total // RANGE_ROWS + 1, *keys).withColumn("_range", F.spark_partition_id())
-    path = shared_path(spark, f"ranges-{uuid.uuid4().hex}")
-    ranges.write.parquet(path)
-    stored = spark.read.schema(ranges.schema).parquet(path)
-    before, cut = 0, 0
-    for r in stored.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
-        cut = r["_range"]
-        if before + r["n"] >= n:
+    kept: list[DataFrame] = []
+    rows, size = df, None
+    while True:
+        ranges = stored(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+        counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+        before, cut, inside = 0, None, 0
+        for number, count in counts:
+            if before + count > n:
+                cut, inside = number, count
+                break
+            before += count
+        full = ranges if cut is None else ranges.where(F.col("_range") < cut)
+        kept.append(full.drop("_range"))
+        n -= before
+        if cut is None or n == 0:
+            break
+        rows = ranges.where(F.col("_range") == cut).drop("_range")
+        if n <= top_k or inside == size:  # rows that the keys do not tell apart cannot be cut
+            kept.append(rows.orderBy(*keys).limit(n))
             break
-        before += r["n"]
-    last = stored.where(F.col("_range") == cut).orderBy(*keys).limit(n - before)
-    return stored.where(F.col("_range") < cut).unionByName(last).drop("_range").orderBy(*keys)
+        size = inside
+    return reduce(DataFrame.unionByName, kept).orderBy(*keys)
 
 
 def capitals_in_order(capitals: DataFrame) -> DataFrame:

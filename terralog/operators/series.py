@@ -15,11 +15,10 @@ from terralog import names as N
 from terralog.names import POS
 from terralog.operators.first_match import fetch, first_pos, match_key
 from terralog.operators.lookup import Key, lookup_first
+from terralog.sources.shared import stored
 
 # A series comes in parts of this many items.
 ITEMS_PER_PART = 100_000
-# Blocks of positions are added up 2**16 at a time.
-BLOCK_BITS = 16
 # Item fields of a series (one is misspelt in the data).
 COUNTRY_FIELDS = {"year": "year", "value": "value"}
 CITY_FIELDS = {"year": "year", "value": "value", "sex": "sex", "reliabilty": "reliabilty"}
@@ -39,30 +38,23 @@ def entities(facts: DataFrame, name: str, carry: Sequence[str], pos: str = POS)
     )
 
 
-def block_offsets(rows: DataFrame, name: str, at: str, bits: int) -> DataFrame:
-    """``name, _block, _offset``: the number of the name's rows before each block of 2**bits positions.
+def with_ordinals(rows: DataFrame, name: str, at: str, into: str = "_idx") -> DataFrame:
+    """Rows with their place, from 0, among those of the same ``name`` in the order of ``at``.
 
-    Rows are counted per block, blocks added up within blocks of 2**16 of them, these
-    within the next level and so on to the top of 64 bits.  No window holds more than
-    2**16 rows, whatever the spacing or sign of the positions and however many rows a
-    name has, and only counts are put in order.
+    The rows are cut into ranges of ``(name, at)``, sorted within them and stored, numbered
+    as they are written.  A row per range and name then tells how many come before it, so
+    rows move once, whatever share of them one name has; the only window holds a row per
+    range.
     """
-
-    def before(within: Sequence[str], order: str) -> Column:
-        window = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(window), F.lit(0))
-
-    levels = [rows.groupBy(name, F.shiftright(at, bits).alias("_b0")).agg(F.count(F.lit(1)).alias("_n"))]
-    for k in range(3):
-        up = levels[k].withColumn(f"_b{k + 1}", F.shiftright(f"_b{k}", BLOCK_BITS))
-        levels[k] = up
-        levels.append(up.groupBy(name, f"_b{k + 1}").agg(F.sum("_n").alias("_n")))
-    offsets = levels[3].select(name, "_b3", before([name], "_b3").alias("_above"))
-    for k in (2, 1, 0):
-        inner = before([name, f"_b{k + 1}"], f"_b{k}")
-        placed = levels[k].withColumn("_inner", inner).join(offsets, [name, f"_b{k + 1}"])
-        offsets = placed.select(name, f"_b{k}", (F.col("_above") + F.col("_inner")).alias("_above"))
-    return offsets.select(name, F.col("_b0").alias("_block"), F.col("_above").alias("_offset"))
+    ranged = rows.repartitionByRange(name, at).sortWithinPartitions(name, at)
+    # The number of a row: its range in the upper bits, its place in the range in the lower 33.
+    numbered = stored(ranged.withColumn("_number", F.monotonically_increasing_id()), "ordinals")
+    numbered = numbered.withColumn("_range", F.shiftright("_number", 33))
+    runs = numbered.groupBy("_range", name).agg(F.count(F.lit(1)).alias("_n"), F.min("_number").alias("_start"))
+    earlier = Window.partitionBy(name).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift")
+    placed = numbered.join(runs.select("_range", name, shift), ["_range", name])
+    return placed.withColumn(into, F.col("_shift") + F.col("_number")).drop("_range", "_number", "_shift")
 
 
 def nest_series(
@@ -73,44 +65,59 @@ def nest_series(
     into: str = "populationCounts",
     items_per_part: int | None = ITEMS_PER_PART,
     pos: str = POS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Group facts by ``name`` and nest ``fields`` in ``_pos`` order.
 
     Returns ``name``, the first row's ``carry``, ``_pos`` of the first row, ``part``,
-    ``offset`` and the list ``into``.  An entity comes in consecutive parts, whole and
-    without overlap, in the order of ``part`` (from 0, not always without gaps), ``offset``
-    counting the items before a part; most have one.  A part is a run of whole blocks of positions, a block being the largest
-    power of two up to ``items_per_part``: a new one begins with the first block that has
-    a further multiple of ``items_per_part`` items before it.  So a part has fewer than
-    twice ``items_per_part`` items, parts depend on the entity's own items alone, and
-    each is built by itself: no task holds an unbounded list, whatever share of the
-    facts one entity has.
-
-    ``items_per_part=None`` counts nothing and gives one part; use it only where the
-    facts bound the length, such as totals grouped by entity and year.
+    ``offset`` and the list ``into``.  An entity comes in parts 0, 1, ... of
+    ``items_per_part`` items, the last with what is left; ``offset`` counts the items
+    before a part.  Most entities have one part and are nested in one shuffle.  Those with
+    more items are counted first; their facts get ordinals (``with_ordinals``) and each part is
+    built by itself, so no task holds an unbounded list, whatever share of the facts one
+    entity has.  Parts depend on the entity's own items alone.
+
+    ``sizes`` (``name, n``) saves the count where it is known.  ``items_per_part=None``
+    counts nothing and gives one part; use it only where the facts bound the length, such
+    as totals grouped by entity and year.
     """
     items = facts.select(
         group_key(name).alias("_name"),
         F.col(pos).cast("long").alias("_at"),
+        F.struct(F.lit(1).alias("_1"), *carry).alias("_carry"),
         *[F.col(old).alias(f"_f{k}") for k, old in enumerate(fields.values())],
     )
     item = F.struct("_at", *[F.col(f"_f{k}").alias(new) for k, new in enumerate(fields)])
-    listed = F.sort_array(F.collect_list(item)).alias("_items")
-    if items_per_part is None:
-        zero = F.lit(0).cast("long")
-        nested = items.groupBy("_name").agg(listed).withColumns({"part": zero, "offset": zero})
+    zero = F.lit(0).cast("long")
+
+    def nested(rows: DataFrame, *keys: str) -> DataFrame:
+        listed = F.sort_array(F.collect_list(item)).alias("_items")
+        # The first row's texts come along in the same pass; lists are aggregated as objects anyway.
+        return rows.groupBy(*keys).agg(listed, F.min_by("_carry", "_at").alias("_carry"), F.min("_at").alias("_first"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return nested(rows, "_name").withColumns({"part": zero, "offset": zero})
+
+    long = None
+    if items_per_part is not None:
+        if sizes is None:
+            sizes = items.groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            sizes = sizes.select(F.col(name).alias("_name"), "n")
+        long = stored(sizes.where(F.col("n") > int(items_per_part)).select(match_key("entity", F.col("_name")).alias("_long")), "long")
+    if long is None or long.isEmpty():
+        parts = whole(items)
     else:
-        bits = int(items_per_part).bit_length() - 1
-        offsets = block_offsets(items.select("_name", "_at"), "_name", "_at", bits)
-        run = offsets.withColumn("_run", F.expr(f"_offset div {int(items_per_part)}"))
-        placed = items.withColumn("_block", F.shiftright("_at", bits)).join(run, ["_name", "_block"])
-        nested = placed.groupBy("_name", "_run").agg(listed, F.min("_offset").alias("offset"))
-        nested = nested.withColumnRenamed("_run", "part")
-    heads = entities(facts, name, carry, pos).select(
-        F.col(name).alias("_name"), F.struct(F.lit(1), *carry).alias("_carry"), F.col(pos).alias("_first")
-    )
+        is_long = match_key("entity", F.col("_name")) == F.col("_long")
+        placed = with_ordinals(items.join(long, is_long, "left_semi"), "_name", "_at")
+        cut = nested(placed.withColumn("part", F.expr(f"_idx div {int(items_per_part)}")), "_name", "part")
+        firsts = placed.where(F.col("_idx") == 0)
+        heads = firsts.select(match_key("entity", F.col("_name")).alias("_long"), "_carry", F.col("_at").alias("_first"))
+        cut = cut.drop("_carry", "_first").join(heads, is_long).drop("_long")
+        cut = cut.withColumn("offset", F.col("part") * int(items_per_part))
+        parts = whole(items.join(long, is_long, "left_anti")).unionByName(cut)
     bare = F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
-    return nested.join(heads, "_name").select(
+    return parts.select(
         F.col("_name").alias(name),
         *[f"_carry.{c}" for c in carry],
         F.col("_first").alias(pos),
@@ -145,10 +152,11 @@ def unnest_series(nested: DataFrame, into: str = "populationCounts") -> DataFram
 def latest_year(facts: DataFrame, name: str = "country", pos: str = POS) -> DataFrame:
     """One row, ``year``: that of the last fact of the first entity.
 
-    This is not the greatest year; see ``greatest_year``.
+    This is not the greatest year; see ``greatest_year``.  One pass: the first position
+    and the last year of each entity, then the year of the least position.
     """
-    first = facts.agg(F.min_by(group_key(name), pos).alias("name")).scalar()
-    return facts.where(group_key(name) == first).agg(F.max_by("year", pos).alias("year"))
+    ends = facts.groupBy(group_key(name).alias("_name")).agg(F.min(pos).alias("_first"), F.max_by("year", pos).alias("year"))
+    return ends.agg(F.min_by("year", "_first").alias("year"))
 
 
 def greatest_year(facts: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 # Folders made for local sessions without the setting, by application; gone at exit.
@@ -29,3 +30,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
         root = _LOCAL[context.applicationId]
     return f"{root.rstrip('/')}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read again; a job that runs at once."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

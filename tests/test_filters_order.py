@@ -96,18 +96,36 @@ def test_limit_rows(table, limit, n):
     assert order.limit_rows(table("country string, value double", TIES), limit, [F.col("_pos").asc()]).count() == n
 
 
-@pytest.mark.parametrize("n", [301, 450, 3000, 9_999])
-def test_a_large_limit_needs_no_single_task(spark, monkeypatch, n):
-    monkeypatch.setattr(order, "TOP_K", 300)
-    monkeypatch.setattr(order, "RANGE_ROWS", 400)
+@pytest.mark.parametrize("n", [301, 450, 3000, 9_999, 10_000, 2**40])
+def test_a_large_limit_needs_no_single_task(spark, n):
     df = spark.range(10_000, numPartitions=3).select(
         F.col("id").alias("_pos"), F.lit("x").alias("country"), (F.col("id") * 7919 % 50).cast("double").alias("value")
     )
-    got = order.order_rows(df, "dsc", limit=n)
-    assert rows(got) == rows(order.order_rows(df, "dsc").limit(n))
+    keys = order.sort_keys(df, "dsc", "population", "country", "value")
+    got = order.limit_rows(df, n, keys, top_k=300)
+    assert rows(got) == rows(df.orderBy(*keys).limit(min(n, 10_000)))
     assert "SinglePartition" not in final_plan(got)
 
 
+def test_a_large_limit_over_equal_rows(spark):
+    """Keys that tell no rows apart: the cut cannot get smaller, and ends."""
+    df = spark.range(5000, numPartitions=3).select(F.lit(1).alias("a"))
+    assert order.limit_rows(df, 1234, [F.col("a").asc()], top_k=10).count() == 1234
+
+
+@pytest.mark.parametrize("size", [1000, 100_000])
+def test_the_driver_sees_a_row_per_range(spark, monkeypatch, size):
+    """However many rows there are; a small limit runs nothing at all."""
+    seen = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    df = spark.range(size, numPartitions=5)
+    order.limit_rows(df, 400, [F.col("id").asc()], top_k=400)
+    assert seen == []
+    assert order.limit_rows(df, size // 2, [F.col("id").desc()], top_k=50).count() == size // 2
+    assert 1 <= len(seen) <= 6 and all(len(x) <= 4 for x in seen)
+
+
 def test_drop_leading(table):
     df = table("city string", ["null", "a", "null"])
     assert [r[0] for r in rows(filters.drop_leading(df.orderBy("_pos"), "city", "null").orderBy("_pos"), "_pos")] == [1, 2]
