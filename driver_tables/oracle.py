@@ -94,6 +94,17 @@ DOC_REQUESTS = """requests AS (
               ELSE 'Line 0 STATE' END AS state
   FROM documents)"""
 
+HOT_PLACES = """requests AS (
+  SELECT o_orderkey AS req_id, o_custkey % 8 AS kind, 'Line 0 STATE' AS state,
+         CASE WHEN o_custkey % 8 < 4 THEN 'DOC ' || o_custkey % 8 WHEN o_custkey % 8 = 4 THEN 'Doc 4'
+              WHEN o_custkey % 8 = 5 THEN 'Nowhere' END AS country,
+         CASE WHEN o_custkey % 8 < 5 THEN o_custkey % 8 WHEN o_custkey % 8 = 7 THEN 3 END AS doc
+  FROM orders)"""
+
+HOT_CITIES = """requests AS (
+  SELECT p.p_partkey AS req_id, CASE WHEN p.p_partkey % 7 = 6 THEN 'nowhere' ELSE s.p_name END AS asked
+  FROM part p LEFT JOIN part s ON s.p_partkey = p.p_partkey % 7 AND s.p_partkey <= 5)"""
+
 EVENT_REQUESTS = f"""requests AS (
   SELECT event_id AS req_id,
          CASE event_type WHEN 'click' THEN upper({CUSTOMER_NAME.format("user_id")})
@@ -427,6 +438,47 @@ FROM documents LEFT JOIN lists ON k = doc_id % 60""",
     "cities_of_two_sources": cities_of(
         "doc_id IN (SELECT doc_id FROM labels)", "coalesce(f.country, '') IN ('Doc 7', 'Doc 8')"
     ),
+    "states_answers": f"""WITH {HOT_PLACES}
+SELECT req_id, CASE WHEN kind = 6 THEN 400 WHEN doc IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN kind = 6 THEN 'missing param (country or iso2)' WHEN doc IS NULL THEN 'country not found'
+            ELSE 'states in Doc ' || doc || ' retrieved' END AS msg,
+       'Doc ' || doc AS name, lang AS iso3, 'D-' || doc AS iso2, doc AS list_id
+FROM requests LEFT JOIN documents ON doc_id = doc""",
+    "asked_states": f"""WITH {DOC_LINES}, {HOT_PLACES}
+SELECT doc_id AS list_id, CAST(count(*) AS INTEGER) AS n_states, {CODED_LINES} AS states_md5
+FROM lines WHERE doc_id IN (SELECT doc FROM requests) GROUP BY doc_id""",
+    "state_answers": f"""WITH {HOT_PLACES}
+SELECT req_id, CASE WHEN country IS NULL THEN 400 WHEN doc IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN country IS NULL THEN 'missing param (country)' WHEN doc IS NULL THEN 'country not found'
+            ELSE 'cities in state ' || state || ' of country ' || country || ' retrieved' END AS msg,
+       CASE WHEN country IS NOT NULL THEN doc END AS row,
+       CASE WHEN country IS NOT NULL AND doc IS NOT NULL THEN CAST(0 AS INTEGER) END AS nth
+FROM requests""",
+    "asked_state_cities": f"""WITH {DOC_WORDS}, {HOT_PLACES}
+SELECT doc_id AS row, idx AS nth, CAST(count(*) AS INTEGER) AS n_cities, md5(string_agg(word, '|' ORDER BY j)) AS cities_md5
+FROM words WHERE idx = 0 AND doc_id IN (SELECT doc FROM requests WHERE country IS NOT NULL) GROUP BY doc_id, idx""",
+    "cities_answers": f"""WITH {HOT_PLACES}
+SELECT req_id, CASE WHEN kind = 6 THEN 400 WHEN doc IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN kind = 6 THEN 'missing param (country or iso2)' WHEN doc IS NULL THEN 'country not found'
+            ELSE 'cities in Doc ' || doc || ' retrieved' END AS msg,
+       doc AS one, CASE WHEN kind <> 4 THEN doc END AS two
+FROM requests""",
+    "asked_city_lists": f"""WITH {DOC_WORDS}, {HOT_PLACES},
+asked AS (SELECT DISTINCT doc AS one, CASE WHEN kind <> 4 THEN doc END AS two FROM requests WHERE doc IS NOT NULL),
+members AS (
+  SELECT one, two, 1 AS source, idx AS a, 0 AS b, line AS city FROM asked JOIN lines ON doc_id = one
+  UNION ALL SELECT one, two, 2, idx, j, word FROM asked JOIN words ON doc_id = two),
+once AS (SELECT *, row_number() OVER (PARTITION BY one, two, city ORDER BY source, a, b) AS rn FROM members)
+SELECT one, two, CAST(count(*) AS INTEGER) AS n_cities, md5(string_agg(city, '|' ORDER BY source, a, b)) AS cities_md5
+FROM once WHERE rn = 1 GROUP BY one, two""",
+    "lookup_city_answers": f"""WITH {part_city_facts()}, {HOT_CITIES},
+heads AS (SELECT lower(city) AS k, arg_min(city, pos) AS city, arg_min(country, pos) AS country FROM facts GROUP BY lower(city))
+SELECT req_id, CASE WHEN asked IS NULL THEN 400 WHEN city IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN asked IS NULL THEN 'missing param (city)' WHEN city IS NULL THEN 'city data not found'
+            ELSE upper(asked) || ' with population' END AS msg, city, country
+FROM requests LEFT JOIN heads ON lower(asked) = k""",
+    "lookup_city_facts": f"""WITH {part_city_facts()}, {HOT_CITIES}
+SELECT city, pos, year, value, sex, reliabilty FROM facts WHERE city IN (SELECT asked FROM requests)""",
     "merge_nested_lists": """WITH words AS (
   SELECT conv_id, turn, 1 AS source, i, word
   FROM conversations, unnest(string_split(text, ' ')) WITH ORDINALITY AS t(word, i)

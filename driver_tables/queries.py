@@ -18,6 +18,8 @@ from terralog.names import MSG_DIAL_CODE, POS
 from terralog.operators import filters, hierarchy, lookup, merge, order, project, series
 from terralog.operators.first_match import enrich_first
 from terralog.operators.lookup import Key
+from terralog.plans.cities import asked_city_lists as run_asked_city_lists
+from terralog.plans.cities import cities_answers as run_cities_answers
 from terralog.plans.cities import cities_of as run_cities_of
 from terralog.plans.info import country_info as run_country_info
 from terralog.plans.population import as_population_counts
@@ -274,6 +276,27 @@ def lookup_population_facts(spark, sf):
     return plain(series.asked_country_facts(series.country_answers(_hot_requests(spark, sf), facts), facts))
 
 
+def _hot_cities(spark, sf):
+    """Every part asks for one of five city names, for none or for an unknown one."""
+    kind = F.col("p_partkey") % 7
+    some = R.table(spark, sf, "part").where(F.col("p_partkey") <= 5).select(F.col("p_partkey").alias("nth"), F.upper("p_name").alias("city"))
+    asked = R.table(spark, sf, "part").select(F.col("p_partkey").alias("req_id"), kind.alias("nth"))
+    return asked.join(some, "nth", "left").select("req_id", F.when(F.col("nth") == 6, "nowhere").otherwise(F.col("city")).alias("city"))
+
+
+@query
+def lookup_city_answers(spark, sf):
+    """Requests that ask one city many times: one row each, without its facts."""
+    return series.city_answers(_hot_cities(spark, sf), R.part_city_facts(spark, sf))
+
+
+@query
+def lookup_city_facts(spark, sf):
+    """The facts of the cities that some request asked for, each once."""
+    facts = R.part_city_facts(spark, sf)
+    return plain(series.asked_city_facts(series.city_answers(_hot_cities(spark, sf), facts), facts))
+
+
 @query
 def lookup_any_column(spark, sf):
     asked = R.table(spark, sf, "orders").select(
@@ -403,6 +426,73 @@ def cities_of_duplicates(spark, sf):
     )
 
 
+def _hot_places(spark, sf):
+    """Every order asks for one of five documents, by name or code, for an unknown one or for none."""
+    kind = F.col("o_custkey") % 8
+    name = F.concat(F.lit("DOC "), kind.cast("string"))
+    return R.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("req_id"),
+        F.when(kind < 4, name).when(kind == 4, "Doc 4").when(kind == 5, "Nowhere").alias("country"),
+        F.when(kind == 7, " d-3 ").alias("iso2"),
+        F.lit("Line 0 STATE").alias("state"),
+    )
+
+
+def _states_asked(spark, sf):
+    states = project.country_states(R.doc_states(spark, sf))
+    return lookup.states_answers(_hot_places(spark, sf), states), states
+
+
+@query
+def states_answers(spark, sf):
+    """Requests that ask one country many times: one row each, with the id of its list."""
+    return _states_asked(spark, sf)[0]
+
+
+@query
+def asked_states(spark, sf):
+    """The lists of the countries that some request asked for, each once."""
+    names = F.transform("states", lambda s: F.concat_ws(":", s["state_code"], s["name"]))
+    return lookup.asked_states(*_states_asked(spark, sf)).select("list_id", F.size("states").alias("n_states"), digest(names).alias("states_md5"))
+
+
+def _state_cities_asked(spark, sf):
+    nested = project.state_cities(R.doc_state_cities(spark, sf))
+    return hierarchy.state_answers(_hot_places(spark, sf), nested), nested
+
+
+@query
+def state_answers(spark, sf):
+    return _state_cities_asked(spark, sf)[0].select("req_id", "status", "msg", "list_id.row", "list_id.nth")
+
+
+@query
+def asked_state_cities(spark, sf):
+    """The cities of the states that some request asked for, each state once."""
+    return hierarchy.asked_state_cities(*_state_cities_asked(spark, sf)).select(
+        "list_id.row", "list_id.nth", F.size("cities").alias("n_cities"), digest(F.col("cities")).alias("cities_md5")
+    )
+
+
+def _city_lists_asked(spark, sf):
+    lines = R.doc_cities(spark, sf).withColumn("iso2", F.concat(F.lit("D-"), F.col(POS).cast("string")))
+    nested = R.doc_state_cities(spark, sf)
+    return run_cities_answers(_hot_places(spark, sf), lines, nested, exclude_second_source=["Doc 4"]), lines, nested
+
+
+@query
+def cities_answers(spark, sf):
+    return _city_lists_asked(spark, sf)[0].select("req_id", "status", "msg", "list_id.one", "list_id.two")
+
+
+@query
+def asked_city_lists(spark, sf):
+    """The merged cities of the countries that some request asked for, each list once."""
+    return run_asked_city_lists(*_city_lists_asked(spark, sf)).select(
+        "list_id.one", "list_id.two", F.size("cities").alias("n_cities"), digest(F.col("cities")).alias("cities_md5")
+    )
+
+
 @query
 def merge_nested_lists(spark, sf):
     """Distinct union of two lists per row, first occurrences kept in order."""

@@ -44,26 +44,26 @@ def _asked(requests: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def cities_in_state(
+def state_answers(
     requests: DataFrame, state_cities: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
 ) -> DataFrame:
-    """Country and state names to the list of city names, over the nested table.
+    """Country and state names to ``status, msg, list_id``, over the nested table, without the lists.
 
     Requests meet narrow keys only: the country's first row, then the first state of the
-    name in it.  The one state's list is fetched last.
+    name in it.  ``list_id``: the row's position and the state's place in it.
     """
     named = state_cities.select(pos, F.lower("name").alias("_name"), "states")
     firsts = first_pos(named.where(F.col("_name").isNotNull()), ["_name"], pos, "_row")
     countries = firsts.select(match_key("country", F.col("_name")).alias("_country"), "_row")
     # Only states of rows that a country name leads to are looked at.
     used = named.join(firsts.select(F.col("_row").alias("_used")), F.col(pos) == F.col("_used"), "left_semi")
-    inner = used.select(F.col(pos).alias("_row"), F.posexplode("states").alias("_nth", "_state"))
-    keyed = inner.select("_row", "_nth", norm_key(F.col("_state.name"), "state").alias("_key"))
+    inner = used.select(F.col(pos).alias("_row"), F.posexplode("states.name").alias("_nth", "_state"))
+    keyed = inner.select("_row", "_nth", norm_key(F.col("_state"), "state").alias("_key"))
     heads = first_pos(keyed.where(F.col("_key").isNotNull()), ["_row", "_key"], "_nth", "_nth")
     states = heads.select(
-        match_key("state", F.col("_row"), F.col("_key")).alias("_place"), match_key("list", F.col("_row"), F.col("_nth")).alias("_list")
+        match_key("state", F.col("_row"), F.col("_key")).alias("_place"),
+        F.struct(F.col("_row").alias("row"), F.col("_nth").alias("nth")).alias("_list"),
     )
-    lists = inner.select(match_key("list", F.col("_row"), F.col("_nth")).alias("_list"), city_names(F.col("_state.cities")).alias("cities"))
     joined = (
         _asked(requests, keep)
         .join(countries, "_country", "left")
@@ -71,8 +71,35 @@ def cities_in_state(
         .join(states, "_place", "left")
     )
     status, msg = _answer(F.col("_row").isNotNull(), F.col("_list").isNotNull())
-    answered = joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_list")).alias("_list"))
-    return answered.join(lists, "_list", "left").select(*keep, "status", "msg", "cities")
+    return joined.select(*keep, status, msg, F.when(status == N.OK, F.col("_list")).alias("list_id"))
+
+
+def asked_state_cities(answers: DataFrame, state_cities: DataFrame, pos: str = POS) -> DataFrame:
+    """``list_id, cities`` of the states in ``answers``, each once; no other state is unfolded."""
+    asked = answers.where(F.col("list_id").isNotNull()).select("list_id").distinct()
+    wanted = asked.groupBy(F.col("list_id.row").alias("_asked")).agg(F.collect_list("list_id.nth").alias("_nths"))
+    rows = state_cities.select(pos, "states").join(wanted, F.col(pos) == F.col("_asked"))
+    one = rows.select(F.col(pos).alias("_row"), F.explode("_nths").alias("_nth"), "states")
+    row = F.struct(F.col("_row").alias("row"), F.col("_nth").alias("nth"))
+    return one.select(row.alias("list_id"), city_names(F.get("states", F.col("_nth"))["cities"]).alias("cities"))
+
+
+def cities_in_state(
+    requests: DataFrame, state_cities: DataFrame, keep: Sequence[str] = ("req_id",), pos: str = POS
+) -> DataFrame:
+    """Country and state names to the list of city names, repeated for each request.
+
+    Meant for few requests a state; for many, see ``state_answers`` and ``asked_state_cities``.
+    """
+    answers = state_answers(requests, state_cities, keep, pos)
+    lists = asked_state_cities(answers, state_cities, pos)
+
+    def key(row: Column) -> Column:
+        return match_key("list", row["row"], row["nth"])
+
+    found = answers.withColumn("_list", key(F.col("list_id")))
+    listed = lists.select(key(F.col("list_id")).alias("_list"), "cities")
+    return found.join(listed, "_list", "left").select(*keep, "status", "msg", "cities")
 
 
 def resolve_state(

@@ -173,6 +173,25 @@ def states_of(requests: DataFrame, states: DataFrame, **options) -> DataFrame:
     )
 
 
+def states_answers(requests: DataFrame, states: DataFrame, pos: str = POS, **options) -> DataFrame:
+    """Name or iso2 to ``name, iso3, iso2, list_id``, one row per request and no list.
+
+    With ``asked_states`` this answers any number of requests for one country in as many
+    rows as there are requests and asked countries; ``states_of`` repeats the list.
+    """
+    named = states.withColumn("list_id", F.col(pos))
+    return lookup_first(
+        requests, named, _by_name_or_iso2(), ["name", "iso3", "iso2", "list_id"], N.MSG_STATES, pos=pos, **options
+    )
+
+
+def asked_states(answers: DataFrame, states: DataFrame, pos: str = POS) -> DataFrame:
+    """``list_id, states[]`` of the countries in ``answers``, each once."""
+    asked = answers.where(F.col("list_id").isNotNull()).select(F.col("list_id").alias("_asked")).distinct()
+    lists = states.select(F.col(pos).alias("list_id"), "states")
+    return lists.join(asked, F.col("list_id") == F.col("_asked"), "left_semi")
+
+
 def find_by(requests: DataFrame, dim: DataFrame, param: str, column: str, **options) -> DataFrame:
     """Case-blind, untrimmed lookup on any one column; returns the whole row."""
     answer = [c for c in dim.columns if c != options.get("pos", POS)]

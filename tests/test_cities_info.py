@@ -1,7 +1,10 @@
 import pytest
 from conftest import final_plan, rows
+from pyspark.sql import functions as F
 
+from terralog.operators import hierarchy, lookup
 from terralog.operators.merge import merge_members
+from terralog.plans import cities as cities_plan
 from terralog.plans.cities import cities_of
 from terralog.plans.info import country_info
 
@@ -124,3 +127,36 @@ def test_info_joins_only_what_is_asked_for(master):
         country_info(master, "flag")
     with pytest.raises(ValueError, match="you must specify"):
         country_info(master, "")
+
+
+def test_lists_by_id_do_not_multiply(spark, table):
+    """Many requests for one country: rows out are requests and lists, not a list for each request."""
+    cities = table("iso2 string, country string, cities array<string>", [("A", "Ambria", ["x", "y"]), ("B", "Bel", ["z"])])
+    states = table(
+        "iso2 string, iso3 string, name string, states array<struct<name: string, cities: array<struct<name: string>>>>",
+        [("A", "AMB", "Ambria", [("North", [("y",), ("w",)]), ("South State ", [("v",)]), ("North", [("no",)])]), ("C", "CEL", "Cel", None)],
+    )
+    n = 400
+    kind = F.col("id") % 4
+    asked = spark.range(n).select(
+        F.col("id").alias("req_id"),
+        F.when(kind < 2, "AMBRIA").when(kind == 2, "cel").otherwise("Ambria").alias("country"),
+        F.when(kind == 0, "north").when(kind == 1, "south state").otherwise("west").alias("state"),
+    )
+    answers = cities_plan.cities_answers(asked, cities, states, exclude_second_source=["Ambria"])
+    lists = cities_plan.asked_city_lists(answers, cities, states)
+    assert answers.count() == n and dict(rows(answers.groupBy("status").count())) == {200: n}
+    assert sorted(rows(lists.select("list_id.one", "list_id.two", "cities")), key=str) == [
+        (0, 0, ["x", "y", "w", "v", "no"]), (0, None, ["x", "y"]), (None, 1, []),
+    ]
+    whole = cities_plan.cities_of(asked, cities, states, exclude_second_source=["Ambria"])
+    joined = answers.join(lists, answers["list_id"].eqNullSafe(lists["list_id"]), "left").select("req_id", "status", "msg", "cities")
+    assert sorted(rows(whole)) == sorted(rows(joined))
+    found = hierarchy.state_answers(asked, states)
+    assert dict(rows(found.groupBy("status").count())) == {200: n // 2, 404: n // 2}
+    inner = hierarchy.asked_state_cities(found, states)
+    assert sorted(rows(inner.select("list_id.row", "list_id.nth", "cities"))) == [(0, 0, ["y", "w"]), (0, 1, ["v"])]
+    named = lookup.states_answers(asked, states)
+    assert named.count() == n and "states" not in named.columns
+    assert sorted(rows(lookup.asked_states(named, states).select("list_id", F.size("states")))) == [(0, 3), (1, None)]
+    assert lookup.asked_states(named.where("false"), states).count() == 0
