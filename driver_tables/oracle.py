@@ -20,14 +20,16 @@ MASTER = """master AS (
          'U+' || c_nationkey AS unicode_flag,
          CASE c_nationkey WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '+' || c_nationkey END AS dial_code,
          CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS currency,
-         CASE WHEN c_acctbal < 0 THEN '' ELSE 'Capital ' || c_nationkey END AS capital
+         CASE WHEN c_acctbal < 0 THEN '' ELSE 'Capital ' || c_nationkey END AS capital,
+         c_mktsegment AS continent
   FROM customer)"""
 
 FLAGS = f"""flags AS (
   SELECT s_suppkey AS pos,
          CASE WHEN s_nationkey < 12 THEN ' ' || upper({CUSTOMER_NAME.format("s_suppkey * 20")}) || ' '
               ELSE lower({CUSTOMER_NAME.format("s_suppkey * 20")}) END AS name,
-         CASE WHEN s_nationkey = 13 THEN '' ELSE 'https://flags.example/' || s_suppkey || '.svg' END AS flag
+         CASE WHEN s_nationkey = 13 THEN '' ELSE 'https://flags.example/' || s_suppkey || '.svg' END AS flag,
+         CAST(s_suppkey AS VARCHAR) AS number
   FROM supplier)"""
 
 # Names are unique among customers, so a plain left join is a first match.
@@ -563,8 +565,9 @@ FROM lines GROUP BY doc_id, lang""",
     "facts_round_trip": f"WITH {ORDER_FACTS} SELECT * FROM facts",
     "city_facts_round_trip": f"WITH {ORDER_CITY_FACTS} SELECT * FROM facts",
     "nested_round_trip": STATE_CITIES_DIGEST,
-    "flags_round_trip": f"WITH {FLAGS} SELECT pos, name, flag FROM flags",
-    "master_round_trip": f"WITH {MASTER} SELECT pos, name, currency, capital FROM master",
+    "flags_round_trip": f"WITH {FLAGS} SELECT pos, name, flag, number FROM flags",
+    "master_round_trip": f"""WITH {MASTER}
+SELECT pos, name, iso2, iso3, unicode_flag AS unicode, dial_code AS dial, currency, capital, continent FROM master""",
     "states_round_trip": f"""WITH {DOC_LINES}
 SELECT doc_id AS pos, 'Doc ' || doc_id AS name, CAST(count(*) AS INTEGER) AS n_states, {STATE_ROWS} AS states_md5
 FROM lines GROUP BY doc_id""",
@@ -572,7 +575,10 @@ FROM lines GROUP BY doc_id""",
 SELECT doc_id AS pos, 'Doc ' || doc_id AS country, CAST(count(*) AS INTEGER) AS n_cities,
        md5(string_agg(line, '|' ORDER BY idx)) AS cities_md5
 FROM lines GROUP BY doc_id""",
-    "documents_round_trip": f"WITH {CODES} SELECT pos, name, dial_code, iso2, code FROM codes",
+    "documents_round_trip": f"""WITH {CODES}
+SELECT pos, name, dial_code, iso2, code, latitude, CAST(longitude AS DOUBLE) AS longitude FROM codes""",
+    "file_order_round_trip": f"WITH {CODES} SELECT row_number() OVER (ORDER BY pos) - 1 AS nth, name FROM codes",
+    "lookup_kept_answers": lookup(f"{CODES}, {REQUESTS}", "codes", "code", "name, code, dial_code", DIAL_FOUND),
     "rate_breaches": rate(),
     "rate_breaches_stream": rate(),
     "lookup_stream": lookup(f"{CODES}, {EVENT_REQUESTS}", "codes", "code", "name, code, dial_code", DIAL_FOUND),

@@ -14,10 +14,11 @@ from driver_tables import roles as R
 from terralog.functions.args import bounds
 from terralog.functions.lists import flatten_cities
 from terralog.functions.lists import merge_lists as merge_columns
+from terralog.functions.numbers import number_of_text
 from terralog.names import MSG_DIAL_CODE, POS
 from terralog.operators import filters, hierarchy, lookup, merge, order, project, series
 from terralog.operators.first_match import enrich_first
-from terralog.operators.lookup import Key
+from terralog.operators.lookup import Key, answer_with
 from terralog.plans.cities import asked_city_lists as run_asked_city_lists
 from terralog.plans.cities import cities_answers as run_cities_answers
 from terralog.plans.cities import cities_of as run_cities_of
@@ -29,7 +30,7 @@ from terralog.sources import schemas
 from terralog.sources.load import load_city_population, load_country_population, load_table, with_keys
 from terralog.sources.shared import shared_path
 from terralog.sources.write import read_facts, respond, write_facts, write_result
-from terralog.streaming.lookups import land, land_latest
+from terralog.streaming.lookups import keep_answers, land, land_latest
 from terralog.streaming.lookups import lookup_stream as run_lookup_stream
 from terralog.streaming.rate import rate_breaches as run_rate_breaches
 
@@ -822,13 +823,13 @@ def _through_json(spark, df, schema, name):
 
 @query
 def flags_round_trip(spark, sf):
-    return plain(_through_json(spark, R.flags(spark, sf), schemas.FLAGS, "flags").select(POS, "name", "flag"))
+    return plain(_through_json(spark, R.flags(spark, sf), schemas.FLAGS, "flags").select(POS, "name", "flag", "number"))
 
 
 @query
 def master_round_trip(spark, sf):
     back = _through_json(spark, R.master(spark, sf), schemas.MASTER, "master")
-    return back.select(F.col(POS).alias("pos"), F.col("Name").alias("name"), F.col("Currency").alias("currency"), F.col("Capital").alias("capital"))
+    return plain(back.select(POS, *[F.col(c).alias(c.lower()) for c in back.columns if c != POS]))
 
 
 @query
@@ -848,11 +849,20 @@ def lists_round_trip(spark, sf):
 def documents_round_trip(spark, sf):
     """Files that are one JSON array each, of a thousand customers or fewer."""
     path = shared_path(spark, f"arrays-{uuid.uuid4().hex}")
-    rows = R.codes(spark, sf).select(POS, "name", "dial_code", "iso2", "code")
+    rows = R.codes(spark, sf)
     arrays = rows.groupBy(F.expr(f"{POS} div 1000")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     back = load_table(spark, path, schemas.CODES, pos=POS, one_document=True)
-    return plain(back.select(POS, "name", "dial_code", "iso2", "code"))
+    return plain(back.withColumn("longitude", number_of_text(F.col("longitude"))))
+
+
+@query
+def file_order_round_trip(spark, sf):
+    """Many files without an ordinal column: files by path, rows by place, numbered from 0."""
+    path = shared_path(spark, f"ordered-{uuid.uuid4().hex}")
+    R.codes(spark, sf).repartitionByRange(7, POS).sortWithinPartitions(POS).drop(POS).write.json(path)
+    back = load_table(spark, path, schemas.CODES, one_document=False)
+    return series.with_ordinals(back.select(F.lit("all").alias("table"), POS, "name"), "table", POS, "nth").select("nth", "name")
 
 
 @query
@@ -916,3 +926,16 @@ def lookup_stream(spark, sf):
 def lookup_stream_as_batch(spark, sf):
     requests = _event_requests(R.table(spark, sf, "events"))
     return lookup.dial_code_of(requests, project.dial_codes(R.codes(spark, sf)))
+
+
+@query
+def lookup_kept_answers(spark, sf):
+    """Answers kept for a dimension that arrives in three lots, least positions last."""
+    path = shared_path(spark, f"grown-{uuid.uuid4().hex}")
+    codes = project.dial_codes(R.codes(spark, sf))
+    keys = [Key("country", "name"), Key("iso2", "code")]
+    for lot in (2, 1, 0):
+        codes.where(F.col(POS) % 3 == lot).write.mode("append").parquet(f"{path}/rows")
+        stream = spark.readStream.schema(codes.schema).parquet(f"{path}/rows")
+        answers = keep_answers(stream, keys, ["name", "code", "dial_code"], f"{path}/kept")
+    return answer_with(R.requests(spark, sf), answers, keys, MSG_DIAL_CODE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,8 @@ def load_table(
 ) -> DataFrame:
     """Read a table and give it ``_pos``, the ordinal that fixes its row order.
 
-    ``pos`` names a unique integer column of the files.  Without one, the order
-    within a single file is used; several files have no common order, so then
-    ``pos`` is required.  JSON is one array per file, or with
+    ``pos`` names a unique integer column of the files.  Without one, rows are in the order of
+    their file's path and their place in it (see ``file_positions``).  JSON is one array per file, or with
     ``one_document=False`` one object per line, which splits at scale.  Malformed
     input raises, and so does a row without a position; with ``check`` a pass over
     the positions also makes sure that none repeats.
@@ -44,9 +43,31 @@ def load_table(
         if check and not repeated_positions(df).isEmpty():
             raise ValueError(f"positions in {pos} repeat: first match and stable order need unique ones")
         return df
-    if df.select(F.input_file_name().alias("file")).distinct().limit(2).count() > 1:
-        raise ValueError("several files have no common row order: name an ordinal column in pos")
-    return df.select(F.monotonically_increasing_id().alias(POS), "*")
+    return file_positions(df)
+
+
+#: Rows of a task are numbered in the lower bits, splits of files in the upper.
+ROW_BITS = 33
+
+
+def file_positions(df: DataFrame) -> DataFrame:
+    """A table read from files with ``_pos``: files by path, rows by their place in the file.
+
+    A file is read in splits, several to a task, each in order.  The splits, a narrow row
+    each, are ranked by path and start; a position is the rank and the row's number in its
+    task, so it is unique and in order but leaves gaps.  Rows do not move for it, unless
+    there are more splits than a broadcast may hold.
+    """
+    if len(df.inputFiles()) < 2:
+        return df.select(F.monotonically_increasing_id().alias(POS), "*")
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    row = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    numbered = df.select("*", *split, row.alias("_row"))
+    ranked = df.select(*split).distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")))
+    ranks = ranked.select(F.col("_file").alias("_of"), F.col("_start").alias("_from"), F.col("_rank").cast("long").alias("_rank"))
+    met = (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_from"))
+    at = F.shiftleft(F.col("_rank"), ROW_BITS) + F.col("_row")
+    return numbered.join(ranks, met).select(at.alias(POS), *df.columns)
 
 
 def repeated_positions(df: DataFrame, pos: str = POS) -> DataFrame:

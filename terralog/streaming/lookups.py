@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from terralog.names import POS
+from terralog.operators.first_match import first_pos
 from terralog.operators.lookup import Key, answer_with, first_answers
 
 
@@ -46,6 +47,51 @@ def lookup_stream(
     return answer_with(requests, answers, keys, found, **options)
 
 
+def keep_answers(
+    rows: DataFrame, keys: Sequence[Key], answer: Sequence[str], path: str, pos: str = POS
+) -> DataFrame:
+    """``first_answers`` of a dimension that grows, brought up to date from its stream ``rows``.
+
+    Runs over the rows available now that no earlier run has seen.  A micro-batch finds
+    the first rows of its own, merges them with the stored answers by least position, and
+    stores the result beside them, so the dimension is read once, whatever it grows to.
+    Two folders take turns: a batch that is run again reads what it read before.  Returns
+    ``_key, answer`` for ``answer_with`` and ``lookup_stream``.  The caller owns ``path``.
+    """
+    spark = rows.sparkSession
+    kept = _kept(rows, keys, answer, pos).schema
+    schema = StructType([*kept.fields, StructField("batch", LongType())])
+
+    def slot(number: int) -> str:
+        return f"{path}/answers-{number % 2}"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        every = _kept(batch, keys, answer, pos)
+        if number:
+            every = every.unionByName(spark.read.schema(kept).parquet(slot(number - 1)))
+        firsts = first_pos(every, ["_key"], "_at", "_first").withColumnRenamed("_key", "_of")
+        merged = every.join(firsts, (F.col("_key") == F.col("_of")) & (F.col("_at") == F.col("_first")))
+        merged = merged.select("_key", "_at", "answer", F.lit(number).cast("long").alias("batch"))
+        merged.write.mode("overwrite").parquet(slot(number))
+
+    query = (
+        rows.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    stored = spark.read.schema(schema).parquet(f"{path}/answers-[01]")
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.where(F.col("batch") == F.lit(last)).select("_key", "answer")
+
+
+def _kept(rows: DataFrame, keys: Sequence[Key], answer: Sequence[str], pos: str) -> DataFrame:
+    """``_key, _at, answer`` of the first row of each key among ``rows``."""
+    whole = first_answers(rows, keys, [pos, *answer], pos=pos)
+    return whole.select("_key", F.col(f"answer.{pos}").alias("_at"), F.struct(*[f"answer.{c}" for c in answer]).alias("answer"))
+
+
 def land(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over all data available now and return what it wrote below ``path``.
 

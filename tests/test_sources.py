@@ -31,15 +31,39 @@ def test_malformed_input_raises(spark, tmp_path):
         load_table(spark, str(path), schemas.FLAGS).collect()
 
 
-def test_several_files_need_an_ordinal(spark, tmp_path, table):
+def test_several_files_with_an_ordinal(spark, tmp_path, table):
     df = table("name string, flag string, number string", [(f"n{i}", None, str(i)) for i in range(20)])
     write_result(df.repartition(3), str(tmp_path / "many"))
-    with pytest.raises(ValueError, match="row order"):
-        load_table(spark, str(tmp_path / "many"), schemas.FLAGS, one_document=False)
     back = load_table(spark, str(tmp_path / "many"), schemas.FLAGS, pos="_pos", one_document=False)
     assert rows(back.orderBy("_pos")) == rows(df.orderBy("_pos"))
 
 
+@pytest.mark.parametrize("split_bytes", [300, 5_000, 1_000_000])
+def test_many_files_in_many_splits_have_one_order(spark, tmp_path, settings, split_bytes):
+    """Files by path, rows by place, however the files are split and packed into tasks."""
+    settings(files__maxPartitionBytes=str(split_bytes), files__openCostInBytes="100")
+    lines, k = [], 0
+    for name, n in [("b", 120), ("a", 7), ("c", 60), ("d", 0), ("e", 1), ("f", 33)]:
+        part = [json.dumps({"name": f"{name}{i}", "flag": "x" * (i * 37 % 50), "number": str(i)}) for i in range(n)]
+        (tmp_path / f"{name}.json").write_text("".join(f"{x}\n" for x in part))
+    for name, n in [("a", 7), ("b", 120), ("c", 60), ("e", 1), ("f", 33)]:
+        lines += [(f"{name}{i}", str(i)) for i in range(n)]
+    df = load_table(spark, str(tmp_path), schemas.FLAGS, one_document=False)
+    assert rows(df.orderBy("_pos"), "name", "number") == lines
+    assert repeated_positions(df).isEmpty()
+    whole = rows(df.orderBy("_pos"), "_pos", "name")
+    assert rows(df.where("name = 'b77'"), "_pos", "name") == [x for x in whole if x[1] == "b77"]
+    one = load_table(spark, str(tmp_path / "b.json"), schemas.FLAGS, one_document=False)
+    assert [r[0] for r in rows(one.orderBy("_pos"), "name")] == [f"b{i}" for i in range(120)]
+
+
+def test_documents_in_several_files_have_one_order(spark, tmp_path):
+    for name in "cab":
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"name": f"{name}{i}"} for i in range(3)]))
+    df = load_table(spark, str(tmp_path), schemas.FLAGS)
+    assert [r[0] for r in rows(df.orderBy("_pos"), "name")] == [f"{name}{i}" for name in "abc" for i in range(3)]
+
+
 def test_nulls_are_left_out_of_json(tmp_path, table):
     write_result(table("name string, states array<string>", [("a", None), (None, [])]).coalesce(1), str(tmp_path / "o"))
     text = "".join(p.read_text() for p in (tmp_path / "o").glob("part-*"))
