@@ -3,10 +3,15 @@
 Strong candidates stand alone: assignments of a secret, access-key identifiers and long
 hexadecimal strings.  Weak candidates say little by themselves: an account or key
 identifier, a random-looking string, an endpoint with or without a port.  They are
-reported only when complementary parts meet: a weak secret with an identifier *and* an
-endpoint, all in one scope.  A scope reaches from a candidate over at most ``REACH``
-characters and ends at an empty line.  Candidates of each part are intervals in order of
-their start, so the join of the three is one bisection a candidate.
+reported only when complementary parts meet in one scope:
+
+- a secret, an identifier and an endpoint;
+- a secret that is called one and the identifier of a key, as access keys come in pairs;
+- a secret and an endpoint that names its user.
+
+A scope reaches from a secret over at most ``REACH`` characters and ends at an empty line.
+Candidates of each part are intervals in order of their start, so each join is one
+bisection a secret and part.  Paths made of words are no secrets.
 
 A document's scopes lie inside its text, so documents are scanned where they are read,
 without a shuffle; a text of any length is worked through once per pattern.
@@ -53,6 +58,15 @@ ENDPOINT = re.compile(
     r"|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b",
     re.I | re.A,
 )
+#: What makes an identifier that of a key, an endpoint one with a user, a secret one that is called so.
+OF_A_KEY = re.compile(r"(?:client_?id|access_?key|key_?id)", re.I | re.A)
+WITH_A_USER = re.compile(r"[a-z]+://[^\s/@:]+(?::[^\s/@]*)?@", re.I)
+CALLED_SECRET = re.compile(r"(?:secret|passw|passphrase|private|token|credential|key)[A-Za-z_-]*[\"']?\s{0,4}(?:=>|:=|[:=]|is)?\s{0,4}[\"']?\Z", re.I | re.A)
+CALLED_WITHIN = 48
+#: An empty line, whatever ends the lines.
+BREAK = re.compile(r"(?>\r\n|\n|\r)[\x20\t]*(?>\r\n|\n|\r)")
+#: A segment of a path: a word, perhaps numbered.
+PATH_WORD = re.compile(r"[A-Z]?[a-z]*\d{0,4}|[A-Z]+\d{0,4}", re.A)
 REACH = 400
 LEAST_BITS = 3.0  # entropy per character of a random-looking string
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
@@ -79,26 +93,36 @@ def base_spans(text: str) -> list[Span]:
 
 
 def looks_random(word: str) -> bool:
-    """Digits and letters mixed, with enough entropy per character."""
+    """Digits and letters mixed, with enough entropy per character, and no path of words."""
+    if "/" in word and all(PATH_WORD.fullmatch(x) for x in re.split("[/_-]", word)):
+        return False
     if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
         return False
     n = len(word)
     return -sum(k / n * log2(k / n) for k in Counter(word).values()) >= LEAST_BITS
 
 
-def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak candidates whose complementary parts stand in the same scope.
+class Parts(NamedTuple):
+    """Candidates by part, in order; ``keys`` and ``doors`` are those of ``names`` and ``ends`` that pair with a secret alone."""
 
-    Base spans may be parts too: an access identifier names an account, an assigned or
-    hexadecimal string is a secret; they are reported anyway and not repeated.
-    """
+    names: list[Span]
+    ends: list[Span]
+    keys: list[Span]
+    doors: list[Span]
+    secrets: list[Span]
+
+
+def parts_of(text: str, base: list[Span]) -> Parts:
+    """Base spans may be parts too: an access identifier names a key, an assigned or
+    hexadecimal string is a secret; they are reported anyway and not repeated."""
     ends = [Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    if not ends:
-        return []
-    names = [Span(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
-    names = sorted(names + [s for s in base if s.kind == 1])
-    if not names:
-        return []
+    doors = [s for s in ends if WITH_A_USER.match(text, s.start)]
+    own = [Span(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
+    access = [s for s in base if s.kind == 1]
+    names = sorted(own + access)
+    keys = sorted([s for s in own if OF_A_KEY.match(text, s.start)] + access)
+    if not (names and ends or keys or doors):
+        return Parts(names, ends, keys, doors, [])
     taken = sorted((s.start, s.end) for s in (*base, *ends, *names))
     starts, furthest, far = [a for a, _ in taken], [], 0
     for _, b in taken:
@@ -111,23 +135,42 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
 
     secrets = [Span(m.start(), 4, m.end()) for m in RANDOM.finditer(text) if looks_random(m[0])]
     secrets = [s for s in secrets if free(s.start, s.end)] + [s for s in base if s.kind != 1]
-    breaks = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+    return Parts(names, ends, keys, doors, secrets)
+
+
+def called_secret(text: str, s: Span) -> bool:
+    return s.kind == 0 or bool(CALLED_SECRET.search(text[max(0, s.start - CALLED_WITHIN) : s.start]))
+
+
+def linked_spans(text: str, base: list[Span]) -> list[Span]:
+    """Weak candidates whose complementary parts stand in the same scope."""
+    parts = parts_of(text, base)
+    if not parts.secrets:
+        return []
+    breaks = [m.start() for m in BREAK.finditer(text)]
     found: set[Span] = set()
-    reach = {"names": [s.start for s in names], "ends": [s.start for s in ends]}
-    used = {"names": [0] * (len(names) + 1), "ends": [0] * (len(ends) + 1)}
-    for s in secrets:
+    at = {part: [s.start for s in getattr(parts, part)] for part in ("names", "ends", "keys", "doors")}
+    used = {part: [0] * (len(starts) + 1) for part, starts in at.items()}
+    for s in parts.secrets:
         k = bisect_right(breaks, s.start)
         low = max(s.start - REACH, breaks[k - 1] if k else 0)
         high = min(s.end + REACH, breaks[k] if k < len(breaks) else len(text))
-        inside = {part: (bisect_left(at, low), bisect_left(at, high)) for part, at in reach.items()}
-        if all(b > a for a, b in inside.values()):
+        inside = {part: (bisect_left(starts, low), bisect_left(starts, high)) for part, starts in at.items()}
+        there = {part for part, (a, b) in inside.items() if b > a}
+        met = {"names", "ends"} if {"names", "ends"} <= there else set()
+        if "keys" in there and called_secret(text, s):
+            met.add("keys")
+        if "doors" in there:
+            met.add("doors")
+        if met:
             found.add(s)
-            for part, (a, b) in inside.items():  # marked as ranges, not one by one
-                used[part][a] += 1
-                used[part][b] -= 1
-    for part, spans in (("names", names), ("ends", ends)):
+        for part in met:  # marked as ranges, not one by one
+            a, b = inside[part]
+            used[part][a] += 1
+            used[part][b] -= 1
+    for part, changes in used.items():
         covered = 0
-        for s, change in zip(spans, used[part], strict=False):
+        for s, change in zip(getattr(parts, part), changes, strict=False):
             covered += change
             if covered:
                 found.add(s)
