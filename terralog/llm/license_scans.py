@@ -1,35 +1,40 @@
 """License scans: ordered signature rules on whole texts.
 
 A text is reduced to its words, joined by single blanks, so that one signature covers
-all ways of punctuation ("CC-BY 4.0", "cc by 4.0").  Several hundred signatures, each
-behind a keyword that must occur in the text, are tried in order of priority.  A match
-claims its interval: a later signature, shorter or vaguer, cannot match inside or across
-words already claimed, so "cc by nc 4 0" is not reported as "cc by" again and "gpl 3 or
-later" not as "gpl 3".
-
-All of it is column expressions: a gate of a few stems decides for most texts, the
-signatures run only behind it, and each works through the text once, so the cost grows
-with the text whatever the number of matches.  There is no shuffle.
+all ways of punctuation ("CC-BY 4.0", "cc by 4.0").  Several hundred signatures in order
+of priority, each behind a keyword that must occur in the text, give intervals of words.
+An interval that lies within one of a signature of higher priority is dropped, so
+"cc by nc 4 0" is not reported as "cc by" as well and "gpl 3 or later" not as "gpl 3".
+Intervals that only overlap, or that repeat a label elsewhere, stay.
+
+All of it is column expressions: a gate of a few stems decides for most texts, and the
+signatures run only behind it.  Places come from splitting at the matches, and one sweep
+over the sorted intervals, which carries at most one open interval per signature, settles
+what lies within what; so the cost grows with the text and, but for sorting, with the
+number of matches.  There is no shuffle.
 
 Defined results: a null or empty text has no words, no place, empty labels and score 0;
-every input row gives one output row, repeated rows included; an empty table gives an
-empty one; other columns are left alone.
+of equal intervals the signature of higher priority stays; a very long text is worked
+through whole; every input row gives one output row, repeated rows included; an empty
+table gives an empty one; other columns are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache, reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.llm.common import let, small_letters
+from terralog.llm.common import CAPITALS, SMALL, let, small_letters
 
 #: Phrases of the base report, as words, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Everything that is not part of a word, once capitals are small.
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+RUN = 1000  # sums that are made by growing one array
 
 #: Creative Commons elements by their short form, and their names.
 COMMONS = {
@@ -222,30 +227,113 @@ def base_places(norm: Column, n_words: Column) -> Column:
     return F.array(*[of(phrase) for phrase in BASE])
 
 
-def detections(norm: Column) -> Column:
-    """Labels of the signatures that match and the chance that all of them err.
+def running(values: Column) -> Column:
+    """The sums up to each value, itself included.
 
-    The text left over is carried along: matched words are replaced by one mark.
+    An array grows by a copy, so sums are made within runs of ``RUN`` values and the runs'
+    totals are added to them.
     """
-    labels, keywords, signatures, weights = zip(*rules(), strict=True)
-    names, keys = F.lit(list(labels)), F.lit(list(keywords))
-    forms, sure = F.lit([f"(?<= ){x}(?= )" for x in signatures]), F.lit(list(weights))
-    tried = F.filter(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda k: F.contains(norm, keys[k]))
-    start = F.struct(
-        norm.alias("rest"), F.array().cast("array<string>").alias("labels"), F.lit(1.0).alias("wrong")
+
+    def grown(n: Column, value: Callable[[Column], Column]) -> Column:
+        """Sums of ``value`` of 0 to ``n`` less 1."""
+        return F.aggregate(
+            F.sequence(F.lit(0), n - 1),
+            F.array().cast("array<long>"),
+            lambda sums, i: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + value(i)),
+        )
+
+    def of_run(v: Column, run: Column) -> Column:
+        return grown(F.least(F.lit(RUN), F.size(v) - run * RUN), lambda i: v[run * RUN + i])
+
+    def joined(runs: Column) -> Column:
+        totals = grown(F.size(runs), lambda i: F.element_at(runs[i], -1))
+        return let(
+            totals,
+            lambda t: F.flatten(
+                F.transform(runs, lambda run, i: F.transform(run, lambda x: x + F.coalesce(F.get(t, i - 1), F.lit(0))))
+            ),
+        )
+
+    return let(
+        values,
+        lambda v: let(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda run: of_run(v, run)),
+            joined,
+        ),
     )
 
-    def claim(found: Column, k: Column) -> Column:
-        return F.when(
-            F.rlike(found["rest"], forms[k]),
-            F.struct(
-                F.regexp_replace(found["rest"], forms[k], F.lit("\u0001")).alias("rest"),
-                F.array_append(found["labels"], names[k]).alias("labels"),
-                (found["wrong"] * (1 - sure[k])).alias("wrong"),
+
+def intervals(norm: Column, form: Column, rule: Column) -> Column:
+    """``first, before_end, rule`` of each match: its first word and, negated, the word after its last.
+
+    There must be a match.
+    """
+
+    def placed(pieces: Column, matches: Column) -> Column:
+        steps = F.transform(
+            matches, lambda _, i: blanks(pieces[i]) + F.when(i == 0, F.lit(-1)).otherwise(blanks(F.get(matches, i - 1)))
+        )
+        return let(
+            running(steps),
+            lambda first: F.transform(
+                matches,
+                lambda m, i: F.struct(
+                    first[i].alias("first"), (-1 - first[i] - blanks(m)).alias("before_end"), rule.alias("rule")
+                ),
             ),
-        ).otherwise(found)
+        )
+
+    return let(
+        F.struct(F.split(norm, form).alias("pieces"), F.regexp_extract_all(norm, form, F.lit(0)).alias("matches")),
+        lambda x: let(x["pieces"], lambda pieces: let(x["matches"], lambda matches: placed(pieces, matches))),
+    )
+
+
+def uncontained(found: Column) -> Column:
+    """The rules, in order, with an interval that lies within none of a rule before them.
+
+    Sorted by first word, longest first, an interval can only lie within those before it
+    that are still open.  One that was dropped need not be kept open: what lies within it
+    lies within the one that it was dropped for.
+    """
+
+    def step(state: Column, x: Column) -> Column:
+        def settle(still: Column) -> Column:
+            within = F.exists(still, lambda o: (o["before_end"] <= x["before_end"]) & (o["rule"] < x["rule"]))
+            return F.when(within, F.struct(still.alias("open"), state["rules"].alias("rules"))).otherwise(
+                F.struct(
+                    F.array_append(still, F.struct(x["before_end"].alias("before_end"), x["rule"].alias("rule"))).alias("open"),
+                    F.array_union(state["rules"], F.array(x["rule"])).alias("rules"),
+                )
+            )
+
+        return let(F.filter(state["open"], lambda o: -o["before_end"] > x["first"]), settle)
 
-    return F.aggregate(tried, start, claim)
+    start = F.struct(
+        F.array().cast("array<struct<before_end: bigint, rule: int>>").alias("open"),
+        F.array().cast("array<int>").alias("rules"),
+    )
+    return F.sort_array(F.aggregate(F.sort_array(found), start, step, lambda state: state["rules"]))
+
+
+def detections(norm: Column) -> Column:
+    """Labels of the signatures that stay and the chance that all of them err."""
+    labels, keywords, signatures, weights = zip(*rules(), strict=True)
+    names, sure = F.lit(list(labels)), F.lit(list(weights))
+    forms = F.lit([f"(?<= ){x}(?= )" for x in signatures])
+    keys = sorted(set(keywords))
+    behind = F.array(*[F.lit([k for k, of in enumerate(keywords) if of == key]) for key in keys])
+    there = F.filter(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda k: F.contains(norm, F.lit(keys)[k]))
+    tried = F.flatten(F.transform(there, lambda k: behind[k]))
+    matching = F.filter(tried, lambda k: F.rlike(norm, forms[k]))
+    found = F.flatten(F.transform(matching, lambda k: intervals(norm, forms[k], k)))
+    return let(
+        uncontained(found),
+        lambda rule: F.struct(
+            F.transform(rule, lambda k: names[k]).alias("labels"),
+            F.aggregate(rule, F.lit(1.0), lambda wrong, k: wrong * (1 - sure[k])).alias("wrong"),
+        ),
+    )
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,3 +373,65 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ).alias("labels"),
         F.coalesce(1 - F.col("found.wrong"), F.lit(0.0)).alias("score"),
     )
+
+
+def spaced(signature: str) -> str:
+    """A signature on words with two blanks between, so that matches side by side share none."""
+    apart = "(?:  )?".join(part.replace(" ", "  ") for part in signature.split(" ?"))
+    return f" (?:{apart}) "
+
+
+def sql() -> str:
+    """The whole report, places by splitting and containment by comparing all intervals of a text."""
+
+    def values(rows: list[tuple]) -> str:
+        return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+    signatures = [(i, label, key, spaced(x), w) for i, (label, key, x, w) in enumerate(rules())]
+    # Base phrases are numbered below zero; they neither suppress nor are suppressed.
+    phrases = [(-1 - i, label, phrase, spaced(phrase), 0.0) for i, (phrase, label) in enumerate(BASE.items())]
+    return f"""
+WITH rules(rule, label, keyword, form, weight) AS (VALUES {values(phrases + signatures)}),
+plain AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id,
+        trim(regexp_replace(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '{GAPS}', ' ', 'g'), ' ') AS words
+    FROM documents
+),
+texts AS MATERIALIZED (
+    SELECT r, doc_id, CASE WHEN words = '' THEN 0 ELSE len(string_split(words, ' ')) END AS n_words,
+        '  ' || replace(words, ' ', '  ') || '  ' AS apart, ' ' || words || ' ' AS norm
+    FROM plain
+),
+cut AS MATERIALIZED (
+    SELECT r, rule, label, weight,
+        list_transform(string_split_regex(apart, form), lambda p: len(list_filter(string_split(p, ' '), lambda w: w <> ''))) AS between,
+        list_transform(regexp_extract_all(apart, form), lambda m: len(list_filter(string_split(m, ' '), lambda w: w <> ''))) AS inside
+    FROM texts JOIN rules ON contains(norm, keyword) WHERE regexp_matches(apart, form)
+),
+numbered AS (SELECT *, unnest(range(1, len(inside) + 1)) AS i FROM cut),
+placed AS MATERIALIZED (
+    SELECT r, rule, label, weight, list_sum(between[1:i]) + list_sum(inside[1:i]) - inside[i] AS first_word,
+        list_sum(between[1:i]) + list_sum(inside[1:i]) AS after_last
+    FROM numbered
+),
+stays AS (
+    SELECT DISTINCT r, rule, label, weight FROM placed AS p WHERE rule >= 0 AND NOT EXISTS (
+        SELECT 1 FROM placed AS q WHERE q.r = p.r AND q.rule >= 0 AND q.rule < p.rule
+            AND q.first_word <= p.first_word AND q.after_last >= p.after_last)
+),
+found AS (
+    SELECT r, list(label) AS labels,
+        1 - list_reduce(list(1 - weight::DOUBLE ORDER BY rule), lambda a, b: a * b) AS score
+    FROM stays GROUP BY r
+),
+base AS (
+    SELECT r, count(*) AS n_base, min(first_word) AS first_word, max(first_word) AS last_word, list(DISTINCT label) AS labels
+    FROM placed WHERE rule < 0 GROUP BY r
+)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+    first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
+    coalesce(score, 0.0)::DOUBLE AS score
+FROM texts LEFT JOIN found USING (r) LEFT JOIN base USING (r)
+"""

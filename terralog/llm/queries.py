@@ -95,5 +95,6 @@ QUERIES = {
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
     "op5_decontamination": decontamination.SQL,
+    "op10_license_scans": license_scans.sql(),
     "op13_substring_dedup": substring_dedup.SQL,
 }

@@ -1,8 +1,11 @@
-"""op10: base places against plain Python; signatures, priority and claimed intervals."""
+"""op10: base places against plain Python; signatures, priority and intervals against all pairs of them."""
 
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from terralog.llm import license_scans
 from terralog.llm.common import table
 
@@ -134,3 +137,59 @@ def test_labels_without_the_prefilter_are_the_same(spark, monkeypatch):
     assert {r.doc_id: (r.labels, round(r.score, 9)) for r in scan(spark, texts).collect()} == got
     assert all(labels for labels, _ in got.values())
     assert [got[i][0] for i in range(4)] == ["reserved", "reserved", "proprietary", "openrail"]
+
+
+def brute(text):
+    """Labels and chance of error: every interval against every other."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(SMALL))
+    norm = f" {' '.join(words)} "
+    rules = license_scans.rules()
+    found = [
+        (k, m.start(), m.end()) for k, (_, _, x, _) in enumerate(rules) for m in re.finditer(f"(?<= )(?:{x})(?= )", norm)
+    ]
+    stay = {k for k, s, e in found if not any(j < k and a <= s and e <= b for j, a, b in found)}
+    labels = {rules[k][0] for k in stay} | set(filter(None, plain(text)[4].split(",")))
+    score = 1 - math.prod(1 - rules[k][3] for k in sorted(stay)) if stay else 0.0
+    return ",".join(sorted(labels)), score
+
+
+def mixed_texts(n, seed):
+    """Variants of signatures side by side, sharing words, within one another and cut short."""
+    rng = random.Random(seed)
+    every = [variants(signature) for _, _, signature, _ in license_scans.rules()]
+    pool = [t for ways in every for t in rng.sample(ways, min(3, len(ways)))]
+    texts = []
+    for _ in range(n):
+        words = []
+        for part in rng.choices(pool, k=rng.randrange(1, 6)):
+            part = part.split()
+            shared = next((k for k in range(len(part), 0, -1) if words[-k:] == part[:k]), 0)
+            words += part[shared:] if rng.random() < 0.8 else part[: rng.randrange(len(part) + 1)]
+            words += rng.choice([[], [], ["x"], ["license"], ["the", "gpl"]])
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_intervals_against_all_pairs(spark):
+    cases = {
+        "released into the public domain dedication and license": "pddl,public-domain",
+        "without prior written permission is hereby granted free of charge to any person obtaining a copy": "mit,proprietary",
+        "cc by nc 4 0 and cc by": "cc-by,cc-by-nc-4.0",
+        "gpl 3 or later": "gpl-3-or-later",
+    }
+    texts = [*cases, None, "", *mixed_texts(400, 11)]
+    rows = {r.doc_id: (r.labels, r.score) for r in scan(spark, texts).collect()}
+    assert [rows[i][0] for i in range(len(cases))] == list(cases.values())
+    assert rows == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_places_over_many_runs(spark, monkeypatch):
+    """Sums made in several runs are those made in one."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["gpl", "gpl 3", "x", "mit license", "cc by 4 0", "released into the public domain"], k=200)) for _ in range(20)]
+    whole = scan(spark, texts).collect()
+    monkeypatch.setattr(license_scans, "RUN", 3)
+    assert scan(spark, texts).collect() == whole
+    assert {r.doc_id: (r.labels, r.score) for r in whole} == {i: brute(t) for i, t in enumerate(texts)}
+    numbers = spark.range(1).select(license_scans.running(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda x: x.cast("long"))).alias("s"))
+    assert numbers.first().s == [k * (k + 1) // 2 for k in range(1, 51)]
