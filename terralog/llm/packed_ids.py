@@ -19,24 +19,27 @@ rows it returns name the files.  That manifest is stored, and only files named i
 read, so a file left by a lost or doubled task is never seen.
 
 Defined results: a null text counts as empty and has the end id alone; every input row is
-one document; an empty table gives no file and no row; extra columns are left alone.
+one document; an empty table gives no file and no row; a very long text is encoded whole
+and may make a file larger than ``file_ids``; ids are read as longs, and one that is no
+number raises; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralog.llm.common import stored
@@ -62,14 +65,41 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r\\x
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - PRINTABLE))}
 SPECIAL = "<|"  # special tokens begin so; they are found in the text as it is
+#: What a tokenizer's file must say for texts to be cut as above.
+STEPS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: And of each special token, besides how it begins.
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 class WordIds:
     """Ids of texts by the tokenizers library, remembering what a piece of text gave.
 
-    This tokenizer drops white space and never joins across it or across the pieces it
-    cuts first, so a text's ids are those of its pieces, one after the other.  Where the
-    pieces are not plain to see, those between ASCII white space are taken.
+    A tokenizer of these ``STEPS`` drops white space and never joins across it or across
+    the pieces it cuts first, so a text's ids are those of its pieces, one after the other.
+    Where the pieces are not plain to see, those between ASCII white space are taken.
     """
 
     def __init__(self, path: str):
@@ -129,9 +159,37 @@ def in_parts(column: pa.Array) -> Iterator[list[str]]:
         yield part
 
 
+class WholeIds:
+    """Ids of whole texts by the tokenizers library, for files of any other make."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", got.ids).tobytes() for got in made]
+
+
+def in_words(spec: dict) -> bool:
+    """Whether the tokenizer of this file cuts texts as ``WordIds`` does."""
+    tokens = spec.get("added_tokens") or []
+    return (
+        all(spec.get(name) == asked for name, asked in STEPS.items())
+        and all(t["content"].startswith(SPECIAL) and PLAIN_TOKEN.items() <= t.items() for t in tokens)
+        and not any(x.isspace() for t in tokens for x in t["content"])
+        and spec["model"]["type"] == "BPE"
+    )
+
+
 @lru_cache(2)
-def tokenizer(path: str) -> WordIds:
-    return WordIds(path)
+def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"].get("dropout"):
+        raise ValueError("a tokenizer that drops merges at random gives other ids each time")
+    return WordIds(path) if in_words(spec) else WholeIds(path)
 
 
 def default_path() -> str:
@@ -235,8 +293,18 @@ def file_parts(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else k for k, x in zip(keys, null, strict=True)], lengths, ids
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Spark takes it to have."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toString()
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system of a qualified path, and the path there."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 MANIFEST = "part int, nth int, file string, n_docs long, n_ids long"
@@ -246,7 +314,7 @@ def written(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS
 ) -> DataFrame:
     """Encode whole texts, an end id after each, and write them; the stored manifest of files."""
-    folder = shared_path(docs.sparkSession, f"ids-{uuid.uuid4().hex}")
+    folder = qualified(docs.sparkSession, shared_path(docs.sparkSession, f"ids-{uuid.uuid4().hex}"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, nth = tokenizer(path), TaskContext.get().partitionId(), 0

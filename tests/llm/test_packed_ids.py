@@ -1,5 +1,6 @@
 """op9: ids against the tokenizers library, blocks and files against what went in."""
 
+import json
 import random
 import zlib
 
@@ -102,3 +103,68 @@ def test_driver_documents(spark, library):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     want = expected(library, [(r.doc_id, r.text) for r in docs.collect()])
     assert result(packed_ids.round_trip(docs, PATH)) == want
+
+
+def changed(tmp_path, change):
+    """The tokenizer's file with something else in it."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    change(spec)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    return str(path)
+
+
+CHANGES = {
+    "no small letters": lambda spec: spec["normalizer"]["normalizers"].pop(),
+    "no normalizer": lambda spec: spec.update(normalizer=None),
+    "another cut": lambda spec: spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\S+"),
+    "cut short": lambda spec: spec.update(truncation={"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}),
+    "a word as special token": lambda spec: spec["added_tokens"][0].update(content="the"),
+    "a token that takes blanks": lambda spec: spec["added_tokens"][0].update(lstrip=True, rstrip=True),
+}
+
+
+@pytest.mark.parametrize("name", CHANGES)
+def test_other_tokenizers_are_used_whole(tmp_path, name):
+    path = changed(tmp_path, CHANGES[name])
+    other, ids_of = tokenizers.Tokenizer.from_file(path), packed_ids.tokenizer(path)
+    texts = [t or "" for t in odd_texts()[:300]] + ["Hello World", "THE the <|startoftext|> theme"]
+    for text, ids in zip(texts, ids_of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, text
+    assert type(ids_of) is packed_ids.WholeIds and type(packed_ids.tokenizer(PATH)) is packed_ids.WordIds
+
+
+def test_another_vocabulary(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = list(enumerate(["Hello World  twice", None, "ünï\n\ncode 😀", ""]))
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
+    assert result(packed_ids.round_trip(docs, path)) == expected(tokenizers.Tokenizer.from_file(path), rows)
+
+
+def test_random_merges_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="random"):
+        packed_ids.tokenizer(changed(tmp_path, lambda spec: spec["model"].update(dropout=0.1)))
+
+
+def test_very_long_texts(spark, library):
+    """Longer than what is encoded at once and than a file's ids, in one row and in many words."""
+    long = "One word after another, 1234 times. " * 70_000
+    assert len(long) > packed_ids.TEXT_AT_ONCE
+    rows = [(1, "before"), (2, long), (3, "x" * 20_000), (4, long.replace("O", "Ж")), (5, "after")]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
+    assert result(packed_ids.round_trip(docs, PATH, 1000)) == expected(library, rows)
+
+
+def test_paths_are_those_of_spark(spark, tmp_path):
+    at = packed_ids.qualified(spark, f"{tmp_path}/a b%20c")
+    assert at.startswith("file:")
+    system, path = packed_ids.opened(at)
+    assert path == f"{tmp_path}/a b%20c"
+    with system.open_output_stream(path) as out:
+        out.write(b"x")
+    assert spark.read.format("binaryFile").load(str(tmp_path)).first().content == b"x"
+    docs = spark.createDataFrame([(1, "one", "x", 1)], SCHEMA)
+    assert packed_ids.written(docs, PATH).first().file.startswith("file:")
