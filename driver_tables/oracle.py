@@ -322,6 +322,7 @@ SELECT 'Doc ' || doc_id AS name, 'D-' || doc_id AS iso2, lang AS iso3, idx, md5(
        n_nationkey AS nationkey, n_regionkey AS regionkey
 FROM customer LEFT JOIN nation ON 'nation_' || (c_custkey % 30) = lower(trim(n_name))""",
     "enrich_duplicate_keys": ENRICHED_PARTS.format(iso2="'P-' || f.k AS iso2", rest=", f.iso3"),
+    "enrich_from_placed": ENRICHED_PARTS.format(iso2="'P-' || f.k AS iso2", rest=", f.iso3"),
     "enrich_keeps_existing": ENRICHED_PARTS.format(
         iso2="CASE WHEN p_size > 25 THEN p_type END AS iso2", rest=", f.iso3"
     ),

@@ -29,7 +29,7 @@ from terralog.plans.population import filter_population as run_filter_population
 from terralog.sources import schemas
 from terralog.sources.load import load_city_population, load_country_population, load_table, with_keys
 from terralog.sources.shared import shared_path
-from terralog.sources.write import read_facts, respond, write_facts, write_result
+from terralog.sources.write import read_facts, respond, write_facts, write_placed, write_result
 from terralog.streaming.lookups import keep_answers, land, land_latest
 from terralog.streaming.lookups import lookup_stream as run_lookup_stream
 from terralog.streaming.rate import rate_breaches as run_rate_breaches
@@ -171,6 +171,18 @@ def enrich_duplicate_keys(spark, sf):
     return enrich_first(left, R.part_master(spark, sf), "name", "Name", added).select("p_partkey", "iso2", "iso3")
 
 
+@query
+def enrich_from_placed(spark, sf):
+    """First matches fetched from a table that is stored by position."""
+    left = R.table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit(" "), F.upper("p_name"), F.lit("\t")).alias("name")
+    )
+    name = f"master_{uuid.uuid4().hex}"
+    master = write_placed(R.part_master(spark, sf), name, shared_path(spark, name))
+    added = {"iso2": "Iso2", "iso3": "Iso3"}
+    return enrich_first(left, master, "name", "Name", added).select("p_partkey", "iso2", "iso3")
+
+
 @query
 def enrich_keeps_existing(spark, sf):
     """A column the left side has already, here often null, is not replaced."""

@@ -36,6 +36,23 @@ def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/facts"), spark.read.parquet(f"{path}/heads")
 
 
+def write_placed(
+    df: DataFrame, table: str, path: str, buckets: int | None = None, pos: str = N.POS, mode: str = "errorifexists"
+) -> DataFrame:
+    """Store rows at ``path`` as ``table``, in buckets by position and sorted within them; the stored table.
+
+    First matches are fetched by position.  From a table stored so they are fetched without
+    moving it: only the winners' positions are shuffled, to its buckets.  Positions are
+    unique, so buckets are even.  There are as many as shuffle partitions, if not said;
+    with fewer than these, Spark may prefer to shuffle both sides.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(count, pos).write.mode(mode).bucketBy(count, pos).sortBy(pos)
+    placed.format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def respond(answers: DataFrame, keep: Sequence[str] = ("req_id",)) -> DataFrame:
     """Lookup answers as ``status, error, msg, data``; ``data`` only when found.
 

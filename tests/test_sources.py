@@ -1,15 +1,17 @@
 import json
+import re
 
 import pytest
-from conftest import rows
+from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
+from terralog.operators.first_match import enrich_first
 from terralog.sources import schemas
 from terralog.sources.load import (
     load_city_population, load_country_population, load_table, repeated_positions, with_keys,
 )
 from terralog.sources.shared import shared_path
-from terralog.sources.write import write_facts, write_result
+from terralog.sources.write import write_facts, write_placed, write_result
 
 
 def test_one_json_document_keeps_its_order(spark, tmp_path):
@@ -132,3 +134,48 @@ def test_an_existing_path_is_not_overwritten_unasked(tmp_path, table):
     with pytest.raises(Exception, match="(?i)exist"):
         write_result(df, str(tmp_path / "o"))
     write_result(df, str(tmp_path / "o"), mode="overwrite")
+
+
+def moved_scans(plan):
+    """The scans that are shuffled or broadcast before they are joined, in the final plan's text."""
+    found, above = [], []
+    for line in plan.split("== Initial Plan ==")[0].splitlines():
+        node = re.match(r"([ :]*[+:]- )(.*)", line)
+        if not node:  # an expression's text that has a line break in it
+            continue
+        depth = len(node[1])
+        above = [x for x in above if x[0] < depth]
+        if node[2].startswith("FileScan"):
+            nearest = next((kind for _, kind in reversed(above)), None)
+            found += [node[2]] if nearest == "move" else []
+        elif "Exchange" in node[2].split("[")[0]:
+            above.append((depth, "move"))
+        elif "Join [" in node[2]:
+            above.append((depth, "join"))
+    return found
+
+
+def test_first_matches_are_fetched_from_placed_rows_without_moving_them(spark, settings, tmp_path):
+    settings(autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+    wide = spark.range(2000).select(
+        F.col("id").alias("_pos"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit(" N"), (F.col("id") % 700).cast("string"))).alias("name"),
+        F.concat(F.lit("currency "), F.col("id").cast("string")).alias("currency"),
+    )
+    wide.write.parquet(str(tmp_path / "plain"))
+    plain = spark.read.parquet(str(tmp_path / "plain"))
+    placed = write_placed(wide, "placed_rows", str(tmp_path / "placed"))
+    asked = spark.createDataFrame([(1, "HOT"), (2, "n5"), (3, "none"), (4, None), (5, "hot ")], "id int, name string")
+    got = {}
+    for kind, right in (("plain", plain), ("placed", placed)):
+        df = enrich_first(asked, right, "name", "name", {"currency": "currency"})
+        moved = [line for line in moved_scans(final_plan(df)) if "currency#" in line]
+        assert bool(moved) == (kind == "plain"), kind
+        got[kind] = sorted(rows(df), key=lambda r: r[0])
+    assert got["placed"] == got["plain"]
+    assert [r[2] for r in got["plain"]] == ["currency 0", "currency 5", None, None, "currency 0"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_placed(wide, "placed_rows", str(tmp_path / "placed"))
+    assert rows(write_placed(wide.limit(0), "no_rows", str(tmp_path / "none"), buckets=3)) == []
+    for table in ("placed_rows", "no_rows"):
+        spark.sql(f"DROP TABLE {table}")
