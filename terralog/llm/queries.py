@@ -49,7 +49,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes")
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("votes", "p_good")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,7 @@ QUERIES = {
 SQL = {
     "op3_ngram_join": ngram_join.SQL,
     "op5_decontamination": decontamination.SQL,
+    "op7_quality_rules": quality_rules.sql(),
     "op10_license_scans": license_scans.sql(),
     "op13_substring_dedup": substring_dedup.SQL,
 }
