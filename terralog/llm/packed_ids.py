@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,7 +49,7 @@ from terralog.sources.shared import shared_path
 BLOCK, PERCENTILE = 128, 0.9
 FILE_IDS = 4_000_000
 END_ID = 1
-#: Bounds of what a task remembers: pieces, and characters of a piece.
+#: Bounds of what a task remembers: chunks and pieces, and characters of one.
 MOST_WORDS, LONGEST_KEPT = 400_000, 64
 TEXT_AT_ONCE = 2_000_000
 MAGIC = struct.pack("<4sI", b"PFOR", 1)
@@ -59,7 +60,7 @@ AT_ONCE = 4096  # blocks packed or unpacked in one go
 #: is to make letters small and to cut as below, so pieces can be found without it.
 SIMPLE = re.compile("[\x00-\x7f\u00c0-\u012f\u0131-\u017f]*")
 LETTERS = "a-zß-öø-ſ"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\t\\n\\r\\x0b\\x0c{LETTERS}0-9]+")
+PIECES = re.compile(f"[{LETTERS}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^ \\t\\n\\r\\x0b\\x0c{LETTERS}0-9]+")
 #: Byte-level models write each byte as a letter: printable Latin-1 ones as they are, the
 #: rest, in order, as the letters from U+0100 on.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -95,13 +96,16 @@ PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normaliz
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, remembering what a piece of text gave.
+    """Ids of texts by the tokenizers library, remembering what a chunk of text gave.
 
     A tokenizer of these ``STEPS`` drops white space and never joins across it or across
-    the pieces it cuts first, so a text's ids are those of its pieces, one after the other.
-    Where the pieces are not plain to see, those between ASCII white space are taken.
+    the pieces it cuts first, so a text's ids are those of its chunks between ASCII white
+    space, one after the other, and a chunk's are those of its pieces where they are plain
+    to see.  Each distinct chunk of the texts at hand is looked up once.
     """
 
+    at_once = 16_000_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -113,46 +117,61 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut, whole = [], set()
-        for text in texts:
-            if SIMPLE.fullmatch(text) and SPECIAL not in text:
-                cut.append(PIECES.findall(text.lower()))
-            else:
-                cut.append([x.decode() for x in text.encode().split()])
-                whole.update(cut[-1])
-        every = set().union(*cut)
-        new = every.difference(self.known)
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = cut.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.chunk_ids(distinct), pa.large_binary()).take(chunks.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist()
+        whole = memoryview(data or b"")
+        return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of these distinct chunks."""
+        out = list(map(self.known.get, chunks))
+        new = [k for k, ids in enumerate(out) if ids is None]
         if len(self.known) + len(new) > MOST_WORDS:
-            self.older, self.known, new = self.known, {}, every
-        known, older = self.known, self.older
-        unseen = []
-        for piece in new:
-            ids = older.get(piece)
+            self.older, self.known = self.known, {x: ids for x, ids in zip(chunks, out, strict=True) if ids is not None}
+        known, older, uncut = self.known, self.older, []
+        for k in new:
+            chunk = chunks[k]
+            ids = older.get(chunk)
             if ids is None:
-                unseen.append(piece)
-            else:
-                known[piece] = ids
-        uncut = [x for x in unseen if x in whole]
-        for piece, got in zip(uncut, self.tokenizer.encode_batch_fast(uncut, add_special_tokens=False), strict=True):
-            known[piece] = array("I", got.ids).tobytes()
-        for piece in unseen:
-            if piece not in whole:
-                letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-                known[piece] = array("I", [t.id for t in self.merge(letters)]).tobytes()
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in unseen:
-            if len(piece) > LONGEST_KEPT:
-                del known[piece]
+                if chunk.isascii() and chunk.isalpha():
+                    ids = self.piece_ids(chunk.lower())
+                elif SIMPLE.fullmatch(chunk) and SPECIAL not in chunk:
+                    ids = b"".join(map(self.piece_ids, PIECES.findall(chunk.lower())))
+                else:
+                    uncut.append(k)
+                    continue
+            out[k] = ids
+            if len(chunk) <= LONGEST_KEPT:
+                known[chunk] = ids
+        made = self.tokenizer.encode_batch_fast([chunks[k] for k in uncut], add_special_tokens=False)
+        for k, got in zip(uncut, made, strict=True):
+            out[k] = ids = array("I", got.ids).tobytes()
+            if len(chunks[k]) <= LONGEST_KEPT:
+                known[chunks[k]] = ids
         return out
 
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece, whose letters are small."""
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            self.known[piece] = ids
+        return ids
+
 
-def in_parts(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a column, about ``TEXT_AT_ONCE`` characters at a time."""
+def in_parts(column: pa.Array, most: int) -> Iterator[list[str]]:
+    """The texts of a column, about ``most`` characters at a time."""
     part, size = [], 0
     for value in column:
         part.append(value.as_py())
         size += len(part[-1])
-        if size >= TEXT_AT_ONCE:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:
@@ -162,6 +181,8 @@ def in_parts(column: pa.Array) -> Iterator[list[str]]:
 class WholeIds:
     """Ids of whole texts by the tokenizers library, for files of any other make."""
 
+    at_once = TEXT_AT_ONCE
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -335,7 +356,7 @@ def written(
 
         held = 0
         for b in batches:
-            encoded = (ids for part in in_parts(b.column("text")) for ids in ids_of(part))
+            encoded = (ids for part in in_parts(b.column("text"), ids_of.at_once) for ids in ids_of(part))
             for key, ids in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
                 keys.append(key)
                 made.append(ids + end)

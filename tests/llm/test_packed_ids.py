@@ -58,6 +58,33 @@ def test_memory_of_words_is_bounded(library, monkeypatch):
     assert len(own.known) <= 6 and len(own.older) <= 6 and all(len(w) <= 64 for w in own.known)
 
 
+def test_each_distinct_chunk_is_cut_once(library, monkeypatch):
+    """Whatever number of texts and places it stands in."""
+    cut = []
+
+    class Pieces:
+        def findall(self, text, real=packed_ids.PIECES):
+            cut.append(text)
+            return real.findall(text)
+
+    monkeypatch.setattr(packed_ids, "PIECES", Pieces())
+    own = packed_ids.WordIds(PATH)
+    texts = ["It's word-1 and Word-2,\nword-1 " * 50, "", "plain word-1\x1cö! Ж's word-1"] * 2
+    for text, ids in zip(texts, own(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(filter(None, cut)) == sorted(["it's", "word-1", "word-2,", "word-1\x1cö!"])
+
+
+def test_texts_beyond_what_is_encoded_at_once(library, monkeypatch):
+    monkeypatch.setattr(packed_ids.WordIds, "at_once", 50)
+    texts = [t or "" for t in odd_texts()[:300]]
+    parts = list(packed_ids.in_parts(packed_ids.pa.array(texts), packed_ids.WordIds.at_once))
+    own = packed_ids.WordIds(PATH)
+    got = [np.frombuffer(ids, "<u4").tolist() for part in parts for ids in own(part)]
+    assert len(parts) > 50
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 1000, 128 * 5000])
 @pytest.mark.parametrize("kind", ["small", "large", "equal", "mixed", "edge"])
 def test_blocks_round_trip(n, kind):
