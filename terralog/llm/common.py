@@ -65,16 +65,30 @@ def sampled(df: DataFrame, key: str, most: int, among: int) -> DataFrame:
     return near.orderBy(place, key).limit(most)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end, what the allocators hold unused goes back to the system.
+
+    A Python worker stays for further tasks, of other operators too, beside an executor's
+    own memory.
+    """
+    try:
+        yield from batches
+    finally:
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+
 def per_text(
     docs: DataFrame,
     schema: str,
     start: Callable[[], Callable[[str], Sequence]],
     id_col: str = "doc_id",
     text_col: str = "text",
+    end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``doc_id`` and the columns of ``schema`` that a function makes of each whole text.
 
-    ``start`` makes the function once a task.  Ids pass through as they are, null
+    ``start`` makes the function once a task, and ``end`` is called after its last text.  Ids pass through as they are, null
     included; a null text counts as empty.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -82,11 +96,15 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
-        for b in batches:
-            rows = [of(text.as_py()) for text in b.column("text")]
-            made = list(zip(*rows, strict=True)) or [[]] * len(types)
-            columns = [pa.array(values, f.type) for values, f in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *types.names])
+        try:
+            for b in batches:
+                rows = [of(text.as_py()) for text in b.column("text")]
+                made = list(zip(*rows, strict=True)) or [[]] * len(types)
+                columns = [pa.array(values, f.type) for values, f in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", *types.names])
+        finally:
+            if end:
+                end()
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, {schema}")
+    return plain.mapInArrow(lambda batches: released(run(batches)), f"doc_id {kind}, {schema}")

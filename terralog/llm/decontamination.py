@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralog.llm.common import stored
+from terralog.llm.common import released, stored
 
 WINDOW = 13
 #: A document is contaminated when this share of its words is hit: 20 * n_hit >= n_words.
@@ -146,7 +146,7 @@ def search(df: DataFrame, block: Broadcast) -> DataFrame:
             made["n_words"] = pa.array(n_words, pa.int64())
             yield pa.RecordBatch.from_arrays([made.get(c, b.column(c)) for c in names], names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), df.schema)
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, row: Column, text: Column, item_cols: tuple[str, str], most: int) -> DataFrame:

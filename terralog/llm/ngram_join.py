@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralog.llm.common import CAPITALS, SMALL, stored
+from terralog.llm.common import CAPITALS, SMALL, released, stored
 
 WORDS, PERCENT = 5, 80
 SAMPLE = int(0.3 * 2**64)
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_hash", "key", "n", "batch", "settled", "open"],
             )
 
-    return plain.mapInArrow(run, SIGNED.format(kind=kind))
+    return plain.mapInArrow(lambda batches: released(run(batches)), SIGNED.format(kind=kind))
 
 
 def candidates(signed: DataFrame) -> DataFrame:
@@ -174,7 +174,8 @@ def full_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 ["key", "n", "tokens"],
             )
 
-    sets = class_texts(docs, chosen).mapInArrow(run, "key binary, n long, tokens array<long>").dropDuplicates(["key"])
+    made = class_texts(docs, chosen).mapInArrow(lambda batches: released(run(batches)), "key binary, n long, tokens array<long>")
+    sets = made.dropDuplicates(["key"])
     return sets.select(F.monotonically_increasing_id().alias("node"), "key", "n", "tokens")
 
 

@@ -12,7 +12,7 @@ border between them.
 No piece of the vocabulary has a blank mark after another character, or a line feed, so a
 text falls apart at blanks and line feeds (checked when a model is loaded; a model that
 breaks the rule is encoded text by text).  Each distinct word is encoded once per task and
-remembered, in a memory of bounded size.
+remembered, in a memory of bounded size, of which little stays when the task ends.
 
 Defined results: null counts as empty text, which has only the begin and end ids; every
 input row gives one output row, repeated rows included; an empty table gives an empty
@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from terralog.llm.common import per_text
 MARK = "▁"  # stands for a blank
 #: Bounds of what a task remembers: words, characters of a word, pairs of pieces.
 MOST_WORDS, LONGEST_KEPT, MOST_PAIRS = 400_000, 64, 1_000_000
+#: And of what stays in a worker from task to task.
+WORDS_STAY, PAIRS_STAY = 20_000, 200_000
 
 
 class PieceModel:
@@ -169,6 +172,12 @@ class PieceModel:
         ends = np.array([self.begin], np.uint32).tobytes(), np.array([self.end], np.uint32).tobytes()
         return np.frombuffer(ends[0] + b"".join(found) + ends[1], "<u4")
 
+    def forget(self) -> None:
+        """Keep the words and pairs met first, for the most part the frequent ones."""
+        self.known = dict(islice(self.known.items(), WORDS_STAY))
+        if len(self.pairs) > PAIRS_STAY:
+            self.pairs = dict(islice(self.pairs.items(), PAIRS_STAY))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces put together, the first blank being the one put in front."""
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode(errors="replace")
@@ -208,7 +217,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return of
 
     schema = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
-    return per_text(docs, schema, start, id_col, text_col)
+    return per_text(docs, schema, start, id_col, text_col, lambda: model(path).forget())
 
 
 def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -237,4 +246,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         return of
 
-    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", start, id_col, text_col)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return per_text(docs, schema, start, id_col, text_col, lambda: model(path).forget())

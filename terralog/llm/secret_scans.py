@@ -33,7 +33,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terralog.llm.common import per_text
+from terralog.llm.common import per_text, released
 
 #: The base patterns and the least length of a find.
 ASSIGN = re.compile(
@@ -227,4 +227,4 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
             columns = [made.get(name, b.column(k)) for k, name in enumerate(b.schema.names)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)

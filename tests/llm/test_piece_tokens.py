@@ -62,6 +62,23 @@ def test_words_are_remembered_within_bounds(library, monkeypatch):
     assert len(own.known) <= 3 and len(own.pairs) <= 5
 
 
+def test_little_stays_in_a_worker(spark, library):
+    """Of the words of a task; and what a worker knew leaves no trace in the next task's rows."""
+    words = [" ".join(f"w{k}" for k in range(n, n + 30_000)) for n in range(0, 120_000, 30_000)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(words)], SCHEMA).repartition(4)
+    first = sorted(map(tuple, piece_tokens.digests(docs, PATH).collect()))
+    assert first == [(i, *expected(library, t)) for i, t in enumerate(words)]
+
+    def kept(batches):
+        for _ in batches:
+            known = piece_tokens.model(PATH).known
+            yield piece_tokens.pa.RecordBatch.from_pydict({"n": [len(known)]})
+
+    held = [r.n for r in spark.range(4).repartition(4).mapInArrow(kept, "n long").collect()]
+    assert held and max(held) <= piece_tokens.WORDS_STAY < 30_000
+    assert sorted(map(tuple, piece_tokens.digests(docs, PATH).collect())) == first
+
+
 def test_table(spark, library):
     texts = odd_texts()[:200]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] * 2, SCHEMA)
